@@ -1,8 +1,14 @@
 """All registered queries and the SQL that checks them."""
 
-from amrspark.plans import feature_queries, group_queries, label_queries, metric_queries
+from amrspark.plans import (
+    decide_queries,
+    feature_queries,
+    group_queries,
+    label_queries,
+    metric_queries,
+)
 
-_MODULES = (label_queries, group_queries, feature_queries, metric_queries)
+_MODULES = (label_queries, group_queries, feature_queries, metric_queries, decide_queries)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}

@@ -25,7 +25,7 @@ def cell(v):
     if v is None:
         return "~"
     if isinstance(v, float):
-        return "~" if v != v else repr(round(v, 9) + 0.0)
+        return "~" if v != v else repr(v + 0.0)
     if isinstance(v, list):
         return "[" + ",".join(cell(x) for x in v) + "]"
     if isinstance(v, dict):
