@@ -6,9 +6,17 @@ from amrspark.plans import (
     group_queries,
     label_queries,
     metric_queries,
+    retrieval_queries,
 )
 
-_MODULES = (label_queries, group_queries, feature_queries, metric_queries, decide_queries)
+_MODULES = (
+    label_queries,
+    group_queries,
+    feature_queries,
+    metric_queries,
+    decide_queries,
+    retrieval_queries,
+)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
