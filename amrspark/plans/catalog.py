@@ -1,6 +1,7 @@
 """All registered queries and the SQL that checks them."""
 
 from amrspark.plans import (
+    audit_queries,
     decide_queries,
     feature_queries,
     group_queries,
@@ -10,6 +11,7 @@ from amrspark.plans import (
 )
 
 _MODULES = (
+    audit_queries,
     label_queries,
     group_queries,
     feature_queries,
