@@ -8,6 +8,7 @@ from amrspark.plans import (
     label_queries,
     metric_queries,
     retrieval_queries,
+    source_queries,
 )
 
 _MODULES = (
@@ -18,6 +19,7 @@ _MODULES = (
     metric_queries,
     decide_queries,
     retrieval_queries,
+    source_queries,
 )
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}

@@ -40,3 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="amrspark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
+        base = tempfile.mkdtemp(prefix="amrspark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{base}/{name}-{uuid.uuid4().hex}"
