@@ -7,6 +7,7 @@ from amrspark.plans import (
     group_queries,
     label_queries,
     metric_queries,
+    model_queries,
     retrieval_queries,
     source_queries,
 )
@@ -17,6 +18,7 @@ _MODULES = (
     group_queries,
     feature_queries,
     metric_queries,
+    model_queries,
     decide_queries,
     retrieval_queries,
     source_queries,
