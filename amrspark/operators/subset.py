@@ -108,7 +108,9 @@ def capped_subset(
     rest = rows.join(chosen, "genome_id", "left_anti").join(taken, "grp", "left")
     rest = rest.fillna(0, ["_taken"])
     rank = F.row_number().over(Window.partitionBy("grp").orderBy("genome_id"))
-    room = rest.withColumn("_i", rank).where(F.col("_i") <= group_cap - F.col("_taken"))
+    # The fixed bound comes first: Spark then cuts large groups before their shuffle.
+    room = rest.withColumn("_i", rank).where(F.col("_i") <= group_cap)
+    room = room.where(F.col("_i") <= group_cap - F.col("_taken"))
     extra = room.orderBy("_taken", "genome_id").limit(cap - len(first))
     genomes = picked.unionByName(extra.select("genome_id", "cells", "grp"))
     cells = genomes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
