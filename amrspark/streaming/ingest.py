@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amrspark.operators.features import gene_calls
-from amrspark.sources.tables import parse_hit_lines, read_hit_lines, validated_hits
+from amrspark.sources.tables import (
+    numbered,
+    parse_hit_lines,
+    read_hit_lines,
+    validated_hits,
+)
 
 Parse = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def parse_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound hits, rejected genomes) of raw lines."""
-    return validated_hits(parse_hit_lines(lines))
+    return validated_hits(parse_hit_lines(numbered(lines)))
 
 
 def ingest_stream(source: DataFrame, out: str, checkpoint: str, parse: Parse = parse_files) -> None:
