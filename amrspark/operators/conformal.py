@@ -33,7 +33,7 @@ def fit(df: DataFrame, by: list[str], alphas: tuple[float, ...] = (fixed.ALPHA,)
         F.lit(1).cast("bigint").alias("w"),
     )
     ranks = {f"t{i}": _rank(a) for i, a in enumerate(alphas)}
-    tau = weighted_quantile_rows(rows, [*by, "cls"], "score", "w", ranks)
+    tau = weighted_quantile_rows(rows, [*by, "cls"], "score", "w", ranks, bounds=(0.0, 1.0))
 
     def side(cls: str, column: str, missing) -> Column:
         return F.coalesce(F.max(F.when(F.col("cls") == cls, F.col(column))), F.lit(missing))
@@ -106,7 +106,9 @@ def marginal_coverage(
     """Coverage of a single threshold over both classes, a cross-check of the per-class one."""
     own = F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p"))
     rows = calibration.select(*by, own.alias("score"), F.lit(1).cast("bigint").alias("w"))
-    tau = weighted_quantile_rows(rows, by, "score", "w", {"tau": _rank(alpha)})
+    tau = weighted_quantile_rows(
+        rows, by, "score", "w", {"tau": _rank(alpha)}, bounds=(0.0, 1.0)
+    )
     tau = tau.select(*by, F.coalesce("tau", F.lit(1.0)).alias("tau"))
     return (
         test.join(tau, by)

@@ -51,8 +51,16 @@ def confusion_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def rank_metrics(df: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
-    """AUROC with ties counted half, and average precision as a step sum over distinct scores."""
+def rank_metrics(
+    df: DataFrame,
+    by: list[str],
+    buckets: int | None = None,
+    bounds: tuple[float, float] | None = (0.0, 1.0),
+) -> DataFrame:
+    """AUROC with ties counted half, and average precision as a step sum over distinct scores.
+
+    Scores other than probabilities need `bounds=None`, which looks their range up.
+    """
     rows = df.select(
         *by,
         "p",
@@ -60,6 +68,8 @@ def rank_metrics(df: DataFrame, by: list[str], buckets: int | None = None) -> Da
         (1 - F.col("y")).cast("bigint").alias("neg"),
     )
     extra = {} if buckets is None else {"buckets": buckets}
+    if bounds is not None:
+        extra["bounds"] = bounds
     levels = cumulative(rows, by, "p", ["pos", "neg"], **extra)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")

@@ -73,7 +73,7 @@ def search_c(
     jobs = [(c, k) for c in grid for k in numbers if k in usable]
     with ThreadPool(parallelism) as pool:
         parts = pool.map(one, jobs)
-    scores = metrics.rank_metrics(reduce(DataFrame.unionByName, parts), ["c", "fold"])
+    scores = metrics.rank_metrics(reduce(DataFrame.unionByName, parts), ["c", "fold"], bounds=None)
     scores = cut(scores.select("c", "fold", "pr_auc"))
     means = {r["c"]: r["m"] for r in scores.groupBy("c").agg(F.avg("pr_auc").alias("m")).collect()}
     ranked = [(means.get(c) if means.get(c) is not None else -1.0, -i) for i, c in enumerate(grid)]

@@ -22,34 +22,39 @@ def cumulative(
     key: str,
     weights: list[str],
     *,
+    bounds: tuple[float, float] | None = None,
     place: Column | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per (part, key) with each weight summed, plus for each weight `w`:
     `w_before` (sum over smaller keys of the part) and `w_total` (sum over the part).
 
-    `place` maps the key to a number that never falls as the key grows (default: the key itself).
-    Part columns and keys must not be null.
+    `bounds` is a range known to hold every key; without it the range of each part is looked up
+    first. `place` maps the key to a number that never falls as the key grows (default: the key
+    itself). Part columns and keys must not be null.
     """
     place = F.col(key).cast("double") if place is None else place
     sums = df.groupBy(*part, key).agg(*[F.sum(w).alias(w) for w in weights])
-    sums = sums.withColumn("_at", place)
-    span = sums.groupBy(*part).agg(
-        F.min("_at").alias("_lo"),
-        F.max("_at").alias("_hi"),
-        *[F.sum(w).alias(f"{w}_total") for w in weights],
-    )
-    share = (F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = sums.join(span, part).withColumn(
+    if bounds is None:
+        sums = sums.withColumn("_at", place)
+        span = sums.groupBy(*part).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        sums = sums.join(span, part)
+        at, low, high = F.col("_at"), F.col("_lo"), F.col("_hi")
+    else:
+        at, low, high = place, F.lit(float(bounds[0])), F.lit(float(bounds[1]))
+    share = F.floor((at - low) / (high - low) * buckets)
+    placed = sums.withColumn(
         "_b",
-        F.when(F.col("_hi") > F.col("_lo"), F.floor(share * buckets)).otherwise(F.lit(0)),
+        F.when(high > low, F.greatest(F.lit(0), F.least(F.lit(buckets), share))).otherwise(F.lit(0)),
     )
     per_bucket = placed.groupBy(*part, "_b").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
-    earlier = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *part,
         "_b",
         *[F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0)).alias(f"_{w}") for w in weights],
+        *[F.sum(f"_{w}").over(whole).alias(f"{w}_total") for w in weights],
     )
     inside = (
         Window.partitionBy(*part, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,28 +78,34 @@ def ranked(
     tie: str,
     *,
     out: str = "rank",
+    bounds: tuple[float, float] | None = None,
     tie_is_text: bool = False,
     buckets: int = BUCKETS,
+    tie_rows: int = 100_000,
 ) -> DataFrame:
     """Add the rank (from 1) of each row by score descending, then tie ascending.
 
-    (part, tie) must identify a row. Distinct scores are placed first, then rows among equals, so
+    (part, tie) must identify a row. Distinct scores are placed first. Rows of equal score are
+    numbered among themselves: up to `tie_rows` of them in a plain window, more in buckets. So
     neither a popular part nor a popular score is handled by a single task.
     """
     rows = df.withColumn("_down", -F.col(score)).withColumn("_one", F.lit(1).cast("bigint"))
-    levels = cumulative(rows, part, "_down", ["_one"], buckets=buckets).select(
-        *part, "_down", F.col("_one_before").alias("_above")
+    flipped = None if bounds is None else (-bounds[1], -bounds[0])
+    levels = cumulative(rows, part, "_down", ["_one"], bounds=flipped, buckets=buckets).select(
+        *part, "_down", F.col("_one_before").alias("_above"), F.col("_one").alias("_ties")
     )
+    joined = rows.join(levels, [*part, "_down"])
+    few = joined.where(F.col("_ties") <= tie_rows)
+    within = F.row_number().over(Window.partitionBy(*part, "_down").orderBy(tie))
+    few = few.select(*df.columns, (F.col("_above") + within).alias(out))
+    many = joined.where(F.col("_ties") > tie_rows)
     place = text.order_code(tie) if tie_is_text else None
-    among = cumulative(rows, [*part, "_down"], tie, ["_one"], place=place, buckets=buckets).select(
+    among = cumulative(many, [*part, "_down"], tie, ["_one"], place=place, buckets=buckets).select(
         *part, "_down", tie, F.col("_one_before").alias("_ahead")
     )
-    return (
-        rows.join(levels, [*part, "_down"])
-        .join(among, [*part, "_down", tie])
-        .withColumn(out, F.col("_above") + F.col("_ahead") + 1)
-        .select(*df.columns, out)
-    )
+    many = many.join(among, [*part, "_down", tie])
+    many = many.select(*df.columns, (F.col("_above") + F.col("_ahead") + 1).alias(out))
+    return few.unionByName(many)
 
 
 def weighted_quantile_rows(

@@ -52,6 +52,7 @@ def build_index(docs: DataFrame, *, id_is_text: bool = False) -> Index:
         ["w"],
         place=place,
     ).select("doc_id", F.col("w_before").alias("pos"))
+    ordered = cut(ordered)
     sizes = corpus.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens("text"))).alias("avgdl"))
     total = sizes.first()
     n = total["n"]
@@ -118,37 +119,39 @@ def dense_scores(index: Index, queries: DataFrame, dim: int = fixed.EMBED_DIM) -
     return scored.where(F.col("score") != 0)
 
 
-def leg_ranks(index: Index, scores: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rank of each wanted (query_id, doc_id, pos) pair in a leg that ranks the whole corpus.
+def _placed(index: Index, scores: DataFrame) -> DataFrame:
+    """Scores with the position of the document, written once: ranks read them several times."""
+    return cut(scores.join(index.docs, "doc_id"))
 
-    Order: score descending, then id. Pairs absent from `scores` have score zero.
+
+def leg_ranks(index: Index, leg: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Ranks in a leg that orders the whole corpus by score descending, then id.
+
+    `leg` holds the matching pairs (query_id, doc_id, pos, score). Documents with positive scores
+    come first, then all others with score zero, then negative ones. `wanted` names pairs that may
+    be absent from the leg and need their rank too.
     """
-    placed = scores.join(index.docs, "doc_id")
-    up = ranked(placed.where(F.col("score") > 0), ["query_id"], "score", "pos", out="_r")
-    down = ranked(placed.where(F.col("score") < 0), ["query_id"], "score", "pos", out="_r")
-    sizes = placed.groupBy("query_id").agg(
-        F.count_if(F.col("score") > 0).alias("_up"), F.count_if(F.col("score") < 0).alias("_down")
-    )
-    last = down.join(sizes, "query_id").select(
-        "query_id", "doc_id", (F.lit(index.n) - F.col("_down") + F.col("_r")).alias("rank")
-    )
-    matched = up.select("query_id", "doc_id", F.col("_r").alias("rank")).unionByName(last)
-    zero = wanted.join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    marks = placed.select("query_id", "pos", F.lit(1).cast("bigint").alias("hit")).unionByName(
+    span = leg.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    bounds = None if span["lo"] is None else (span["lo"], span["hi"])
+    order = ranked(leg, ["query_id"], "score", "pos", out="_r", bounds=bounds)
+    if span["lo"] is not None and span["lo"] < 0:
+        sizes = leg.groupBy("query_id").agg(F.count("*").alias("_nnz"))
+        skip = F.when(F.col("score") < 0, F.lit(index.n) - F.col("_nnz")).otherwise(0)
+        order = order.join(sizes, "query_id").withColumn("_r", F.col("_r") + skip)
+    matched = order.select("query_id", "doc_id", F.col("_r").alias("rank"))
+    if wanted is None:
+        return matched
+    keys = ["query_id", "doc_id"]
+    zero = wanted.join(leg.select(*keys), keys, "left_anti")
+    marks = leg.select("query_id", "pos", F.lit(1).cast("bigint").alias("hit")).unionByName(
         zero.select("query_id", "pos", F.lit(0).cast("bigint").alias("hit"))
     )
-    before = cumulative(marks, ["query_id"], "pos", ["hit"])
+    before = cumulative(marks, ["query_id"], "pos", ["hit"], bounds=(0, index.n))
     before = before.where(F.col("hit") == 0).select("query_id", "pos", "hit_before")
-    rest = (
-        zero.join(before, ["query_id", "pos"])
-        .join(sizes, "query_id", "left")
-        .select(
-            "query_id",
-            "doc_id",
-            (F.coalesce("_up", F.lit(0)) + F.col("pos") - F.col("hit_before") + 1).alias("rank"),
-        )
-    )
-    return matched.unionByName(rest)
+    up = leg.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("_up"))
+    ahead = F.coalesce("_up", F.lit(0)) + F.col("pos") - F.col("hit_before") + 1
+    rest = zero.join(before, ["query_id", "pos"]).join(up, "query_id", "left")
+    return matched.unionByName(rest.select("query_id", "doc_id", ahead.alias("rank")))
 
 
 def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: int) -> DataFrame:
@@ -158,7 +161,7 @@ def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: in
     it; the j-th unmatched position is j plus the number of matched ones with at most j such.
     """
     ones = matched.select("query_id", "pos", F.lit(1).cast("bigint").alias("w"))
-    gaps = cumulative(ones, ["query_id"], "pos", ["w"])
+    gaps = cumulative(ones, ["query_id"], "pos", ["w"], bounds=(0, index.n))
     gap = F.col("pos") - F.col("w_before")
     counts = gaps.groupBy("query_id").agg(
         F.array(*[F.count_if(gap <= j) + j for j in range(k)]).alias("_m")
@@ -177,9 +180,9 @@ def fuse(
     rrf_k: int = fixed.RRF_K,
 ) -> DataFrame:
     """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id."""
-    legs = [cut(leg) for leg in legs]
-    pairs = reduce(DataFrame.union, [leg.select("query_id", "doc_id") for leg in legs]).distinct()
-    matched = cut(pairs.join(index.docs, "doc_id").select("query_id", "doc_id", "pos"))
+    legs = [_placed(index, leg) for leg in legs]
+    pairs = [leg.select("query_id", "doc_id", "pos") for leg in legs]
+    matched = pairs[0] if len(pairs) == 1 else reduce(DataFrame.unionByName, pairs).distinct()
     wanted = matched.unionByName(_first_unmatched(index, queries, matched, k))
     ranks = [leg_ranks(index, leg, wanted) for leg in legs]
     term = 1.0 / (F.lit(float(rrf_k)) + F.col("rank"))

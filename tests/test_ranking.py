@@ -19,9 +19,10 @@ def rows():
     return out
 
 
-def test_cumulative_matches_sorting(spark, rows):
+@pytest.mark.parametrize("bounds", [None, (0.0, 1.0), (0.0, 1e7)])
+def test_cumulative_matches_sorting(spark, rows, bounds):
     df = spark.createDataFrame(rows, "part string, id int, k double, w long")
-    got = {(r["part"], r["k"]): r for r in cumulative(df, ["part"], "k", ["w"], buckets=7).collect()}
+    got = {(r["part"], r["k"]): r for r in cumulative(df, ["part"], "k", ["w"], bounds=bounds, buckets=7).collect()}
     for part in "abc":
         mine = [r for r in rows if r[0] == part]
         for k in {r[2] for r in mine}:
@@ -31,9 +32,10 @@ def test_cumulative_matches_sorting(spark, rows):
             assert r["w_total"] == sum(x[3] for x in mine)
 
 
-def test_ranked_matches_sorting(spark, rows):
+@pytest.mark.parametrize("tie_rows", [0, 3, 100_000])
+def test_ranked_matches_sorting(spark, rows, tie_rows):
     df = spark.createDataFrame(rows, "part string, id int, k double, w long")
-    got = {(r["part"], r["id"]): r["rank"] for r in ranked(df, ["part"], "k", "id", buckets=5).collect()}
+    got = {(r["part"], r["id"]): r["rank"] for r in ranked(df, ["part"], "k", "id", buckets=5, tie_rows=tie_rows).collect()}
     for part in "abc":
         mine = sorted((r for r in rows if r[0] == part), key=lambda r: (-r[2], r[1]))
         assert [got[(part, r[1])] for r in mine] == list(range(1, len(mine) + 1))
@@ -42,7 +44,7 @@ def test_ranked_matches_sorting(spark, rows):
 def test_ranked_with_text_ties(spark):
     rows = [("q", f"doc-{i:03d}" + "x" * (i % 3), float(i % 2)) for i in range(60)]
     df = spark.createDataFrame(rows, "q string, id string, s double")
-    got = {r["id"]: r["rank"] for r in ranked(df, ["q"], "s", "id", tie_is_text=True).collect()}
+    got = {r["id"]: r["rank"] for r in ranked(df, ["q"], "s", "id", tie_is_text=True, tie_rows=5).collect()}
     want = sorted(rows, key=lambda r: (-r[2], r[1]))
     assert [got[r[1]] for r in want] == list(range(1, 61))
 
