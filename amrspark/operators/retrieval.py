@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amrspark import fixed
@@ -20,6 +20,8 @@ from amrspark.session import cut
 
 # Scores are compared at this many digits, so that the order of summation cannot reorder ties.
 DIGITS = 9
+# A query matching at most this many documents is ranked by an ordinary window.
+PLAIN_ROWS = 2_000_000
 
 
 @dataclass
@@ -53,11 +55,11 @@ def build_index(docs: DataFrame, *, id_is_text: bool = False) -> Index:
         place=place,
     ).select("doc_id", F.col("w_before").alias("pos"))
     ordered = cut(ordered)
-    sizes = corpus.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens("text"))).alias("avgdl"))
-    total = sizes.first()
-    n = total["n"]
-    mean = document_frequencies(postings).agg(F.avg(_raw_idf(n)).alias("a")).first()["a"]
-    return Index(postings, ordered, n, total["avgdl"] or 0.0, mean or 0.0, id_is_text)
+    n = ordered.count()
+    per_token = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    total = per_token.agg(F.sum("tf").alias("length"), F.avg(_raw_idf(n)).alias("idf")).first()
+    avgdl = (total["length"] or 0) / n if n else 0.0
+    return Index(postings, ordered, n, avgdl, total["idf"] or 0.0, id_is_text)
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -119,51 +121,45 @@ def dense_scores(index: Index, queries: DataFrame, dim: int = fixed.EMBED_DIM) -
     return scored.where(F.col("score") != 0)
 
 
-def _placed(index: Index, scores: DataFrame) -> DataFrame:
-    """Scores with the position of the document, written once: ranks read them several times."""
-    return cut(scores.join(index.docs, "doc_id"))
-
-
-def leg_ranks(index: Index, leg: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    """Ranks in a leg that orders the whole corpus by score descending, then id.
-
-    `leg` holds the matching pairs (query_id, doc_id, pos, score). Documents with positive scores
-    come first, then all others with score zero, then negative ones. `wanted` names pairs that may
-    be absent from the leg and need their rank too.
-    """
-    span = leg.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    bounds = None if span["lo"] is None else (span["lo"], span["hi"])
-    order = ranked(leg, ["query_id"], "score", "pos", out="_r", bounds=bounds)
-    if span["lo"] is not None and span["lo"] < 0:
-        sizes = leg.groupBy("query_id").agg(F.count("*").alias("_nnz"))
-        skip = F.when(F.col("score") < 0, F.lit(index.n) - F.col("_nnz")).otherwise(0)
-        order = order.join(sizes, "query_id").withColumn("_r", F.col("_r") + skip)
-    matched = order.select("query_id", "doc_id", F.col("_r").alias("rank"))
-    if wanted is None:
-        return matched
-    keys = ["query_id", "doc_id"]
-    zero = wanted.join(leg.select(*keys), keys, "left_anti")
-    marks = leg.select("query_id", "pos", F.lit(1).cast("bigint").alias("hit")).unionByName(
-        zero.select("query_id", "pos", F.lit(0).cast("bigint").alias("hit"))
+def _combined(index: Index, legs: list[DataFrame]) -> DataFrame:
+    """Matching pairs of all legs: query_id, doc_id, pos and one score column `s<i>` per leg, null
+    where the pair does not match in that leg. Written once, as ranks read it several times."""
+    tagged = [leg.withColumn("_leg", F.lit(i)) for i, leg in enumerate(legs)]
+    pairs = reduce(DataFrame.unionByName, tagged)
+    wide = pairs.groupBy("query_id", "doc_id").agg(
+        *[F.max(F.when(F.col("_leg") == i, F.col("score"))).alias(f"s{i}") for i in range(len(legs))]
+    )
+    return cut(wide.join(index.docs, "doc_id"))
+
+
+def _with_order(index: Index, rows: DataFrame, plain: bool) -> DataFrame:
+    """Add `_b`: how many rows of the query have a smaller position, and `_w`: how many it has."""
+    if plain:
+        whole = Window.partitionBy("query_id")
+        return rows.withColumns(
+            {
+                "_b": F.row_number().over(whole.orderBy("pos")) - 1,
+                "_w": F.count("*").over(whole),
+            }
+        )
+    ones = rows.select("query_id", "pos", F.lit(1).cast("bigint").alias("w"))
+    spread = cumulative(ones, ["query_id"], "pos", ["w"], bounds=(0, index.n))
+    spread = spread.select(
+        "query_id", "pos", F.col("w_before").alias("_b"), F.col("w_total").alias("_w")
     )
-    before = cumulative(marks, ["query_id"], "pos", ["hit"], bounds=(0, index.n))
-    before = before.where(F.col("hit") == 0).select("query_id", "pos", "hit_before")
-    up = leg.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("_up"))
-    ahead = F.coalesce("_up", F.lit(0)) + F.col("pos") - F.col("hit_before") + 1
-    rest = zero.join(before, ["query_id", "pos"]).join(up, "query_id", "left")
-    return matched.unionByName(rest.select("query_id", "doc_id", ahead.alias("rank")))
+    return rows.join(spread, ["query_id", "pos"])
 
 
-def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+def _first_unmatched(
+    index: Index, queries: DataFrame, matched: DataFrame, k: int, plain: bool
+) -> DataFrame:
     """The k smallest ids per query that match in no leg.
 
     With matched positions in order, position p has `p - (matched before p)` unmatched ones before
     it; the j-th unmatched position is j plus the number of matched ones with at most j such.
     """
-    ones = matched.select("query_id", "pos", F.lit(1).cast("bigint").alias("w"))
-    gaps = cumulative(ones, ["query_id"], "pos", ["w"], bounds=(0, index.n))
-    gap = F.col("pos") - F.col("w_before")
-    counts = gaps.groupBy("query_id").agg(
+    gap = F.col("pos") - F.col("_b")
+    counts = _with_order(index, matched.select("query_id", "pos"), plain).groupBy("query_id").agg(
         F.array(*[F.count_if(gap <= j) + j for j in range(k)]).alias("_m")
     )
     start = F.array(*[F.lit(j).cast("bigint") for j in range(k)])
@@ -172,41 +168,75 @@ def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: in
     return spots.join(index.docs, "pos").select("query_id", "doc_id", "pos")
 
 
+def _rank_column(
+    index: Index, rows: DataFrame, leg: str, plain: bool, bounds: tuple[float, float]
+) -> DataFrame:
+    """Rank over the whole corpus in one leg: score descending, then position.
+
+    Documents missing from `rows` have score zero in every leg. Ahead of a zero row are the missing
+    ones with smaller positions, ahead of a negative row all of them.
+    """
+    scored = rows.withColumn("_s", F.coalesce(leg, F.lit(0.0)))
+    if plain:
+        order = Window.partitionBy("query_id").orderBy(F.col("_s").desc(), "pos")
+        scored = scored.withColumn("_a", F.row_number().over(order))
+    else:
+        scored = ranked(scored, ["query_id"], "_s", "pos", out="_a", bounds=bounds)
+    missing = (
+        F.when(F.col("_s") > 0, 0)
+        .when(F.col("_s") == 0, F.col("pos") - F.col("_b"))
+        .otherwise(F.lit(index.n) - F.col("_w"))
+    )
+    return scored.withColumn(f"r_{leg}", F.col("_a") + missing).drop("_a", "_s")
+
+
 def fuse(
     index: Index,
     queries: DataFrame,
     legs: list[DataFrame],
     k: int = 5,
     rrf_k: int = fixed.RRF_K,
+    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
-    """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id."""
-    legs = [_placed(index, leg) for leg in legs]
-    pairs = [leg.select("query_id", "doc_id", "pos") for leg in legs]
-    matched = pairs[0] if len(pairs) == 1 else reduce(DataFrame.unionByName, pairs).distinct()
-    wanted = matched.unionByName(_first_unmatched(index, queries, matched, k))
-    ranks = [leg_ranks(index, leg, wanted) for leg in legs]
-    term = 1.0 / (F.lit(float(rrf_k)) + F.col("rank"))
-    fused = (
-        reduce(DataFrame.unionByName, ranks)
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(term), 12).alias("score"))
+    """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id.
+
+    When no query matches more than `plain_rows` documents, ranks are ordinary windows per query;
+    otherwise every rank is spread over buckets.
+    """
+    matched = _combined(index, legs)
+    names = [f"s{i}" for i in range(len(legs))]
+    stats = (
+        matched.groupBy("query_id")
+        .agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{t}") for c in names for t, f in (("lo", F.min), ("hi", F.max))])
+        .agg(F.max("n").alias("n"), *[f(f"{c}_{t}").alias(f"{c}_{t}") for c in names for t, f in (("lo", F.min), ("hi", F.max))])
+        .first()
+    )
+    plain = (stats["n"] or 0) <= plain_rows
+    extra = _first_unmatched(index, queries, matched, k, plain)
+    rows = matched.unionByName(extra, allowMissingColumns=True)
+    rows = _with_order(index, rows, plain)
+    for c in names:
+        bounds = (min(0.0, stats[f"{c}_lo"] or 0.0), max(0.0, stats[f"{c}_hi"] or 0.0))
+        rows = _rank_column(index, rows, c, plain, bounds)
+    score = reduce(
+        lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(f"r_{c}")) for c in names]
     )
-    return top_k(fused, k)
+    return top_k(rows.select("query_id", "doc_id", F.round(score, 12).alias("score")), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """Best k per query. The rank filter is applied before the shuffle as well as after it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def retrieve(index: Index, queries: DataFrame, k: int = 5, *, dense: bool = True) -> DataFrame:
+def retrieve(
+    index: Index, queries: DataFrame, k: int = 5, *, dense: bool = True, plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
     legs = [bm25_scores(index, queries)]
     if dense:
         legs.append(dense_scores(index, queries))
-    return fuse(index, queries, legs, k)
+    return fuse(index, queries, legs, k, plain_rows=plain_rows)
 
 
 def evidence_for_genes(rows: DataFrame, chunks: DataFrame, k: int = 5, *, dense: bool = False) -> DataFrame:

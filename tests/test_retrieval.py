@@ -59,8 +59,8 @@ def brute_fuse(docs, legs, k):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("dense", [False, True])
-def test_fusion_equals_full_ranking(spark, seed, dense):
+@pytest.mark.parametrize("dense, plain_rows", [(False, 10**6), (True, 10**6), (True, 0)])
+def test_fusion_equals_full_ranking(spark, seed, dense, plain_rows):
     """Unmatched documents are ranked without ever being paired with a query."""
     rng = random.Random(seed)
     docs = [(f"d{i:02d}", " ".join(rng.choices(WORDS, k=rng.randint(0, 6)))) for i in range(40)]
@@ -69,7 +69,7 @@ def test_fusion_equals_full_ranking(spark, seed, dense):
     queries = spark.createDataFrame(asked, "query_id string, text string")
     index = R.build_index(corpus, id_is_text=True)
     found = {}
-    for r in R.retrieve(index, queries, 7, dense=dense).orderBy("query_id", "rank").collect():
+    for r in R.retrieve(index, queries, 7, dense=dense, plain_rows=plain_rows).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     for q, t in asked:
         legs = [brute_bm25(docs, t)] + ([brute_dense(docs, t)] if dense else [])
