@@ -214,10 +214,12 @@ def fuse(
     plain = (stats["n"] or 0) <= plain_rows
     extra = _first_unmatched(index, queries, matched, k, plain)
     rows = matched.unionByName(extra, allowMissingColumns=True)
-    rows = _with_order(index, rows, plain)
+    # A spread rank reads its rows several times, so each step is written before the next one.
+    keep = (lambda df: df) if plain else cut
+    rows = keep(_with_order(index, keep(rows), plain))
     for c in names:
         bounds = (min(0.0, stats[f"{c}_lo"] or 0.0), max(0.0, stats[f"{c}_hi"] or 0.0))
-        rows = _rank_column(index, rows, c, plain, bounds)
+        rows = keep(_rank_column(index, rows, c, plain, bounds))
     score = reduce(
         lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(f"r_{c}")) for c in names]
     )
