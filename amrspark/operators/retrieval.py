@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from amrspark import fixed
 from amrspark.functions import text
 from amrspark.operators.ranking import cumulative, ranked
-from amrspark.session import cut
+from amrspark.session import cut, spread
 
 # Scores are compared at this many digits, so that the order of summation cannot reorder ties.
 DIGITS = 9
@@ -45,7 +45,7 @@ def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Dat
 def build_index(docs: DataFrame, *, id_is_text: bool = False) -> Index:
     """Index `docs` (doc_id unique, text). The postings are written once and reused by every leg."""
     corpus = docs.select("doc_id", "text")
-    postings = cut(term_counts(corpus))
+    postings = cut(term_counts(spread(corpus)))
     place = text.order_code("doc_id") if id_is_text else None
     ordered = cumulative(
         corpus.select(F.lit(0).alias("_p"), "doc_id", F.lit(1).cast("bigint").alias("w")),

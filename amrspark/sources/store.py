@@ -94,7 +94,11 @@ def model_cards(models: DataFrame, metrics: DataFrame, coefficients: DataFrame,
         .groupBy("antibiotic")
         .agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("_c"))
     )
-    rows = models.join(metrics, "antibiotic", "left").join(heads, "antibiotic", "left")
+    measured = metrics.select(
+        "antibiotic", "resistant_recall", "susceptible_recall", "balanced_accuracy", "auroc",
+        "pr_auc", "brier",
+    )
+    rows = models.join(measured, "antibiotic", "left").join(heads, "antibiotic", "left")
     lines = F.array(
         F.concat(F.lit("# Model card -- "), F.col("antibiotic"), F.lit(" ("), F.col("version"), F.lit(")")),
         F.lit(fixed.DISCLAIMER),
