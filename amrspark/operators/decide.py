@@ -99,17 +99,17 @@ def gate_evidence() -> Column:
     )
 
 
-def contributions(present: DataFrame, coefficients: DataFrame) -> DataFrame:
+def contributions(
+    present: DataFrame, coefficients: DataFrame, drugs: tuple[str, ...]
+) -> DataFrame:
     """(genome, drug, feature, weight) of present features, zero where a model has no weight.
 
     `present` is (genome_id, feature, value); `coefficients` is (antibiotic, feature,
     coefficient) over the vocabulary.
     """
-    drugs = coefficients.agg(F.array_sort(F.collect_set("antibiotic")).alias("_d"))
     weights = coefficients.groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("antibiotic", "coefficient"))).alias("_w")
     )
-    names = [r for r in drugs.first()["_d"]]  # at most one entry per panel drug
     rows = present.where(F.col("value") != 0).join(weights, "feature", "left")
     pairs = F.array(
         *[
@@ -117,7 +117,7 @@ def contributions(present: DataFrame, coefficients: DataFrame) -> DataFrame:
                 F.lit(d).alias("antibiotic"),
                 F.coalesce(F.try_element_at("_w", F.lit(d)), F.lit(0.0)).alias("weight"),
             )
-            for d in names
+            for d in drugs
         ]
     )
     return rows.select("genome_id", "feature", F.inline(pairs))
@@ -163,7 +163,13 @@ def evidence_topk(contrib: DataFrame, k: int = fixed.TOP_EVIDENCE) -> DataFrame:
     return signed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def linear_scores(present: DataFrame, coefficients: DataFrame, models: DataFrame, genomes: DataFrame) -> DataFrame:
+def linear_scores(
+    present: DataFrame,
+    coefficients: DataFrame,
+    models: DataFrame,
+    genomes: DataFrame,
+    drugs: tuple[str, ...],
+) -> DataFrame:
     """Calibrated resistance probability per genome and trained drug from model tables.
 
     `models` is one row per drug: intercept, platt_a, platt_b. Scores every genome once.
@@ -172,7 +178,6 @@ def linear_scores(present: DataFrame, coefficients: DataFrame, models: DataFrame
     sums = joined.groupBy("genome_id", "antibiotic").agg(
         F.sum(F.col("coefficient") * F.col("value")).alias("_dot")
     )
-    drugs = [r["antibiotic"] for r in models.select("antibiotic").collect()]  # panel-sized
     pairs = genomes.select("genome_id").distinct().withColumn(
         "antibiotic", F.explode(F.array(*[F.lit(d) for d in sorted(drugs)]))
     )
@@ -186,29 +191,13 @@ def linear_scores(present: DataFrame, coefficients: DataFrame, models: DataFrame
 
 
 def compatible(vectors: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, mismatched with a reason) against a one-row registry; a null entry is not checked.
-
-    The registry row is joined on a constant key, so it is broadcast like any one-row side.
-    """
-    row = registry.select(
-        F.col("db_version").alias("_db"),
-        F.col("schema_version").alias("_schema"),
-        F.col("engineered_version").alias("_eng"),
-        F.lit(1).alias("_one"),
-    )
-    checked = vectors.withColumn("_one", F.lit(1)).join(row, "_one").withColumn(
-        "mismatch",
-        F.when(F.col("_db").isNotNull() & ~F.col("db_version").eqNullSafe(F.col("_db")), "db_version")
-        .when(
-            F.col("_schema").isNotNull()
-            & ~F.col("schema_version").eqNullSafe(F.col("_schema")),
-            "schema_version",
-        )
-        .when(
-            F.col("_eng").isNotNull() & (F.col("_eng") != fixed.ENGINEERED_VERSION),
-            "engineered_version",
-        ),
-    )
+    """(usable, mismatched with a reason) against a one-row registry; a null entry is not checked."""
+    row = registry.select("db_version", "schema_version", "engineered_version").first()
+    wanted = {c: row[c] for c in ("db_version", "schema_version") if row[c] is not None}
+    stale = row["engineered_version"] not in (None, fixed.ENGINEERED_VERSION)
+    found = [F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in wanted.items()]
+    found.append(F.lit("engineered_version" if stale else None).cast("string"))
+    checked = vectors.withColumn("mismatch", F.coalesce(*found))
     ok = checked.where(F.col("mismatch").isNull()).select(*vectors.columns)
     return ok, checked.where(F.col("mismatch").isNotNull()).select(*vectors.columns, "mismatch")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amrspark.operators.labels import first_per_key
+from amrspark.session import cut
 
 
 @dataclass
@@ -98,7 +99,7 @@ def capped_subset(
         raise ValueError("cap must be positive")
     spark = binary.sparkSession
     group_cap = max(1, int(max_group_fraction * cap))
-    rows = candidates(binary, groups, drugs)
+    rows = cut(candidates(binary, groups, drugs))
     # Bounded: distinct cell sets (at most 3 ** drugs) times twice the cap.
     reachable = pruned(rows, cap, group_cap).collect()
     first = _fill_quotas(reachable, cap, per_drug_target, group_cap)

@@ -47,13 +47,14 @@ def prepare(
     combined = FE.engineered_rows(FE.engineered(calls, genomes))
     present = symbols.unionByName(combined).join(names, "feature")
     mech = FE.mechanism_hits(calls, genomes)
-    contributions = D.contributions(present, coefficients)
+    drugs = tuple(sorted(r["antibiotic"] for r in models.select("antibiotic").collect()))
+    contributions = D.contributions(present, coefficients, drugs)
     linear = models.select("antibiotic", "intercept", "platt_a", "platt_b")
     return Prepared(
         D.gate(mech),
         D.known_evidence(mech),
         models.select("antibiotic", "version", "alpha", "tau_s", "tau_r", "guarantee"),
-        D.linear_scores(present, coefficients, linear, genomes),
+        D.linear_scores(present, coefficients, linear, genomes, drugs),
         contributions,
         D.top_contributions(contributions),
     )

@@ -108,7 +108,7 @@ def world(spark):
         [("hi", "gentamicin", 0.95), ("lo", "gentamicin", 0.05), ("mid", "gentamicin", 0.5), ("bare", "gentamicin", 0.04)],
         "genome_id string, antibiotic string, p double",
     )
-    return mech, scores, D.top_contributions(D.contributions(present, coefs))
+    return mech, scores, D.top_contributions(D.contributions(present, coefs, ("gentamicin",)))
 
 
 def model_rows(spark, tau, guarantee=True):
