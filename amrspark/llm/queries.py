@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import url_filter
+from amrspark.llm import decontaminate, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -29,7 +29,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("chunk_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    narratives = _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("genome_id"), F.col("text").alias("summary")
+    )
+    scanned = decontaminate.scan_chunks(chunks, narratives)
+    return scanned.select(
+        F.col("chunk_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("genomes").cast("long").alias("n_items"),
+        F.sha2(F.array_join("genomes", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op8_url_filter": op8_url_filter,
 }
 
@@ -41,7 +56,28 @@ _FITS = """CASE
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
 
+_PLAIN = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 SQL: dict[str, str] = {
+    "op3_decontaminate": f"""
+WITH docs AS (SELECT doc_id, coalesce({_PLAIN}, []) AS w FROM documents),
+items AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+tests AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM tests) WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, i, n FROM windows JOIN tests USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+    FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
     "op8_url_filter": rf"""
 WITH RECURSIVE raw AS (SELECT page_id, url,
     regexp_extract(regexp_extract(html,
