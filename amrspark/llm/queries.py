@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, url_filter
+from amrspark.llm import decontaminate, packing, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -17,10 +17,26 @@ URL_RULES = (
 )
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    placed = packing.pack_chunks(chunks, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return placed.select(
+        F.col("chunk_id").alias("doc_id"), "start", "length", "ids_crc32",
+        F.col("chunk_tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens",
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     chunks = pages.select(F.col("page_id").alias("chunk_id"), F.col("url").alias("source"))
@@ -45,6 +61,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_packing": op5_packing,
     "op8_url_filter": op8_url_filter,
 }
 
