@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, packing, url_filter
+from amrspark.llm import decontaminate, near_dedup, packing, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -37,6 +37,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    grouped = near_dedup.group_chunks(chunks, words=4)
+    return grouped.withColumnRenamed("chunk_id", "doc_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     chunks = pages.select(F.col("page_id").alias("chunk_id"), F.col("url").alias("source"))
@@ -62,6 +68,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_packing": op5_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op8_url_filter": op8_url_filter,
 }
 
@@ -95,6 +102,25 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
     coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op6_near_dedup": r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents),
+cuts AS (SELECT doc_id, w, least(4, len(w)) AS n, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i
+    FROM words WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g FROM cuts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b
+    ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION
+    SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least_id AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id,
+    doc_id = coalesce(c, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON a = doc_id""",
     "op8_url_filter": rf"""
 WITH RECURSIVE raw AS (SELECT page_id, url,
     regexp_extract(regexp_extract(html,
