@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, near_dedup, packing, url_filter
+from amrspark.llm import decontaminate, near_dedup, packing, quality, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -43,6 +43,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumnRenamed("chunk_id", "doc_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    scored = quality.score_chunks(chunks, labels)
+    return scored.select(F.col("chunk_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     chunks = pages.select(F.col("page_id").alias("chunk_id"), F.col("url").alias("source"))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
 }
 
