@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, near_dedup, packing, quality, url_filter
+from amrspark.llm import decontaminate, html_text, near_dedup, packing, quality, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -58,6 +58,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("chunk_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("chunk_id"), F.col("url").alias("source"), "html"
+    )
+    return html_text.extract_text(pages).select(
+        F.col("chunk_id").alias("page_id"), F.col("source").alias("url"), "text",
+        F.length("text").cast("long").alias("n_chars"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     narratives = _table(spark, sf_dir, "benchmark").select(
@@ -73,6 +83,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_decontaminate": op3_decontaminate,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
