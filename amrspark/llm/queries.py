@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, html_text, near_dedup, packing, quality, url_filter
+from amrspark.llm import decontaminate, html_text, near_dedup, packing, private_data, quality, url_filter
 
 URL_RULES = (
     ("block", "net/"),
@@ -82,6 +82,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = private_data.find_private(chunks)
+    counts = [
+        F.size(F.filter("base", private_data.of_kind(k))).cast("long").alias(f"n_{k}")
+        for k in private_data.KINDS
+    ]
+    return found.select(
+        F.col("chunk_id").alias("doc_id"), *counts,
+        F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256"),
+        private_data.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op3_decontaminate": op3_decontaminate,
@@ -89,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op10_private_data": op10_private_data,
 }
 
 _FITS = """CASE
