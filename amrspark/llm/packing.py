@@ -57,8 +57,8 @@ def pack_chunks(
 
     A null or empty text is one end id. Repeated rows are placed each. An empty table has no rows.
     """
-    if max_tokens & (max_tokens - 1):
-        raise ValueError("max_tokens must be a power of two")
+    if max_tokens < 1 or max_tokens & (max_tokens - 1) or max_segments < 1 or max_loss < 1:
+        raise ValueError("max_tokens must be a power of two, the other limits positive")
     given = chunks.select(
         "chunk_id", "text", (F.col(prompt) if prompt else F.lit("")).cast("string").alias("prompt")
     )
@@ -79,13 +79,13 @@ class _Packer:
     """The waiting chunks of one task and the sequence it fills."""
 
     def __init__(self, limits, pool: int, with_ids: bool, partition: int):
-        self.caps = np.array(limits, float)
         self.limits, self.pool, self.with_ids = limits, pool, with_ids
         self.next_id = partition << 32
-        self.need = np.zeros((2 * pool, 3))
+        self.need = np.zeros((3, 2 * pool))  # tokens, segments and loss of each waiting chunk
         self.free = list(range(2 * pool))[::-1]
         self.items: list = [None] * (2 * pool)  # id, ids, place of the first one, loss-free ids
-        self.bin: list[tuple[int, int, int]] = []
+        self.bin: list[tuple[tuple, int, int]] = []
+        self.left = list(limits)
         self.out: list[tuple] = []
         self.keys = None
 
@@ -125,33 +125,32 @@ class _Packer:
         slot = self.free.pop()
         self.items[slot] = item
         left = len(ids) - at
-        self.need[slot] = (left, 1, left - max(0, free - at))
+        self.need[:, slot] = (left, 1, left - max(0, free - at))
 
     def _place(self) -> None:
         """Give the open sequence one piece of a waiting chunk."""
-        left = self.caps - self._used()
-        fits = (self.need <= left).all(axis=1) & (self.need[:, 0] > 0)
-        gain = self.need @ (left / self.caps**2)
-        slot = int(np.argmax(np.where(fits, gain, gain - 1e9 * (self.need[:, 0] > 0) - 2e9 * (self.need[:, 0] <= 0))))
-        key, ids, at, free = self.items[slot]
-        size = int(min(len(ids) - at, left[0], max(0, free - at) + left[2]))
-        if size > 0 and left[1] > 0:
-            self.bin.append((self.items[slot], at, size))
-            self.items[slot], self.need[slot] = None, 0
-            self.free.append(slot)
-            if at + size < len(ids):
-                self._wait((key, ids, at + size, free))
-        left = self.caps - self._used()
-        if size <= 0 or left[0] <= 0 or left[1] <= 0:
+        tokens, segments, loss = self.need
+        gain = np.array([r / c**2 for r, c in zip(self.left, self.limits, strict=True)]) @ self.need
+        over = (tokens > self.left[0]) | (segments > self.left[1]) | (loss > self.left[2])
+        slot = int(np.argmax(np.where(over, 0, gain)))
+        if over[slot] or not gain[slot]:  # none fits: cut one
+            slot = int(np.argmax(gain))
+        key, ids, at, free = item = self.items[slot]
+        size = min(len(ids) - at, self.left[0], max(0, free - at) + self.left[2])
+        self.bin.append((item, at, size))
+        for d, used in enumerate((size, 1, _loss(item, at, size))):
+            self.left[d] -= used
+        self.items[slot] = None
+        self.need[:, slot] = 0
+        self.free.append(slot)
+        if at + size < len(ids):
+            self._wait((key, ids, at + size, free))
+        if min(self.left) <= 0:
             self._close()
 
-    def _used(self) -> np.ndarray:
-        tokens = sum(s for _, _, s in self.bin)
-        return np.array((tokens, len(self.bin), sum(_loss(i, a, s) for i, a, s in self.bin)), float)
-
     def _close(self) -> None:
         total = sum(s for _, _, s in self.bin)
-        pieces, self.bin = self.bin[::-1], []
+        pieces, self.bin, self.left = self.bin[::-1], [], list(self.limits)
         while total:
             size = 1 << (total.bit_length() - 1)
             offset = 0

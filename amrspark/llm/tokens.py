@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECES = 1_000_000
-_JOINED = 4_000
-_SLICE_BYTES = 8 << 20
+_PIECES = 2_000_000
+_JOINED = 1_000
+_SLICE_BYTES = 16 << 20
 _CODERS: dict[str, TokenCoder] = {}
 
 
@@ -108,8 +109,7 @@ class TokenCoder:
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Where each piece is remembered."""
-        get = self.known.get
-        rows = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(rows < 0)
         if len(self.known) + len(new) > _PIECES:
             self._forget()
@@ -117,8 +117,11 @@ class TokenCoder:
                 self.ends = np.zeros(len(pieces) + 1, np.int64)
                 self.alone = np.zeros(len(pieces), bool)
             new = np.arange(len(pieces))
-        some_special = any(s in "\n".join(pieces[k] for k in new.tolist()) for s in self.special)
+        together = "\n".join([pieces[k] for k in new.tolist()])
+        some_special = any(s in together for s in self.special)
         heads, tails, alone = [], [], []
+        if not self.spaced and not some_special:
+            tails, new = new.tolist(), new[:0]
         for k in new.tolist():
             piece = pieces[k]
             head = self.spaced and piece[:1] == "\n"
