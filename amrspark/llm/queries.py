@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amrspark.llm import decontaminate, html_text, near_dedup, packing, private_data, quality, url_filter
+from amrspark.llm import (
+    decontaminate,
+    html_text,
+    near_dedup,
+    packing,
+    private_data,
+    quality,
+    token_files,
+    url_filter,
+)
+from amrspark.session import work_folder
 
 URL_RULES = (
     ("block", "net/"),
@@ -28,6 +38,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    path = work_folder(spark, "tokens")
+    token_files.write_tokens(chunks, tokenizer_file("byte_bpe_50k.json"), 0, path)
+    return token_files.read_tokens(spark, path).select(
+        F.col("chunk_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     placed = packing.pack_chunks(chunks, tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -99,6 +118,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op3_decontaminate": op3_decontaminate,
+    "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
