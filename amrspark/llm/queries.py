@@ -12,6 +12,7 @@ from amrspark.llm import (
     html_text,
     near_dedup,
     packing,
+    passages,
     private_data,
     quality,
     token_files,
@@ -101,6 +102,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return passages.shared_passages(chunks).withColumnsRenamed(
+        {"chunk_id": "doc_id", "other_id": "other_doc_id"}
+    )
+
+
 def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     found = private_data.find_private(chunks)
@@ -123,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_passages": op9_passages,
     "op10_private_data": op10_private_data,
 }
 
