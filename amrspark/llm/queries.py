@@ -11,6 +11,7 @@ from amrspark.llm import (
     decontaminate,
     html_text,
     near_dedup,
+    neighbours,
     packing,
     passages,
     private_data,
@@ -88,6 +89,14 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")
+    )
+    found = neighbours.nearest_chunks(vectors, vectors.where(F.col("chunk_id") % 20 == 0))
+    return found.withColumnRenamed("chunk_id", "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     narratives = _table(spark, sf_dir, "benchmark").select(
@@ -125,6 +134,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_neighbours": op2_neighbours,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
