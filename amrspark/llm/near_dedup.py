@@ -14,11 +14,13 @@ from amrspark.llm.components import connected
 from amrspark.llm.store import store
 from amrspark.llm.words import WordHashes, mix, rolling, spaced_words
 
-HASHES, BITS, ROWS_PER_BAND, STAR_ROUNDS = 128, 4, 4, 3
-SLACK = 0.2
-_BLOCK = 256
+HASHES, BITS, ROWS_PER_BAND, STAR_ROUNDS = 128, 4, 4, 2
+FINE_HASHES, FINE_BITS = 1024, 2
+# Over five standard deviations of the estimates by 128 4-bit and by 1,024 2-bit minima.
+SLACK, FINE_SLACK = 0.2, 0.08
+_BLOCK = 2048
 _CHUNK = 4096
-_SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, FINE_HASHES, np.uint64) | np.uint64(1)
 
 
 def group_chunks(
@@ -43,8 +45,10 @@ def group_chunks(
        not with each other. The share of equal 4-bit minima, corrected for the 1/16 that agree by
        chance, estimates the similarity; pairs below the limit less 0.2 (over five standard
        deviations) go. The others are confirmed on the full shingle sets of their texts.
-    4. Classes still apart in a bucket are paired with further pivots, then, after three rounds,
-       block by block, where a task emits only pairs that pass the estimate.
+    4. A class is confirmed with its most similar pivot first. Classes still apart in a bucket
+       meet a second pivot, then all others of the bucket, block by block: a task compares the
+       signatures of two blocks, 128 4-bit and 1,024 2-bit minima, and emits only the pairs that
+       pass both estimates, each in the first bucket the two share.
 
     Chunks without words have no shingles and are linked with nothing. A null chunk_id forms a
     group of its own. Each row of a repeated chunk_id gets a result by its own text; where such
@@ -87,7 +91,7 @@ def group_chunks(
 def _groups(base, classes, kind: str, words: int, percent: int) -> DataFrame:
     """(a, c): the linked classes and the smallest id of the group of each."""
     keyed = store(
-        classes.select(F.explode("bands").alias("key"), "a")
+        classes.select(F.explode("bands").alias("key"))
         .groupBy("key")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > 1)
@@ -97,40 +101,48 @@ def _groups(base, classes, kind: str, words: int, percent: int) -> DataFrame:
     slots = store(
         classes.select(F.explode("bands").alias("key"), "a").join(keyed, "key"), "buckets"
     )
+    # The only shuffle of texts: those of classes that share a bucket.
+    asked = slots.select(F.col("a").alias("chunk_id")).distinct()
+    texts = store(
+        base.join(asked, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("text").alias("text")),
+        "texts",
+    )
     facts = classes.select("a", "n", "signature")
-    limit = percent / 100 - SLACK
-    links, label = None, None
+    limit = percent / 100
+    links, label, live = None, None, slots
     for turn in range(STAR_ROUNDS + 1):
-        live = slots
         if label is not None:
             live = store(_apart(slots, label), "apart")
             if live.isEmpty():
                 break
         if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("h"), F.col("a"))
-            pivots = live.groupBy("key").agg(F.min(order)["a"].alias("b"))
-            star = live.join(pivots, "key").where(F.col("a") != F.col("b"))
-            if label is not None:
-                star = star.join(
-                    label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b"
-                ).where(F.col("c") != F.col("cb"))
-            pairs = star.select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-            ).distinct()
-            left = facts.select("a", F.col("n").alias("na"), F.col("signature").alias("sa"))
-            right = facts.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-            close = pairs.join(left, "a").join(right, "b").where(
-                F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-            )
-            likely = close.mapInArrow(_estimated(limit), f"a {kind}, b {kind}")
+            likely = _stars(live, label, facts, kind, limit - SLACK, percent, turn)
         else:
-            likely = _blocks(live, facts, kind, limit, percent)
-        found = _confirmed(base, store(likely, "likely"), kind, words, percent)
+            likely = _blocks(live, classes, texts, kind, words, limit, percent)
+        found = _confirmed(texts, store(likely, "likely"), kind, words, percent)
         links = found if links is None else links.unionAll(found)
         label = store(connected(links).select(F.col("id").alias("a"), F.col("component").alias("c")), "labels")
     return label
 
 
+def _stars(live, label, facts, kind: str, limit: float, percent: int, turn: int) -> DataFrame:
+    """Every class with the most similar of the pivots of its buckets."""
+    order = F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("h"), F.col("a"))
+    pivots = live.groupBy("key").agg(F.min(order)["a"].alias("b"))
+    star = live.join(pivots, "key").where(F.col("a") != F.col("b"))
+    if label is not None:
+        star = star.join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b", "left").where(
+            F.col("c") != F.coalesce("cb", "b")
+        )
+    left = facts.select("a", F.col("n").alias("na"), F.col("signature").alias("sa"))
+    right = facts.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    close = star.select("a", "b").distinct().join(left, "a").join(right, "b").where(
+        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    )
+    near = close.select("a", "b", "sa", "sb").mapInArrow(_estimated(limit), f"a {kind}, b {kind}, s double")
+    return near.groupBy("a").agg(F.max_by("b", "s").alias("b"))
+
+
 def _apart(slots: DataFrame, label: DataFrame) -> DataFrame:
     """Bucket rows (key, a, c) of the buckets that hold classes of several groups."""
     named = slots.select("key", "a").join(label, "a", "left").select(
@@ -140,12 +152,18 @@ def _apart(slots: DataFrame, label: DataFrame) -> DataFrame:
     return named.join(split.select("key"), "key")
 
 
-def _blocks(live: DataFrame, facts: DataFrame, kind: str, limit: float, percent: int) -> DataFrame:
-    """Pairs of different groups of a bucket that pass the estimate, block by block.
+def _blocks(live, classes, texts, kind: str, words: int, limit: float, percent: int) -> DataFrame:
+    """Pairs of different groups of a bucket that pass both estimates, block by block.
 
-    A bucket of n classes is cut into n/256 blocks by a hash; each pair of blocks is one group of
-    at most about 512 rows, so no task holds a bucket.
+    A bucket of n classes is cut into n/2048 blocks by a hash; each pair of blocks is one group
+    of at most about 4,096 rows, so no task holds a bucket.
     """
+    wanted = live.select(F.col("a").alias("chunk_id")).distinct()
+    fine = store(
+        texts.join(wanted, "chunk_id", "left_semi").mapInArrow(_fine_signer(words), f"a {kind}, fine binary"),
+        "fine",
+    )
+    facts = classes.select("a", "n", "signature", "bands").join(fine, "a")
     sizes = live.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("k"))
     rows = live.join(sizes, "key").select(
         "key", "a", "c", "k", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("i")
@@ -153,24 +171,28 @@ def _blocks(live: DataFrame, facts: DataFrame, kind: str, limit: float, percent:
     spread = rows.select(
         "key", "a", "c", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")
     ).select("key", "a", "c", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
-    full = spread.join(facts, "a").select("key", "x", "y", "i", "a", "c", "n", "signature")
+    full = spread.join(facts, "a").select("key", "x", "y", "i", "a", "c", "n", "signature", "bands", "fine")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, groups = table["a"].to_pylist(), table["c"].to_pylist()
+        group = np.unique(np.array([str(g) for g in groups]), return_inverse=True)[1]
         sizes = table["n"].to_numpy()
-        bits = _unpack(table["signature"])
+        coarse, fine = _unpack(table["signature"]), _unpack(table["fine"])
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(ids), -1)
         side = table["i"].to_numpy()
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        left = np.flatnonzero(side == x)
-        right = np.flatnonzero(side == y)
+        key, x, y = (table[name][0].as_py() for name in ("key", "x", "y"))
+        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
         lo, hi = [], []
         for p in left.tolist():
             others = right[right > p] if x == y else right
+            others = others[group[others] != group[p]]
             near = np.minimum(sizes[p], sizes[others]) * 100 >= np.maximum(sizes[p], sizes[others]) * percent
             others = others[near]
-            good = others[_similarity(bits[p], bits[others]) >= limit]
-            for q in good.tolist():
-                if groups[p] != groups[q]:
+            others = others[_similarity(coarse[p], coarse[others], BITS) >= limit - SLACK]
+            others = others[_similarity(fine[p], fine[others], FINE_BITS) >= limit - FINE_SLACK]
+            if len(others):
+                first = np.argmax(bands[others] == bands[p], axis=1)
+                for q in others[bands[p][first] == key].tolist():
                     lo.append(min(ids[p], ids[q]))
                     hi.append(max(ids[p], ids[q]))
         kinds = table.schema.field("a").type
@@ -194,11 +216,7 @@ def _signer(words: int) -> Callable:
                     signatures.append(b"")
                     band_keys.append([])
                     continue
-                low = np.full(HASHES, ~np.uint64(0))
-                for at in range(0, len(unique), _CHUNK):
-                    part = unique[at : at + _CHUNK, None] * _SEEDS
-                    np.minimum(low, part.min(axis=0), out=low)
-                low = mix(low)
+                low = _minima(unique, HASHES)
                 keys.append(xxhash.xxh3_128_digest(unique.tobytes()))
                 nibble = (low & np.uint64(15)).astype(np.uint8)
                 signatures.append((nibble[::2] | (nibble[1::2] << 4)).tobytes())
@@ -222,46 +240,75 @@ def _signer(words: int) -> Callable:
     return sign
 
 
+def _fine_signer(words: int) -> Callable:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            fine = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                unique = np.unique(shingle_hashes(hashes, spaced_words(text), words))
+                two = (_minima(unique, FINE_HASHES) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+                fine.append((two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk_id"), pa.array(fine, pa.binary())], ["a", "fine"]
+            )
+
+    return sign
+
+
+def _minima(unique: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of each hash function over a set, with its bits mixed."""
+    low = np.full(hashes, ~np.uint64(0))
+    step = max(1, _CHUNK * HASHES // hashes)
+    for at in range(0, len(unique), step):
+        part = unique[at : at + step, None] * _SEEDS[:hashes]
+        np.minimum(low, part.min(axis=0), out=low)
+    return mix(low)
+
+
 def shingle_hashes(hashes: WordHashes, found: list[bytes], words: int) -> np.ndarray:
     """A hash per run of `words` words; fewer words are one run, none give none."""
     return rolling(hashes.of(found), min(words, len(found))) if found else np.empty(0, np.uint64)
 
 
 def _unpack(signatures) -> np.ndarray:
-    packed = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8)
-    return packed.reshape(-1, HASHES * BITS // 8)
+    rows = len(signatures)
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(rows, -1)
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity estimated from the equal 4-bit fields, less those that agree by chance."""
+def _similarity(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Similarity estimated from the equal fields of `bits` bits, less those equal by chance."""
     off = a ^ b
-    equal = ((off & 15) == 0).sum(axis=-1) + ((off >> 4) == 0).sum(axis=-1)
-    chance = 1 / (1 << BITS)
-    return (equal / HASHES - chance) / (1 - chance)
+    fields = 8 // bits
+    equal = _ZERO_FIELDS[bits][off].sum(axis=-1, dtype=np.int64)
+    chance = 1 / (1 << bits)
+    return (equal / (fields * off.shape[-1]) - chance) / (1 - chance)
+
+
+#: For each byte, how many of its fields of 4 or 2 bits are zero.
+_ZERO_FIELDS = {
+    bits: np.array(
+        [sum((v >> at) & ((1 << bits) - 1) == 0 for at in range(0, 8, bits)) for v in range(256)], np.uint8
+    )
+    for bits in (4, 2)
+}
 
 
 def _estimated(limit: float) -> Callable:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _similarity(_unpack(batch.column("sa")), _unpack(batch.column("sb"))) >= limit
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+                s = _similarity(_unpack(batch.column("sa")), _unpack(batch.column("sb")), BITS)
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], ["a", "b", "s"]
+                )
+                yield out.filter(pa.array(s >= limit))
 
     return keep
 
 
-def _confirmed(base: DataFrame, pairs: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are as similar as asked.
-
-    The texts of the chunks in `pairs` are taken out once, and then meet their pairs.
-    """
-    asked = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = store(
-        base.join(asked, base.chunk_id == asked.a, "left_semi")
-        .groupBy("chunk_id")
-        .agg(F.min("text").alias("text")),
-        "asked-texts",
-    )
+def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are as similar as asked."""
     full = (
         pairs.join(texts.select(F.col("chunk_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("chunk_id").alias("b"), F.col("text").alias("tb")), "b")
