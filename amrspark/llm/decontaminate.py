@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,6 @@ from amrspark.llm.words import WORD, WordHashes, plain_words, rolling
 WINDOW = 13
 SLICE_WORDS = 200_000
 _TABLE_BITS = 22
-_FOUND = "n_words long, n_hit long, genomes array<string>, hits array<int>"
 
 
 def scan_chunks(
@@ -25,6 +24,7 @@ def scan_chunks(
     window: int = WINDOW,
     slice_words: int = SLICE_WORDS,
     share: int = 20,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Find narrative passages in chunk texts.
 
@@ -35,6 +35,7 @@ def scan_chunks(
     window: words in a window. A narrative of fewer words, but not none, is one window.
     slice_words: narrative words broadcast at once. More narratives are scanned slice by slice,
         so what is broadcast never grows beyond it (but for one single longer narrative).
+    carry: further columns of chunks to hand through.
     share: a chunk is contaminated if `share` times its hit words reach its words.
 
     Returns one row per chunk row: chunk_id, text, n_words, n_hit (words inside a window that
@@ -44,7 +45,8 @@ def scan_chunks(
     Null and empty texts have no words and no hits. Repeated rows are judged each. A null
     genome_id counts as the text `null`. Without narratives nothing is hit.
     """
-    rows = chunks.select("chunk_id", "text").withColumns({
+    own = ["chunk_id", *carry, "text"]
+    rows = chunks.select(*own).withColumns({
         "n_words": F.lit(0).cast("long"),
         "n_hit": F.lit(0).cast("long"),
         "genomes": F.array().cast("array<string>"),
@@ -59,8 +61,7 @@ def scan_chunks(
         mine = tests.where(F.pmod(F.xxhash64("genome_id", "summary"), F.lit(slices)) == k)
         windows = _windows(mine.toArrow(), window)
         handle = chunks.sparkSession.sparkContext.broadcast(windows)
-        kept = rows.schema["chunk_id"].dataType.simpleString()
-        rows = rows.mapInArrow(_scanner(handle), f"chunk_id {kept}, text string, {_FOUND}")
+        rows = rows.mapInArrow(_scanner(handle, own), rows.schema)
         if k + 1 < slices:
             rows = store(rows, "scanned")
     told = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
@@ -89,7 +90,7 @@ def _windows(tests: pa.Table, window: int) -> dict[int, tuple[np.ndarray, dict]]
     return out
 
 
-def _scanner(handle):
+def _scanner(handle, own: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, hashes = handle.value, WordHashes()
         for batch in batches:
@@ -120,14 +121,13 @@ def _scanner(handle):
                 hits.append(np.flatnonzero(np.diff(inside, prepend=False)).astype(np.int32).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("chunk_id"),
-                    batch.column("text"),
+                    *(batch.column(name) for name in own),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array(genomes, pa.list_(pa.string())),
                     pa.array(hits, pa.list_(pa.int32())),
                 ],
-                ["chunk_id", "text", "n_words", "n_hit", "genomes", "hits"],
+                [*own, "n_words", "n_hit", "genomes", "hits"],
             )
 
     return scan

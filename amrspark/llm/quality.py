@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import eq
@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from amrspark.llm.store import store
 from amrspark.llm.words import spaced_words
@@ -29,25 +30,26 @@ _STOP = b".,;:?"
 _SYMBOL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _STOP)
 
 
-def text_statistics(chunks: DataFrame) -> DataFrame:
-    """chunk_id and the numbers of STATISTICS for each row's whole text; null counts as empty.
+def text_statistics(chunks: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, the carried columns and STATISTICS of each row's whole text; null is empty.
 
     Shares are of characters (upper_share, digit_share, symbol_share, stop_share, in bytes), of
     words (distinct_share, repeat_share: equal to the word before, short_share: up to three
     bytes) or of lines (line_repeat_share).
     """
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    own = ["chunk_id", *carry]
+    given = chunks.select(*own, "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_numbers(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             table = np.array(rows, float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk_id"), *(pa.array(c) for c in table.T)], ["chunk_id", *STATISTICS]
+                [*(batch.column(c) for c in own), *(pa.array(c) for c in table.T)], [*own, *STATISTICS]
             )
 
-    fields = ", ".join(f"{name} double" for name in STATISTICS)
-    return chunks.select("chunk_id", "text").mapInArrow(measure, f"chunk_id {kind}, {fields}")
+    fields = [*given.drop("text").schema, *(StructField(name, DoubleType()) for name in STATISTICS)]
+    return given.mapInArrow(measure, StructType(fields))
 
 
 def _numbers(text: bytes) -> tuple[float, ...]:
@@ -148,7 +150,12 @@ def held_out(chunk_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def score_chunks(
-    chunks: DataFrame, labels: DataFrame, *, max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 7
+    chunks: DataFrame,
+    labels: DataFrame,
+    *,
+    max_train_rows: int = MAX_TRAIN_ROWS,
+    carry: Sequence[str] = (),
+    seed: int = 7,
 ) -> DataFrame:
     """Score every chunk's whole text for quality.
 
@@ -159,6 +166,7 @@ def score_chunks(
         1; null labels and ids and labels of unknown chunks have no effect.
     max_train_rows: about so many labelled rows outside the held-out fold are learnt from, taken
         by a hash of their id; only their ids are broadcast, so this bounds the broadcast.
+    carry: further columns of chunks to hand through; no score reads them.
 
     Returns one row per chunk row: chunk_id, held_out, score (0 to 1), predicted (1 from 0.5 on),
     then the statistics the rules read. Null and empty texts are scored from their zeros. Empty
@@ -177,8 +185,8 @@ def score_chunks(
     known = chunks.select("chunk_id", "text").join(F.broadcast(taken.select("chunk_id")), "chunk_id", "left_semi")
     train = text_statistics(known).join(F.broadcast(taken), "chunk_id")
     model = fit_rules(train, seed=seed)
-    scored = text_statistics(chunks).withColumn("score", model.score())
+    scored = text_statistics(chunks, carry).withColumn("score", model.score())
     return scored.select(
-        "chunk_id", held_out(F.col("chunk_id")).alias("held_out"), "score",
+        "chunk_id", *carry, held_out(F.col("chunk_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), *STATISTICS,
     )
