@@ -214,7 +214,7 @@ def _signer(words: int) -> Callable:
                 if not len(unique):
                     keys.append(b"")
                     signatures.append(b"")
-                    band_keys.append([])
+                    band_keys.append(np.empty(0, np.int64))
                     continue
                 low = _minima(unique, HASHES)
                 keys.append(xxhash.xxh3_128_digest(unique.tobytes()))
