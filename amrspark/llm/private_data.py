@@ -232,7 +232,8 @@ def fit_kinds(chunks: DataFrame, max_train_chunks: int = MAX_TRAIN_CHUNKS, seed:
     share = min(1.0, max_train_chunks / max(1, chunks.count()))
     some = chunks.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     df = some.select(F.lit(0).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("_t"))
-    rows = _candidates(df.where(F.col("_t").rlike("[0-9@]|\\(at\\)|\\[at\\]"))).select(F.explode("_c").alias("c"))
+    # An inner explode would push a filter on _c, and with it all its expressions, below the sample.
+    rows = _candidates(df).select(F.explode_outer("_c").alias("c")).where(F.col("c").isNotNull())
     rows = rows.select("c.*").withColumns({f"is_{k}": _is_base(k, F.col("v")).cast("double") for k in KINDS})
     rows = rows.withColumn("part", F.pmod(F.xxhash64("v", "start"), F.lit(2))).drop("v")
     rows = store(rows, "candidates")
