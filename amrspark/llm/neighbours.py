@@ -140,46 +140,51 @@ class _Block:
         self.lines = np.random.default_rng(seed).standard_normal((size + 1, lines))
         place = unit @ self.lines[:-1] + rest[:, None] * self.lines[-1]
         order = np.argsort(place, axis=0, kind="stable")
-        self.order = order.T.astype(np.int32)
-        self.sorted = np.take_along_axis(place, order, axis=0).T
+        self.sorted = np.take_along_axis(place, order, axis=0).T.copy()
+        # Where each vector stands in the sorted array of each line.
+        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.rank = np.empty(self.sorted.shape, kind)
+        for rank, own in zip(self.rank, order.T, strict=True):
+            rank[own] = np.arange(len(ids), dtype=kind)
 
     def nearest(self, key, query: np.ndarray) -> Iterator[tuple]:
-        n = len(self.ids)
+        n, lines = len(self.ids), len(self.sorted)
         size = np.sqrt((query * query).sum())
         at = (query / size) @ self.lines[:-1]
         target = min(n, max(_LEAST * self.k, math.ceil(self.share * n)))
-        count = np.zeros(n, np.int16)
-        mid = np.array([np.searchsorted(s, p) for s, p in zip(self.sorted, at, strict=True)])
-        low, high = mid.copy(), mid.copy()
-        radius = self._first(at, mid, target)
+        kind = self.rank.dtype.type
+        shifted, inside = np.empty(n, kind), np.empty(n, bool)
+        radius = self._first(at, target)
         while True:
-            for j, (row, p) in enumerate(zip(self.sorted, at, strict=True)):
-                a = int(np.searchsorted(row, p - radius, "left"))
-                b = int(np.searchsorted(row, p + radius, "right"))
-                count[self.order[j, a : low[j]]] += 1
-                count[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
+            count = np.zeros(n, np.uint8 if lines < 256 else np.uint16)
+            whole = True
+            for row, rank, p in zip(self.sorted, self.rank, at, strict=True):
+                low, high = row.searchsorted(p - radius), row.searchsorted(p + radius, "right")
+                whole = whole and high - low == n
+                # A vector lies in the window if its place in the sorted array does.
+                np.subtract(rank, kind(low), out=shifted)
+                np.less(shifted, kind(high - low), out=inside)
+                count += inside
             hit = np.flatnonzero(count >= self.need)
-            if len(hit) >= target or ((low == 0) & (high == n)).all():
+            if len(hit) >= target or whole:
                 break
             radius *= GROWTH
         score = np.zeros(len(hit))
         for column, q in zip(self.columns, query, strict=True):
             score += column[hit] * q
-        best = np.lexsort((hit, -score))
         given = 0
-        for i in best.tolist():
+        for i in np.lexsort((hit, -score)):
             if given == self.k:
                 return
             if self.ids[hit[i]] != key:
                 given += 1
                 yield self.ids[hit[i]], float(score[i])
 
-    def _first(self, at: np.ndarray, mid: np.ndarray, target: int) -> float:
-        """The median radius whose window holds as many vectors as are to be verified."""
-        n = self.sorted.shape[1]
-        half = max(1, target // 2)
+    def _first(self, at: np.ndarray, target: int) -> float:
+        """The median radius whose window reaches as many vectors on a side as are to be verified."""
+        n, half = self.sorted.shape[1], target
         ends = []
-        for row, p, m in zip(self.sorted, at, mid, strict=True):
+        for row, p in zip(self.sorted, at, strict=True):
+            m = int(row.searchsorted(p))
             ends.append(max(p - row[max(0, m - half)], row[min(n - 1, m + half)] - p))
         return max(float(np.median(ends)), 1e-9)
