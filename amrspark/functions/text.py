@@ -134,9 +134,3 @@ def verdict_of_set(in_s: Column, in_r: Column) -> Column:
         .when(in_r & ~in_s, "likely_to_fail")
         .otherwise("no_call")
     )
-
-
-def order_code(c: Name) -> Column:
-    """Number that grows with the byte order of a text (first six bytes)."""
-    head = F.rpad(F.substring(F.hex(F.encode(_col(c), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")

@@ -100,9 +100,10 @@ def _report_side(rows: DataFrame) -> DataFrame:
 
 
 def grounding(narratives: DataFrame, rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """Add `passed`, `rule`, `drug`, `value`. `chunks` is (genome_id, antibiotic, text) of the
+    """Add `passed`, `rule`, `drug`, `value`. A narrative of a genome without report rows fails
+    with the rule genome_not_reported. `chunks` is (genome_id, antibiotic, text) of the
     passages cited for a drug; their numbers may be repeated."""
-    checked = narratives.join(_report_side(rows), "genome_id")
+    checked = narratives.join(_report_side(rows), "genome_id", "left")
     if chunks is None:
         cited = F.create_map().cast("map<string,string>")
         checked = checked.withColumn("_chunks", cited)
@@ -148,6 +149,7 @@ def grounding(narratives: DataFrame, rows: DataFrame, chunks: DataFrame | None =
         for p in fixed.PANEL
     ]
     found = F.coalesce(
+        F.when(F.col("_rows").isNull(), _finding("genome_not_reported", None, None)),
         _first_in(F.transform(entries, _own_numbers)),
         F.when(percent.isNotNull(), _finding("percent_not_in_report", None, percent)),
         F.when(number.isNotNull(), _finding("number_not_in_report", None, number)),
@@ -181,7 +183,7 @@ def ungrounded_percents(published: DataFrame, rows: DataFrame) -> DataFrame:
     """Published texts holding a percentage that is no number of the report."""
     told = decide.narratives(rows).select("genome_id", F.lower("narrative").alias("_told"))
     extra = F.array_except(
-        text.percents_in(F.lower("published")), text.numbers_in(F.col("_told"))
+        text.percents_in(F.lower("published")), text.numbers_in(F.coalesce("_told", F.lit("")))
     )
-    joined = published.join(told, "genome_id").withColumn("percents", extra)
+    joined = published.join(told, "genome_id", "left").withColumn("percents", extra)
     return joined.where(F.size("percents") > 0).select(*published.columns, "percents")

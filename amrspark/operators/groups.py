@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from amrspark import fixed
 from amrspark.functions import text
 from amrspark.operators.labels import first_per_key
+from amrspark.operators.ranking import numbered
 from amrspark.session import cut
 
 
@@ -128,32 +129,32 @@ def fold_groups(
     seed: int = 0,
     group: str = "grp",
     out: str = "fold",
-    heavy_share: int = 50,
 ) -> DataFrame:
     """Add a fold number to a table of groups (n, n_r, n_s), classes spread evenly over folds.
 
-    The fold count falls to the number of groups or of the rarer class, but not below two. Groups
-    large enough to unbalance a fold (n >= N / (heavy_share * k)) are at most heavy_share * k rows
-    per drug; those are placed largest first into the fold furthest below its fair share. All
-    others take a hashed fold, which is even by numbers.
+    The fold count falls to the number of groups or of the rarer class, but not below two. All
+    groups follow one rule: in the order of resistant rows, then rows, both falling, then a seeded
+    hash, they are dealt to the folds back and forth (0 .. k-1, k-1 .. 0, ...).
     """
     drug = sizes.groupBy(*by).agg(
-        F.sum("n").alias("_n"),
-        F.sum("n_r").alias("_r"),
-        F.sum("n_s").alias("_s"),
-        F.count("*").alias("_g"),
+        F.sum("n_r").alias("_r"), F.sum("n_s").alias("_s"), F.count("*").alias("_g")
     )
     one_class = F.greatest("_r", "_s")
     rarer = F.when(F.least("_r", "_s") == 0, one_class).otherwise(F.least("_r", "_s"))
-    drug = drug.withColumn(
-        "_k", F.greatest(F.lit(2), F.least(F.lit(k), F.col("_g"), rarer)).cast("int")
+    drug = drug.select(
+        *by, F.greatest(F.lit(2), F.least(F.lit(k), F.col("_g"), rarer)).cast("int").alias("_k")
     )
-    sized = sizes.join(drug, by)
-    heavy = F.col("n") >= F.col("_n") / (heavy_share * F.col("_k"))
-    tail = sized.where(~heavy).select(
-        *sizes.columns, hash_fold(group, F.col("_k"), seed).alias(out)
+    keyed = sizes.withColumns(
+        {
+            "_o1": -F.col("n_r"),
+            "_o2": -F.col("n"),
+            "_o3": text.hash32(F.concat(F.lit(f"{seed}:"), F.col(group))),
+        }
     )
-    return _place_heavy(sized.where(heavy), by, group, out, seed).unionByName(tail)
+    placed = numbered(keyed, by, ["_o1", "_o2", "_o3", group], "_at").join(drug, by)
+    turn = F.pmod(F.col("_at") - 1, 2 * F.col("_k"))
+    fold = F.least(turn, 2 * F.col("_k") - 1 - turn).cast("int")
+    return placed.select(*sizes.columns, fold.alias(out))
 
 
 def grouped_folds(df: DataFrame, by: list[str], *, group: str = "grp", y: str = "y", out: str = "fold", **kw) -> DataFrame:
@@ -162,57 +163,6 @@ def grouped_folds(df: DataFrame, by: list[str], *, group: str = "grp", y: str =
     return df.join(placed.select(*by, group, out), [*by, group])
 
 
-def _place_heavy(heavy: DataFrame, by: list[str], group: str, out: str, seed: int) -> DataFrame:
-    """Greedy placement as a fold over the sorted, bounded array of heavy groups of each drug."""
-    order = text.hash32(F.concat(F.lit(f"{seed}:"), F.col(group)))
-    item = F.struct(
-        (-F.col("n")).alias("neg"), order.alias("o"), F.col(group).alias("g"), "n_r", "n_s"
-    )
-    lists = heavy.groupBy(*by).agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
-        F.first("_k").alias("_k"),
-        F.first("_r").alias("_r"),
-        F.first("_s").alias("_s"),
-    )
-    zero = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda f: F.struct(
-        F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("s")))
-    start = F.struct(zero.alias("load"), F.array().cast("array<int>").alias("folds"))
-
-    def fill(f: Column, acc: Column) -> Column:
-        load = F.get(acc["load"], f)
-        r = F.coalesce(F.try_divide(load["r"], F.col("_r")), F.lit(0.0))
-        s = F.coalesce(F.try_divide(load["s"], F.col("_s")), F.lit(0.0))
-        return r, s
-
-    def step(acc: Column, x: Column) -> Column:
-        def cost(f: Column) -> Column:
-            r, s = fill(f, acc)
-            rr = r + F.coalesce(F.try_divide(x["n_r"], F.col("_r")), F.lit(0.0))
-            ss = s + F.coalesce(F.try_divide(x["n_s"], F.col("_s")), F.lit(0.0))
-            return F.struct((rr * rr - r * r + ss * ss - s * s).alias("c"), f.alias("f"))
-
-        folds = F.sequence(F.lit(0), F.col("_k") - 1)
-        best = F.array_min(F.transform(folds, cost))["f"]
-        load = F.transform(
-            acc["load"],
-            lambda v, i: F.when(
-                i == best, F.struct((v["r"] + x["n_r"]).alias("r"), (v["s"] + x["n_s"]).alias("s"))
-            ).otherwise(v),
-        )
-        return F.struct(load.alias("load"), F.concat(acc["folds"], F.array(best)).alias("folds"))
-
-    done = lists.withColumn("folds", F.aggregate("items", start, step)["folds"])
-    pair = F.explode(F.arrays_zip("items", "folds")).alias("p")
-    return done.select(*by, pair).select(
-        *by,
-        F.col("p.items.g").alias(group),
-        (-F.col("p.items.neg")).alias("n"),
-        F.col("p.items.n_r").alias("n_r"),
-        F.col("p.items.n_s").alias("n_s"),
-        F.col("p.folds").cast("int").alias(out),
-    )
-
-
 def split_groups(
     sizes: DataFrame, by: list[str], *, k: int = fixed.N_SPLITS, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
@@ -254,3 +204,9 @@ def make_split(df: DataFrame, by: list[str], *, k: int = fixed.N_SPLITS, seed: i
     sizes = cut(group_sizes(df, by))
     groups, status = split_groups(sizes, by, k=k, seed=seed)
     return df.join(groups, [*by, "grp"]), status
+
+
+def split_balance(split: DataFrame, by: list[str], *, y: str = "y") -> DataFrame:
+    """Rows and classes of each part of a split against all other rows of the drug, and whether
+    any of these cells is empty: the balance report that belongs to a split."""
+    return fold_balance(split, by, fold="split", y=y)

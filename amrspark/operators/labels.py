@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from amrspark import fixed
 from amrspark.functions import text
 from amrspark.operators.ranking import weighted_quantile_rows
+from amrspark.session import cut
 
 KEYS = ["genome_id", "antibiotic"]
-# A pair with more rows than this takes its median through the spread path.
-HOT_ROWS = 1_000_000
 
 
 def _present(keys: list[str]) -> Column:
@@ -107,49 +106,36 @@ def mode_or_null(c: str | Column) -> Column:
     return F.mode(c, True)
 
 
-def dominant_unit_median(
-    df: DataFrame, keys: list[str] = KEYS, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def dominant_unit_median(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per key: the most common unit, and the median value and usual sign inside that unit.
 
-    `df` has columns unit, value, sign. Exact median states hold the distinct values of a group;
-    keys with more than `hot_rows` rows go through bucketed ranks instead.
+    `df` has columns unit, value, sign. Equal rows are counted first, so units, signs and medians
+    all come from one table of counts. Medians are ranks over distinct values, dealt by key and
+    value: a key with very many rows is spread over tasks like all others.
     """
     base = df.where(_present(keys) & F.col("unit").isNotNull())
-    base = base.select(*keys, "unit", "value", "sign")
-
-    def pick(rows: DataFrame, *extra: Column) -> DataFrame:
-        units = rows.groupBy(*keys, "unit").agg(
-            F.count("*").alias("n"), mode_or_null("sign").alias("sign"), *extra
-        )
-        fields = [c for c in units.columns if c not in [*keys, "n"]]
-        best = F.min_by(F.struct(*fields), F.struct((-F.col("n")).alias("n"), "unit"))
-        chosen = units.groupBy(*keys).agg(best.alias("_u"))
-        return chosen.select(*keys, *[F.col(f"_u.{c}") for c in fields])
-
-    exact = F.percentile("value", 0.5).alias("value")
-    columns = [*keys, "value", "sign", "unit"]
-    if hot_rows is None:
-        return pick(base, exact).select(*columns)
-    sizes = base.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
-    usual = pick(base.join(hot, keys, "left_anti"), exact).select(*columns)
-    large = base.join(hot, keys, "left_semi")
-    chosen = pick(large)
-    inside = large.drop("sign").join(chosen.select(*keys, "unit"), [*keys, "unit"])
-    inside = inside.where(F.col("value").isNotNull()).withColumn("w", F.lit(1).cast("bigint"))
+    counts = cut(base.groupBy(*keys, "unit", "sign", "value").agg(F.count("*").alias("n")))
+    signs = counts.groupBy(*keys, "unit", "sign").agg(F.sum("n").alias("n"))
+    known = F.col("sign").isNotNull()
+    units = signs.groupBy(*keys, "unit").agg(
+        F.sum("n").alias("n"),
+        F.min_by(F.when(known, F.col("sign")), F.when(known, F.struct(-F.col("n"), "sign"))).alias("sign"),
+    )
+    best = F.min_by(F.struct("unit", "sign"), F.struct((-F.col("n")).alias("n"), "unit"))
+    chosen = units.groupBy(*keys).agg(best.alias("_u")).select(*keys, "_u.unit", "_u.sign")
+    inside = counts.drop("sign").join(chosen.select(*keys, "unit"), [*keys, "unit"])
     middle = weighted_quantile_rows(
-        inside,
+        inside.where(F.col("value").isNotNull()),
         keys,
         "value",
-        "w",
+        "n",
         {"_a": F.floor((F.col("n") + 1) / 2), "_b": F.ceil((F.col("n") + 1) / 2)},
     )
     middle = middle.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias("value"))
-    return usual.unionByName(chosen.join(middle, keys, "left").select(*columns))
+    return chosen.join(middle, keys, "left").select(*keys, "value", "sign", "unit")
 
 
-def label_table(working: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def label_table(working: DataFrame) -> DataFrame:
     """Vote, measurement and provenance per pair.
 
     Votes and provenance come from one pass over the rows; measurements use every row of the
@@ -184,7 +170,6 @@ def label_table(working: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFram
             text.number("measurement_value").alias("value"),
             text.mic_sign("measurement").alias("sign"),
         ),
-        hot_rows=hot_rows,
     ).select(
         *KEYS,
         F.col("value").alias("mic_value"),

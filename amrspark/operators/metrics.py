@@ -51,26 +51,15 @@ def confusion_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def rank_metrics(
-    df: DataFrame,
-    by: list[str],
-    buckets: int | None = None,
-    bounds: tuple[float, float] | None = (0.0, 1.0),
-) -> DataFrame:
-    """AUROC with ties counted half, and average precision as a step sum over distinct scores.
-
-    Scores other than probabilities need `bounds=None`, which looks their range up.
-    """
+def rank_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """AUROC with ties counted half, and average precision as a step sum over distinct scores."""
     rows = df.select(
         *by,
         "p",
         F.col("y").cast("bigint").alias("pos"),
         (1 - F.col("y")).cast("bigint").alias("neg"),
     )
-    extra = {} if buckets is None else {"buckets": buckets}
-    if bounds is not None:
-        extra["bounds"] = bounds
-    levels = cumulative(rows, by, "p", ["pos", "neg"], **extra)
+    levels = cumulative(rows, by, "p", ["pos", "neg"])
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
@@ -191,12 +180,3 @@ def fingerprint(genomes: DataFrame) -> DataFrame:
         .cast("string")
         .alias("hash_sum"),
     )
-
-
-def exact_fingerprint(genomes: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted ids: for cohorts of a checked size only, as ids form one value."""
-    ids = genomes.select("genome_id").distinct()
-    if ids.limit(200_001).count() > 200_000:
-        raise ValueError("too many genomes for one value; use fingerprint()")
-    joined = F.array_join(F.array_sort(F.collect_list("genome_id")), "\n")
-    return ids.agg(F.count("*").alias("n_genomes"), F.sha2(joined, 256).alias("sha256"))

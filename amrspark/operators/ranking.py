@@ -1,9 +1,9 @@
 """Running sums and ranks inside groups of any size.
 
-A plain ordered window sends a whole group to one task. Here each group is cut into buckets along
-its value range, buckets are summed (a small table), and the ordered window runs inside one bucket
-only. A group holding a third of all rows is then spread over many tasks. Equal values are summed
-before anything is shuffled, so ties cost nothing.
+A plain ordered window sends a whole group to one task. Here the rows are dealt to ranges of equal
+size in the order asked for, whatever their values are: Spark samples the keys, so a group holding a
+third of all rows, or values crowded near one end, are spread over many tasks all the same. The sums
+per range (a small table) give each range its offset, and the ordered window runs inside one range.
 """
 
 from __future__ import annotations
@@ -11,55 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amrspark.functions import text
+from amrspark.session import cut
 
-BUCKETS = 2048
 
+def ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with `_range`, the number of its range in ascending `order`. Written once, since a range
+    is only known where the rows were dealt. Equal keys share a range."""
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
-def cumulative(
-    df: DataFrame,
-    part: list[str],
-    key: str,
-    weights: list[str],
-    *,
-    bounds: tuple[float, float] | None = None,
-    place: Column | None = None,
-    buckets: int = BUCKETS,
-) -> DataFrame:
+
+def _offsets(placed: DataFrame, part: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (part, range): each sum over the earlier ranges of the part, and over the whole part."""
+    per_range = placed.groupBy(*part, "_range").agg(*[s.alias(f"_{n}") for n, s in sums.items()])
+    whole = Window.partitionBy(*part)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.select(
+        *part,
+        "_range",
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums],
+        *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums],
+    )
+
+
+def cumulative(df: DataFrame, part: list[str], key: str, weights: list[str]) -> DataFrame:
     """One row per (part, key) with each weight summed, plus for each weight `w`:
     `w_before` (sum over smaller keys of the part) and `w_total` (sum over the part).
 
-    `bounds` is a range known to hold every key; without it the range of each part is looked up
-    first. `place` maps the key to a number that never falls as the key grows (default: the key
-    itself). Part columns and keys must not be null.
+    Equal keys are summed before anything is dealt. Part columns and keys must not be null.
     """
-    place = F.col(key).cast("double") if place is None else place
     sums = df.groupBy(*part, key).agg(*[F.sum(w).alias(w) for w in weights])
-    if bounds is None:
-        sums = sums.withColumn("_at", place)
-        span = sums.groupBy(*part).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        sums = sums.join(span, part)
-        at, low, high = F.col("_at"), F.col("_lo"), F.col("_hi")
-    else:
-        at, low, high = place, F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    share = F.floor((at - low) / (high - low) * buckets)
-    placed = sums.withColumn(
-        "_b",
-        F.when(high > low, F.greatest(F.lit(0), F.least(F.lit(buckets), share))).otherwise(F.lit(0)),
-    )
-    per_bucket = placed.groupBy(*part, "_b").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
-    whole = Window.partitionBy(*part)
-    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *part,
-        "_b",
-        *[F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0)).alias(f"_{w}") for w in weights],
-        *[F.sum(f"_{w}").over(whole).alias(f"{w}_total") for w in weights],
-    )
+    placed = ranges(sums, [*part, key])
+    offsets = _offsets(placed, part, {w: F.sum(w) for w in weights})
     inside = (
-        Window.partitionBy(*part, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*part, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return placed.join(offsets, [*part, "_b"]).select(
+    return placed.join(offsets, [*part, "_range"]).select(
         *part,
         key,
         *weights,
@@ -71,51 +57,35 @@ def cumulative(
     )
 
 
-def ranked(
-    df: DataFrame,
-    part: list[str],
-    score: str,
-    tie: str,
-    *,
-    out: str = "rank",
-    bounds: tuple[float, float] | None = None,
-    tie_is_text: bool = False,
-    buckets: int = BUCKETS,
-    tie_rows: int = 100_000,
-) -> DataFrame:
+def numbered(df: DataFrame, part: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Add the number (from 1) of each row of its part in ascending `order`, which must tell the
+    rows of a part apart, and `_n`, the rows of the part."""
+    placed = ranges(df, [*part, *order])
+    offsets = _offsets(placed, part, {"n": F.count("*")})
+    inside = F.row_number().over(Window.partitionBy(*part, "_range").orderBy(*order))
+    return placed.join(offsets, [*part, "_range"]).select(
+        *df.columns, (F.col("_n") + inside).cast("bigint").alias(out), F.col("n_total").alias("_n")
+    )
+
+
+def ranked(df: DataFrame, part: list[str], score: str, tie: str, *, out: str = "rank") -> DataFrame:
     """Add the rank (from 1) of each row by score descending, then tie ascending.
 
-    (part, tie) must identify a row. Distinct scores are placed first. Rows of equal score are
-    numbered among themselves: up to `tie_rows` of them in a plain window, more in buckets. So
-    neither a popular part nor a popular score is handled by a single task.
+    (part, tie) must identify a row.
     """
-    rows = df.withColumn("_down", -F.col(score)).withColumn("_one", F.lit(1).cast("bigint"))
-    flipped = None if bounds is None else (-bounds[1], -bounds[0])
-    levels = cumulative(rows, part, "_down", ["_one"], bounds=flipped, buckets=buckets).select(
-        *part, "_down", F.col("_one_before").alias("_above"), F.col("_one").alias("_ties")
-    )
-    joined = rows.join(levels, [*part, "_down"])
-    few = joined.where(F.col("_ties") <= tie_rows)
-    within = F.row_number().over(Window.partitionBy(*part, "_down").orderBy(tie))
-    few = few.select(*df.columns, (F.col("_above") + within).alias(out))
-    many = joined.where(F.col("_ties") > tie_rows)
-    place = text.order_code(tie) if tie_is_text else None
-    among = cumulative(many, [*part, "_down"], tie, ["_one"], place=place, buckets=buckets).select(
-        *part, "_down", tie, F.col("_one_before").alias("_ahead")
-    )
-    many = many.join(among, [*part, "_down", tie])
-    many = many.select(*df.columns, (F.col("_above") + F.col("_ahead") + 1).alias(out))
-    return few.unionByName(many)
+    rows = df.withColumn("_down", -F.col(score))
+    return numbered(rows, part, ["_down", tie], out).select(*df.columns, out)
 
 
 def weighted_quantile_rows(
-    df: DataFrame, part: list[str], key: str, weight: str, ranks: dict[str, Column], **kw
+    df: DataFrame, part: list[str], key: str, weight: str, ranks: dict[str, Column]
 ) -> DataFrame:
     """Per part, the key at each 1-based rank. A rank is an expression over `n` (rows in the part);
     the result is null where the rank is outside 1..n."""
-    spread = cumulative(df, part, key, [weight], **kw).withColumn("n", F.col(f"{weight}_total"))
-    low, high = F.col(f"{weight}_before"), F.col(f"{weight}_before") + F.col(weight)
-    return spread.groupBy(*part).agg(
+    rows = df.select(*part, key, F.col(weight).alias("w"))
+    summed = cumulative(rows, part, key, ["w"]).withColumn("n", F.col("w_total"))
+    low, high = F.col("w_before"), F.col("w_before") + F.col("w")
+    return summed.groupBy(*part).agg(
         F.first("n").alias("n"),
         *[
             F.max(F.when((rank > low) & (rank <= high), F.col(key))).alias(name)

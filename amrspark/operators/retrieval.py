@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from amrspark import fixed
 from amrspark.functions import text
-from amrspark.operators.ranking import cumulative, ranked
-from amrspark.session import cut, spread
+from amrspark.operators.ranking import numbered, ranked
+from amrspark.session import cut
 
 # Scores are compared at this many digits, so that the order of summation cannot reorder ties.
 DIGITS = 9
-# A query matching at most this many documents is ranked by an ordinary window.
-PLAIN_ROWS = 2_000_000
 
 
 @dataclass
@@ -33,7 +31,6 @@ class Index:
     n: int
     avgdl: float
     average_idf: float
-    id_is_text: bool
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -42,24 +39,17 @@ def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Dat
     return rows.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_index(docs: DataFrame, *, id_is_text: bool = False) -> Index:
+def build_index(docs: DataFrame) -> Index:
     """Index `docs` (doc_id unique, text). The postings are written once and reused by every leg."""
     corpus = docs.select("doc_id", "text")
-    postings = cut(term_counts(spread(corpus)))
-    place = text.order_code("doc_id") if id_is_text else None
-    ordered = cumulative(
-        corpus.select(F.lit(0).alias("_p"), "doc_id", F.lit(1).cast("bigint").alias("w")),
-        ["_p"],
-        "doc_id",
-        ["w"],
-        place=place,
-    ).select("doc_id", F.col("w_before").alias("pos"))
-    ordered = cut(ordered)
+    postings = cut(term_counts(corpus))
+    ordered = numbered(corpus.select("doc_id"), [], ["doc_id"], "pos")
+    ordered = cut(ordered.select("doc_id", (F.col("pos") - 1).alias("pos")))
     n = ordered.count()
     per_token = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     total = per_token.agg(F.sum("tf").alias("length"), F.avg(_raw_idf(n)).alias("idf")).first()
     avgdl = (total["length"] or 0) / n if n else 0.0
-    return Index(postings, ordered, n, avgdl, total["idf"] or 0.0, id_is_text)
+    return Index(postings, ordered, n, avgdl, total["idf"] or 0.0)
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -132,34 +122,20 @@ def _combined(index: Index, legs: list[DataFrame]) -> DataFrame:
     return cut(wide.join(index.docs, "doc_id"))
 
 
-def _with_order(index: Index, rows: DataFrame, plain: bool) -> DataFrame:
+def _with_order(rows: DataFrame) -> DataFrame:
     """Add `_b`: how many rows of the query have a smaller position, and `_w`: how many it has."""
-    if plain:
-        whole = Window.partitionBy("query_id")
-        return rows.withColumns(
-            {
-                "_b": F.row_number().over(whole.orderBy("pos")) - 1,
-                "_w": F.count("*").over(whole),
-            }
-        )
-    ones = rows.select("query_id", "pos", F.lit(1).cast("bigint").alias("w"))
-    spread = cumulative(ones, ["query_id"], "pos", ["w"], bounds=(0, index.n))
-    spread = spread.select(
-        "query_id", "pos", F.col("w_before").alias("_b"), F.col("w_total").alias("_w")
-    )
-    return rows.join(spread, ["query_id", "pos"])
+    placed = numbered(rows, ["query_id"], ["pos"], "_b")
+    return placed.select(*rows.columns, (F.col("_b") - 1).alias("_b"), F.col("_n").alias("_w"))
 
 
-def _first_unmatched(
-    index: Index, queries: DataFrame, matched: DataFrame, k: int, plain: bool
-) -> DataFrame:
+def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: int) -> DataFrame:
     """The k smallest ids per query that match in no leg.
 
     With matched positions in order, position p has `p - (matched before p)` unmatched ones before
     it; the j-th unmatched position is j plus the number of matched ones with at most j such.
     """
     gap = F.col("pos") - F.col("_b")
-    counts = _with_order(index, matched.select("query_id", "pos"), plain).groupBy("query_id").agg(
+    counts = _with_order(matched.select("query_id", "pos")).groupBy("query_id").agg(
         F.array(*[F.count_if(gap <= j) + j for j in range(k)]).alias("_m")
     )
     start = F.array(*[F.lit(j).cast("bigint") for j in range(k)])
@@ -168,20 +144,14 @@ def _first_unmatched(
     return spots.join(index.docs, "pos").select("query_id", "doc_id", "pos")
 
 
-def _rank_column(
-    index: Index, rows: DataFrame, leg: str, plain: bool, bounds: tuple[float, float]
-) -> DataFrame:
+def _rank_column(index: Index, rows: DataFrame, leg: str) -> DataFrame:
     """Rank over the whole corpus in one leg: score descending, then position.
 
     Documents missing from `rows` have score zero in every leg. Ahead of a zero row are the missing
     ones with smaller positions, ahead of a negative row all of them.
     """
     scored = rows.withColumn("_s", F.coalesce(leg, F.lit(0.0)))
-    if plain:
-        order = Window.partitionBy("query_id").orderBy(F.col("_s").desc(), "pos")
-        scored = scored.withColumn("_a", F.row_number().over(order))
-    else:
-        scored = ranked(scored, ["query_id"], "_s", "pos", out="_a", bounds=bounds)
+    scored = ranked(scored, ["query_id"], "_s", "pos", out="_a")
     missing = (
         F.when(F.col("_s") > 0, 0)
         .when(F.col("_s") == 0, F.col("pos") - F.col("_b"))
@@ -191,35 +161,18 @@ def _rank_column(
 
 
 def fuse(
-    index: Index,
-    queries: DataFrame,
-    legs: list[DataFrame],
-    k: int = 5,
-    rrf_k: int = fixed.RRF_K,
-    plain_rows: int = PLAIN_ROWS,
+    index: Index, queries: DataFrame, legs: list[DataFrame], k: int = 5, rrf_k: int = fixed.RRF_K
 ) -> DataFrame:
     """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id.
 
-    When no query matches more than `plain_rows` documents, ranks are ordinary windows per query;
-    otherwise every rank is spread over buckets.
+    A query of any number of matching documents is ranked in ranges spread over tasks.
     """
     matched = _combined(index, legs)
     names = [f"s{i}" for i in range(len(legs))]
-    stats = (
-        matched.groupBy("query_id")
-        .agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{t}") for c in names for t, f in (("lo", F.min), ("hi", F.max))])
-        .agg(F.max("n").alias("n"), *[f(f"{c}_{t}").alias(f"{c}_{t}") for c in names for t, f in (("lo", F.min), ("hi", F.max))])
-        .first()
-    )
-    plain = (stats["n"] or 0) <= plain_rows
-    extra = _first_unmatched(index, queries, matched, k, plain)
-    rows = matched.unionByName(extra, allowMissingColumns=True)
-    # A spread rank reads its rows several times, so each step is written before the next one.
-    keep = (lambda df: df) if plain else cut
-    rows = keep(_with_order(index, keep(rows), plain))
+    extra = _first_unmatched(index, queries, matched, k)
+    rows = _with_order(matched.unionByName(extra, allowMissingColumns=True))
     for c in names:
-        bounds = (min(0.0, stats[f"{c}_lo"] or 0.0), max(0.0, stats[f"{c}_hi"] or 0.0))
-        rows = keep(_rank_column(index, rows, c, plain, bounds))
+        rows = _rank_column(index, rows, c)
     score = reduce(
         lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(f"r_{c}")) for c in names]
     )
@@ -232,13 +185,11 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def retrieve(
-    index: Index, queries: DataFrame, k: int = 5, *, dense: bool = True, plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
+def retrieve(index: Index, queries: DataFrame, k: int = 5, *, dense: bool = True) -> DataFrame:
     legs = [bm25_scores(index, queries)]
     if dense:
         legs.append(dense_scores(index, queries))
-    return fuse(index, queries, legs, k, plain_rows=plain_rows)
+    return fuse(index, queries, legs, k)
 
 
 def evidence_for_genes(rows: DataFrame, chunks: DataFrame, k: int = 5, *, dense: bool = False) -> DataFrame:
@@ -256,7 +207,7 @@ def evidence_for_genes(rows: DataFrame, chunks: DataFrame, k: int = 5, *, dense:
     corpus = chunks.select(
         F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "gene_family", "text").alias("text")
     )
-    found = retrieve(build_index(corpus, id_is_text=True), queries, k, dense=dense)
+    found = retrieve(build_index(corpus), queries, k, dense=dense)
     hits = asked.select("genome_id", "antibiotic", "query_id").join(found, "query_id")
     return hits.select(
         "genome_id", "antibiotic", F.col("doc_id").alias("chunk_id"), "score", "rank"

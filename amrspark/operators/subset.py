@@ -91,7 +91,7 @@ def capped_subset(
     *,
     cap: int,
     drugs: tuple[str, ...],
-    per_drug_target: int = 30,
+    per_drug_target: int = 40,
     max_group_fraction: float = 0.15,
 ) -> Subset:
     """Quotas first, then genomes of the least represented groups up to the cap."""

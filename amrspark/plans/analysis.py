@@ -113,7 +113,9 @@ def build_dataset(
     else:
         files = raw.where("false").select("genome_id")
     labels = L.with_fasta_flag(L.label_table(working), files)
-    L.contract_violations(labels)
+    broken = L.contract_violations(labels).limit(1).collect()
+    if broken:
+        raise ValueError(f"label table breaks its contract: {broken[0].asDict()}")
     tables.write_labels(labels, f"{out}/labels.parquet")
     labels = spark.read.parquet(f"{out}/labels.parquet").select(*fixed.LABEL_COLUMNS)
     meta = None
@@ -180,7 +182,10 @@ def stored_models(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
         tau = store.load(spark, root, drug, "conformal", n)
         models.append(head.join(tau, "antibiotic").withColumn("version", F.lit(f"v{n}")))
         weights.append(store.load(spark, root, drug, "coefficients", n))
-    stamp = lines.select("db_version", "schema_version", "engineered_version").limit(1)
+    stamp = lines.select("db_version", "schema_version", "engineered_version").distinct()
+    if len({(r["db_version"], r["schema_version"], r["engineered_version"]) for r in newest}) > 1:
+        told = sorted(f"{r['antibiotic']}: {r['db_version']}, {r['schema_version']}, {r['engineered_version']}" for r in newest)
+        raise ValueError(f"models of one store disagree on versions: {'; '.join(told)}")
     return (
         reduce(DataFrame.unionByName, models),
         reduce(DataFrame.unionByName, weights),

@@ -79,21 +79,86 @@ def split_status(spark, sf_dir):
     return status
 
 
+def split_balance(spark, sf_dir):
+    rows, _ = G.make_split(cohort(spark, sf_dir), ["drug"])
+    return G.split_balance(rows, ["drug"])
+
+
 def split_leakage(spark, sf_dir):
-    """Leaking groups of the real split: always empty."""
+    """Groups of the split, and how many of them leak; then the same with a damaged split, where
+    every seventh genome of the test part is moved to the training part."""
     rows, _ = G.make_split(cohort(spark, sf_dir), ["drug"])
-    return G.leaking_groups(rows, ["drug"]).groupBy("drug").agg(F.count("*").alias("n_leaking"))
+    seventh = (F.col("genome_id").cast("bigint") % 7 == 0) & (F.col("split") == "test")
+    damaged = rows.withColumn("split", F.when(seventh, "train").otherwise(F.col("split")))
+    out = []
+    for name, split in (("made", rows), ("damaged", damaged)):
+        leaking = G.leaking_groups(split, ["drug"]).groupBy("drug").agg(F.count("*").alias("n_leaking"))
+        groups = split.groupBy("drug").agg(F.countDistinct("grp").alias("n_groups"))
+        out.append(
+            groups.join(leaking, "drug", "left")
+            .fillna(0, ["n_leaking"])
+            .select("drug", F.lit(name).alias("input"), "n_groups", "n_leaking")
+        )
+    return out[0].unionByName(out[1])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         mlst_groups, group_sizes, min_n, holdout_group, hash_folds, fold_balance, leakage_check,
-        grouped_folds, split_rows, split_status, split_leakage,
+        grouped_folds, split_rows, split_balance, split_status, split_leakage,
     )
 }
 
 _H = B.duck_hash
+
+
+def _folds(groups: str, seed: int) -> str:
+    """The dealing rule over a table of groups (drug, grp, n, n_r, n_s)."""
+    return f"""SELECT drug, grp, n, n_r, n_s, cast(least(place % (2 * k), 2 * k - 1 - place % (2 * k)) AS int) AS fold
+      FROM (SELECT *, greatest(2, least(5, g, CASE WHEN least(r, s) = 0 THEN greatest(r, s)
+        ELSE least(r, s) END)) AS k FROM (SELECT *, count(*) OVER d AS g, sum(n_r) OVER d AS r,
+          sum(n_s) OVER d AS s, row_number() OVER (PARTITION BY drug ORDER BY n_r DESC, n DESC,
+          {_H(f"'{seed}:' || grp")}, grp) - 1 AS place FROM ({groups}) WINDOW d AS (PARTITION BY drug)))"""
+
+
+_SIZES = """SELECT drug, grp, count(*) AS n, count(*) FILTER (WHERE y = 'R') AS n_r,
+      count(*) FILTER (WHERE y = 'S') AS n_s, count(DISTINCT y) AS c FROM cohort GROUP BY drug, grp"""
+SPLIT_BASE = f"""{COHORT_SQL},
+      sizes AS ({_SIZES}),
+      fit AS (SELECT drug FROM sizes GROUP BY drug
+        HAVING sum(n_r) >= 20 AND sum(n_s) >= 20 AND count(*) >= 4),
+      ordered AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY c DESC, n DESC, grp) AS h
+        FROM sizes JOIN fit USING (drug))"""
+
+
+def split_sql(seed: int, name: str = "split") -> str:
+    """The split of a seed as `<name>_rows`, after SPLIT_BASE."""
+    return f"""{name}_outer AS ({_folds('SELECT drug, grp, n, n_r, n_s FROM ordered WHERE h > 1', seed)}),
+      {name}_inner AS ({_folds(f'SELECT drug, grp, n, n_r, n_s FROM {name}_outer WHERE fold > 0', seed + 1)}),
+      {name}_parts AS (SELECT drug, grp, 'holdout' AS split FROM ordered WHERE h = 1
+        UNION ALL SELECT drug, grp, 'test' FROM {name}_outer WHERE fold = 0
+        UNION ALL SELECT drug, grp, CASE fold WHEN 0 THEN 'calibration' ELSE 'train' END
+        FROM {name}_inner),
+      {name}_rows AS (SELECT c.*, split FROM cohort c JOIN {name}_parts USING (drug, grp))"""
+
+
+_SPLIT = f"{SPLIT_BASE}, {split_sql(0)}"
+
+
+def _balance(rows: str, fold: str) -> str:
+    return f"""f AS (SELECT drug, {fold}, count(*) AS n_test,
+        count(*) FILTER (WHERE y = 'R') AS test_resistant,
+        count(*) FILTER (WHERE y = 'S') AS test_susceptible FROM {rows} GROUP BY ALL),
+      t AS (SELECT *, cast(sum(n_test) OVER (PARTITION BY drug) AS bigint) - n_test AS n_train,
+        cast(sum(test_resistant) OVER (PARTITION BY drug) AS bigint) - test_resistant
+          AS train_resistant,
+        cast(sum(test_susceptible) OVER (PARTITION BY drug) AS bigint) - test_susceptible
+          AS train_susceptible FROM f)
+      SELECT *, least(train_resistant, train_susceptible, test_resistant, test_susceptible) = 0
+        AS degraded FROM t"""
+
+
 SQL = {
     "mlst_groups": f"WITH {GROUPS_SQL} SELECT genome_id, grp FROM grouped",
     "group_sizes": f"""WITH {COHORT_SQL} SELECT drug, grp, count(*) AS n,
@@ -114,16 +179,7 @@ SQL = {
       SELECT drug, cast({_H("'0:' || grp")} % 5 AS int) AS fold, count(*) AS n,
         count(DISTINCT grp) AS n_groups FROM cohort GROUP BY ALL""",
     "fold_balance": f"""WITH {COHORT_SQL},
-      f AS (SELECT drug, cast({_H("'0:' || grp")} % 5 AS int) AS fold, count(*) AS n_test,
-        count(*) FILTER (WHERE y = 'R') AS test_resistant,
-        count(*) FILTER (WHERE y = 'S') AS test_susceptible FROM cohort GROUP BY ALL),
-      t AS (SELECT *, cast(sum(n_test) OVER (PARTITION BY drug) AS bigint) - n_test AS n_train,
-        cast(sum(test_resistant) OVER (PARTITION BY drug) AS bigint) - test_resistant
-          AS train_resistant,
-        cast(sum(test_susceptible) OVER (PARTITION BY drug) AS bigint) - test_susceptible
-          AS train_susceptible FROM f)
-      SELECT *, least(train_resistant, train_susceptible, test_resistant, test_susceptible) = 0
-        AS degraded FROM t""",
+      hashed AS (SELECT drug, y, cast({_H("'0:' || grp")} % 5 AS int) AS fold FROM cohort), {_balance('hashed', 'fold')}""",
     "leakage_check": f"""WITH {COHORT_SQL}
       SELECT drug, grp, count(DISTINCT {_H("'0:' || genome_id")} % 3) AS n_splits FROM cohort
       GROUP BY drug, grp HAVING n_splits > 1""",
@@ -135,6 +191,16 @@ SQL = {
           THEN 'insufficient data: need >=20 R and >=20 S, have ' || r || ' R / ' || s || ' S'
           WHEN g < 4 THEN 'insufficient homology-group diversity: ' || g ||
             ' distinct group(s) < 4 needed' END AS reason, g AS n_groups FROM c""",
-    "split_leakage": f"""WITH {COHORT_SQL} SELECT drug, count(*) AS n_leaking FROM cohort
-      WHERE false GROUP BY drug""",
+    "grouped_folds": f"""WITH {COHORT_SQL},
+      dealt AS ({_folds(_SIZES, 0)}),
+      rows_ AS (SELECT c.drug, c.y, fold FROM cohort c JOIN dealt USING (drug, grp)), {_balance('rows_', 'fold')}""",
+    "split_rows": f"WITH {_SPLIT} SELECT * FROM split_rows",
+    "split_balance": f"WITH {_SPLIT}, {_balance('split_rows', 'split')}",
+    "split_leakage": f"""WITH {_SPLIT},
+      both_ AS (SELECT 'made' AS input, drug, grp, split FROM split_rows UNION ALL
+        SELECT 'damaged', drug, grp, CASE WHEN cast(genome_id AS bigint) % 7 = 0 AND split = 'test'
+          THEN 'train' ELSE split END FROM split_rows),
+      g AS (SELECT input, drug, grp, count(DISTINCT split) AS n FROM both_ GROUP BY ALL)
+      SELECT drug, input, count(*) AS n_groups, count(*) FILTER (WHERE n > 1) AS n_leaking
+      FROM g GROUP BY ALL""",
 }

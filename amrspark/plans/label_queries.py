@@ -107,13 +107,12 @@ def eligible_ids(spark, sf_dir):
 
 
 def label_contract(spark, sf_dir):
-    """Raw phenotype text put where a canonical class belongs must be reported."""
-    labels = B.tests(spark, sf_dir).withColumn("sir", F.col("resistant_phenotype"))
-    return (
-        labels.where(F.col("sir").isNotNull() & ~F.col("sir").isin(*fixed.SIR_CLASSES))
-        .groupBy("sir")
-        .agg(F.count("*").alias("n"))
-    )
+    """The contract check on labels of which every seventh genome has a damaged class."""
+    rows = working(spark, sf_dir)
+    labels = L.with_fasta_flag(L.label_table(rows), rows.select("genome_id"))
+    seventh = F.col("genome_id").cast("bigint") % 7 == 0
+    damaged = labels.withColumn("sir", F.when(seventh, F.concat(F.lit("?"), "sir")).otherwise(F.col("sir")))
+    return L.contract_violations(damaged).groupBy("sir").agg(F.count("*").alias("n"))
 
 
 def source_reconcile(spark, sf_dir):
@@ -253,10 +252,8 @@ SQL = {
         AND antibiotic IN ('meropenem', 'ceftriaxone', 'ciprofloxacin'))
       SELECT DISTINCT genome_id FROM kept JOIN (SELECT antibiotic FROM kept GROUP BY antibiotic
         HAVING count(*) >= 10) USING (antibiotic)""",
-    "label_contract": f"""WITH raw AS ({B.TESTS_SQL})
-      SELECT resistant_phenotype AS sir, count(*) AS n FROM raw
-      WHERE resistant_phenotype NOT IN ('Resistant', 'Susceptible', 'Intermediate',
-        'Nonsusceptible', 'Susceptible-dose dependent') GROUP BY ALL""",
+    "label_contract": f"""WITH {B.CANON_SQL} SELECT '?' || sir AS sir, count(*) AS n FROM labels0
+      WHERE cast(genome_id AS bigint) % 7 = 0 GROUP BY ALL""",
     "source_reconcile": """WITH l AS (SELECT event_type AS value, count(*) AS local_n FROM events
         GROUP BY ALL),
       r AS (SELECT event_type AS value, count(*) FILTER (WHERE value < 100) AS remote_n FROM events

@@ -13,6 +13,7 @@ from amrspark.operators import subset as S
 from amrspark.plans import bindings as B
 from amrspark.plans import label_queries
 from amrspark.plans.bindings import CANON_SQL, GROUPS_SQL
+from amrspark.plans.group_queries import SPLIT_BASE, cohort, split_sql
 
 _DIM = 64
 
@@ -62,15 +63,19 @@ def subset_candidates(spark, sf_dir):
 
 
 def split_reproduction(spark, sf_dir):
-    """The same seed gives the same split: genomes whose split differs on a second run (none)."""
-    from amrspark.plans.group_queries import cohort
-
+    """The same seed gives the same split: genomes compared with a second run, and how many differ;
+    then against a run of another seed, where many do."""
     one, _ = G.make_split(cohort(spark, sf_dir), ["drug"])
-    two, _ = G.make_split(cohort(spark, sf_dir), ["drug"])
-    both = one.select("genome_id", "drug", F.col("split").alias("a")).join(
-        two.select("genome_id", "drug", F.col("split").alias("b")), ["genome_id", "drug"], "full_outer"
-    )
-    return both.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("drug").agg(F.count("*").alias("n"))
+    out = []
+    for seed in (0, 4):
+        two, _ = G.make_split(cohort(spark, sf_dir), ["drug"], seed=seed)
+        both = one.select("genome_id", "drug", F.col("split").alias("a")).join(
+            two.select("genome_id", "drug", F.col("split").alias("b")), ["genome_id", "drug"], "full_outer"
+        )
+        differs = ~F.col("a").eqNullSafe(F.col("b"))
+        counted = both.groupBy("drug").agg(F.count("*").alias("n"), F.count_if(differs).alias("n_different"))
+        out.append(counted.withColumn("seed", F.lit(seed)))
+    return out[0].unionByName(out[1])
 
 
 QUERIES = {
@@ -85,6 +90,8 @@ SQL = {
         WHERE sir IN ('Resistant', 'Susceptible') GROUP BY genome_id)
       SELECT genome_id, cells, coalesce(grp, 'singleton:' || genome_id) AS grp
       FROM b LEFT JOIN grouped USING (genome_id)""",
-    "split_reproduction": f"""WITH {GROUPS_SQL} SELECT o_orderpriority AS drug, count(*) AS n
-      FROM orders WHERE false GROUP BY ALL""",
+    "split_reproduction": f"""WITH {SPLIT_BASE}, {split_sql(0)}, {split_sql(4, "again")}
+      SELECT drug, count(*) AS n, cast(0 AS bigint) AS n_different, 0 AS seed FROM split_rows GROUP BY drug
+      UNION ALL SELECT drug, count(*), count(*) FILTER (WHERE a.split <> b.split), 4
+      FROM split_rows a JOIN again_rows b USING (drug, genome_id) GROUP BY drug""",
 }

@@ -42,15 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a scan with fewer splits than cores (one unsplittable file) before heavy row work.
-
-    A large input has more splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     import uuid

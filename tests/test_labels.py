@@ -103,8 +103,7 @@ def test_lab_filter(spark):
     assert counts == {LAB: 3, COMP: 1, PANEL: 1, "<blank>": 1}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 0, 10])
-def test_dominant_unit_median(spark, hot_rows):
+def test_dominant_unit_median(spark):
     """The exact state and the spread path give the same medians."""
     rows = [
         ("g1", "m", "mg/L", 0.5, "<="), ("g1", "m", "mg/L", 1.0, "="), ("g1", "m", "mm", 20.0, None),
@@ -117,7 +116,7 @@ def test_dominant_unit_median(spark, hot_rows):
     )
     got = {
         r["genome_id"]: (r["value"], r["sign"], r["unit"])
-        for r in L.dominant_unit_median(df, hot_rows=hot_rows).collect()
+        for r in L.dominant_unit_median(df).collect()
     }
     assert got == {
         "g1": (0.75, "<=", "mg/L"),

@@ -34,7 +34,7 @@ def test_rank_metrics_match_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [("d", round(rng.random(), 1 + seed % 2), rng.randint(0, 1)) for _ in range(300)]
     p, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    got = M.rank_metrics(frame(spark, rows), ["d"], buckets=8).first()
+    got = M.rank_metrics(frame(spark, rows), ["d"]).first()
     assert got["auroc"] == pytest.approx(brute_auroc(p, y), abs=1e-12)
     assert got["pr_auc"] == pytest.approx(brute_ap(p, y), abs=1e-12)
     all_of = M.classification_metrics(frame(spark, rows), ["d"]).first()
@@ -122,9 +122,5 @@ def test_coverage_on_separated_points(spark):
 
 def test_fingerprints(spark):
     ids = spark.createDataFrame([("b",), ("a",), ("a",)], "genome_id string")
-    import hashlib
-
-    exact = M.exact_fingerprint(ids).first()
-    assert exact["n_genomes"] == 2 and exact["sha256"] == hashlib.sha256(b"a\nb").hexdigest()
     turned = ids.orderBy("genome_id")
     assert M.fingerprint(ids).first() == M.fingerprint(turned).first()
