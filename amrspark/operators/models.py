@@ -38,6 +38,22 @@ def fit_balanced(df: DataFrame, c: float, features: str = "features", y: str = "
     return lr.fit(df.select(features, F.col(y).cast("double").alias(y), weight.alias("_w")))
 
 
+def largest_gradient(df: DataFrame, model, c: float, features: str = "features", y: str = "y") -> float:
+    """Largest component, per row, of the gradient of the objective of `fit_balanced` at its result:
+    near zero where the optimiser converged. One row per feature reaches the driver."""
+    sizes = df.agg(F.count("*").alias("n"), F.sum(y).alias("pos")).first()
+    n, pos = sizes["n"], sizes["pos"]
+    weight = F.when(F.col(y) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+    pull = (weight * (vector_to_array("probability")[1] - F.col(y)) / n).alias("pull")
+    rows = model.transform(df).select(pull, vector_to_array(features).alias("v"))
+    values = F.transform(F.concat(F.array(F.lit(1.0)), "v"), lambda x: x * F.col("pull"))
+    sums = rows.select(F.posexplode(values).alias("i", "g")).where("g <> 0").groupBy("i").agg(F.sum("g").alias("g"))
+    by_place = {r["i"]: r["g"] for r in sums.collect()}
+    kept = model.coefficients.toArray() / (c * n)
+    inner = [abs(by_place.get(i + 1, 0.0) + w) for i, w in enumerate(kept)]
+    return float(max([abs(by_place.get(0, 0.0)), *inner]))
+
+
 def decision(df: DataFrame, model, features: str = "features", out: str = "f") -> DataFrame:
     """Linear score of each row."""
     scored = model.transform(df)
@@ -83,9 +99,13 @@ def search_c(
 def fit_platt(scored: DataFrame, f: str = "f", y: str = "y") -> tuple[float, float]:
     """(slope, offset) of the sigmoid over the linear score of a frozen model.
 
-    Smoothed targets make each row two weighted rows of an unpenalised one-feature regression.
+    Smoothed targets make each row two weighted rows of an unpenalised one-feature regression. The
+    score is brought to mean 0 and deviation 1 for the fit, so that the optimiser converges on
+    scores of any size.
     """
-    sizes = scored.agg(F.count("*").alias("n"), F.sum(y).alias("pos")).first()
+    sizes = scored.agg(
+        F.count("*").alias("n"), F.sum(y).alias("pos"), F.avg(f).alias("m"), F.stddev_pop(f).alias("sd")
+    ).first()
     pos, neg = sizes["pos"] or 0, sizes["n"] - (sizes["pos"] or 0)
     if min(pos, neg) < 2:
         raise ValueError("calibration needs two rows of each class")
@@ -94,13 +114,18 @@ def fit_platt(scored: DataFrame, f: str = "f", y: str = "y") -> tuple[float, flo
         F.struct(F.lit(1.0).alias("label"), target.alias("w")),
         F.struct(F.lit(0.0).alias("label"), (1.0 - target).alias("w")),
     )
-    rows = scored.select(array_to_vector(F.array(f)).alias("x"), F.inline(pair))
+    middle, spread = sizes["m"], sizes["sd"] or 1.0
+    scaled = (F.col(f) - middle) / spread
+    rows = cut(scored.select(scaled.alias("z"), F.inline(pair))).select(
+        array_to_vector(F.array("z")).alias("x"), "label", "w"
+    )
     lr = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, standardization=False,
-        maxIter=500, tol=1e-12,
+        maxIter=200, tol=1e-9,
     )
     model = lr.fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
+    slope = float(model.coefficients[0]) / spread
+    return slope, float(model.intercept) - slope * middle
 
 
 @dataclass
@@ -187,11 +212,11 @@ def train_drug(
         [
             (
                 drug, best_c, float(model.intercept), slope, offset, line["n_resistant"],
-                line["n_susceptible"], line["n_groups"],
+                line["n_susceptible"], line["n_groups"], largest_gradient(train, model, best_c),
             )
         ],
         "antibiotic string, best_c double, intercept double, platt_a double, platt_b double, "
-        "n_resistant long, n_susceptible long, n_groups long",
+        "n_resistant long, n_susceptible long, n_groups long, largest_gradient double",
     )
     return Trained(
         _status(spark, drug, "trained", None), header, weights, scored, measured, fitted,

@@ -32,7 +32,7 @@ def _rows(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     names = [f"d{i:02d}" for i in range(_DIM)]
-    return MO.train_drug(_rows(spark, sf_dir), "vectors", names, grid=(0.1, 1.0), folds=3)
+    return MO.train_drug(_rows(spark, sf_dir), "vectors", names)
 
 
 def model_scores(spark, sf_dir):

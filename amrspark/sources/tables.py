@@ -155,7 +155,9 @@ def write_tsv(df: DataFrame, fields: tuple[str, ...], path: str) -> None:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    labels.write.mode("overwrite").partitionBy("antibiotic").parquet(path)
+    """The label table by drug, ordered by genome within each drug."""
+    ordered = labels.repartitionByRange("antibiotic", "genome_id").sortWithinPartitions("antibiotic", "genome_id")
+    ordered.write.mode("overwrite").partitionBy("antibiotic").parquet(path)
 
 
 def write_document(row: DataFrame, path: str) -> None:

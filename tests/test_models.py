@@ -43,6 +43,9 @@ def test_balanced_fit_matches_newton(spark, c):
     want = newton(x, y, w, 1.0 / c)
     got = np.append(model.coefficients.toArray(), model.intercept)
     assert np.allclose(got, want, atol=1e-4)
+    assert MO.largest_gradient(df, model, c) < 1e-5
+    model_of_half = MO.fit_balanced(df, c / 50)
+    assert MO.largest_gradient(df, model_of_half, c) > 1e-3
 
 
 def test_platt_matches_newton(spark):
@@ -55,6 +58,8 @@ def test_platt_matches_newton(spark):
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     want = newton(np.concatenate([f, f])[:, None], np.repeat([1, 0], len(f)), np.concatenate([t, 1 - t]), 0.0)
     assert np.allclose([slope, offset], want, atol=1e-4)
+    wide = df.withColumn("f", df.f * 1e5 + 7e6)
+    assert np.allclose(MO.fit_platt(wide), [slope / 1e5, offset - slope * 70], rtol=1e-3)
     with pytest.raises(ValueError):
         MO.fit_platt(df.where("y = 1"))
 
