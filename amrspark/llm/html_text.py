@@ -40,15 +40,15 @@ _NOISE_ROLE = frozenset(
 )
 # Words of class and id names that mark what surrounds an article.
 _NOISE_WORD = frozenset(
-    "ad ads adv adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline "
-    "comment commentlist comments consent cookie cookies copyright discussion disqus feedback footer "
-    "gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification notifications outbrain overlay pager pagination paywall popup promo promos "
-    "promotion recommended related replies reply respond rss search share sharing side sidebar "
-    "sidenav signup skip social sponsor sponsored subscribe subscription taboola tagcloud toolbar "
-    "topbar widget".split()
+    "ad ads adv adbox advert adverts advertisement advertising alert alerts aside banner breadcrumb "
+    "breadcrumbs comment commentlist comments consent cookie cookies copyright discussion disqus "
+    "feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice "
+    "notices notification notifications outbrain overlay pager pagination paywall popup promo promos "
+    "promotion recommended related replies reply respond responses rss search share sharing sidebar "
+    "sidenav signup skip social sponsor sponsored subscribe subscription taboola tagcloud teaser "
+    "teasers toolbar topbar widget".split()
 )
-_COMMENT_WORD = frozenset("ad ads advert comment comments reply replies".split())
+_COMMENT_WORD = frozenset("ad ads advert comment comments reply replies teaser".split())
 _PIECES = frozenset("article content entry main post story text".split())
 
 
@@ -125,7 +125,7 @@ def _start(page: _Page, stack: list[int], name: str, attributes: str) -> int | N
     page.parent.append(stack[-1])
     inside = page.inside[stack[-1]]
     page.inside.append(inside or name in ("article", "main"))
-    page.noise.append(page.noise[stack[-1]] or _is_noise(name, attributes, inside))
+    page.noise.append(_is_noise(name, attributes, inside))
     if name == "br":
         page.text.append((stack[-1], page.block, " "))
     if name not in _VOID and (name in _RAW or not attributes.rstrip().endswith("/")):
@@ -179,6 +179,23 @@ def _is_noise(name: str, attributes: str, inside: bool) -> bool:
     return bool(words & _NOISE_WORD)
 
 
+def _noise(page: _Page) -> list[bool]:
+    """Which elements stand in a part that is no article. A form, or an element judged by its class
+    alone, that holds the article itself (main, article, or a form's h1) is only a wrapper."""
+    n = len(page.tag)
+    holds = [False] * n
+    for i in range(n - 1, 0, -1):
+        tag = page.tag[i]
+        holds[i] = holds[i] or (tag in ("article", "main") and not page.noise[i])
+        up = page.parent[i]
+        holds[up] = holds[up] or holds[i] or (tag == "h1" and page.tag[up] == "form")
+    noise = [False] * n
+    for i in range(1, n):
+        wraps = holds[i] and page.tag[i] not in _NOISE_TAG - {"form"} and page.tag[i] not in ("article", "main")
+        noise[i] = noise[page.parent[i]] or (page.noise[i] and not wraps)
+    return noise
+
+
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, one per line.
 
@@ -193,6 +210,7 @@ def main_text(source: str | None) -> str:
         return ""
     page = _parse(source)
     n = len(page.tag)
+    noise = _noise(page)
     chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     all_chars = all_linked = 0
@@ -203,11 +221,11 @@ def main_text(source: str | None) -> str:
         if page.tag[node] not in ("script", "style", "title"):
             all_chars += size
             all_linked += size * in_link[node]
-        if not page.noise[node]:
+        if not noise[node]:
             chars[node] += size
             linked[node] += size * in_link[node]
     for i in range(n - 1, 0, -1):
-        if not page.noise[i]:
+        if not noise[i]:
             up = page.parent[i]
             chars[up] += chars[i]
             linked[up] += linked[i]
@@ -217,9 +235,9 @@ def main_text(source: str | None) -> str:
     density = [_density(chars[i], linked[i], tags[i], links[i], share) for i in range(n)]
     total = [0.0] * n
     for i in range(1, n):
-        if not page.noise[i]:
+        if not noise[i]:
             total[page.parent[i]] += density[i]
-    kept = [i for i in range(n) if not page.noise[i] and chars[i]]
+    kept = [i for i in range(n) if not noise[i] and chars[i]]
     if not kept:
         return ""
     best = max(kept, key=lambda i: (total[i], density[i], -i))
@@ -234,13 +252,13 @@ def main_text(source: str | None) -> str:
     for i in range(root + 1, n):
         up = page.parent[i]
         linky = 2 * linked[i] > chars[i] and page.tag[i] != "a"
-        if keep[up] and not page.noise[i]:
+        if keep[up] and not noise[i]:
             keep[i] = i in path or not (linky and page.tag[i] in _BLOCK and density[i] < threshold)
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.text:
         if keep[node]:
             blocks.setdefault(block, []).append(text)
-        elif page.noise[node] and block in blocks:
+        elif noise[node] and block in blocks:
             blocks[block].append(" ")
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

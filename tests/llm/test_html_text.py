@@ -25,6 +25,18 @@ def test_link_lists_inside_go_and_truncated_pages_stay():
     assert main_text("<body><nav><a>x</a></nav><article><p>one<p>two &amp") == "one\ntwo &"
 
 
+def test_wrappers_with_noisy_names_stay():
+    side = '<div class="sidebar"><p>Popular now.</p></div>'
+    text = "<p>" + "carbapenem resistance " * 9 + "</p><p class=byline>By A. B.</p>"
+    for page in (
+        f'<body><div class="content-with-sidebar"><main>{text}</main>{side}</div>',
+        f"<body><form id=f>{side}<article>{text}</article></form>",
+        f'<body><div class="comments-off"><article class="post">{text}</article></div>'
+        '<div class="comments"><article class="comment"><p>No!</p></article></div>',
+    ):
+        assert main_text(page).split("\n") == ["carbapenem resistance " * 8 + "carbapenem resistance", "By A. B."]
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "plain", "<", "a<b", "x</p>y", "<!-- x", "<script>v")] == [
         "", "", "plain", "<", "a", "x\ny", "", "",
