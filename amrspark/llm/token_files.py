@@ -11,7 +11,9 @@ whole chunks in ascending chunk_id order:
 
 A coded chunk of n ids has L = ceil(n / 256) lanes; id i belongs to lane i mod L, so the lanes are
 interleaved. Its bytes are the L final states (64 bit), the L word counts (16 bit) and the 32-bit
-words, lane after lane, all little-endian. Every lane is decoded on its own.
+words, lane after lane, all little-endian. Every lane is decoded on its own. States stay within
+[2^20, 2^52), so double-precision arithmetic on them is exact: a quotient of such a state and a
+frequency below 2^20 is never rounded up to the next integer.
 """
 
 from __future__ import annotations
@@ -22,18 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amrspark.llm.tokens import coder
+from amrspark.llm.tokens import coder, release
 from amrspark.session import work_folder
 
 SCALE_BITS, LANE_IDS = 20, 256
 BLOCK_BYTES = 1 << 20
 _BATCH_IDS = 1 << 20
-_LOW = np.uint64(1) << np.uint64(31)
-_WORD = np.uint64(32)
+_SCALE, _WORD = float(1 << SCALE_BITS), float(1 << 32)
 
 
 def write_tokens(chunks: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -47,8 +49,9 @@ def write_tokens(chunks: DataFrame, tokenizer: str, end_id: int, path: str) -> N
     A null or empty text is one end id. Rows of a repeated chunk_id all stay, next to each other
     in no fixed order; null ids come first. An empty table gives a file without blocks.
 
-    The texts are encoded once, without a shuffle, into a table of two byte planes. All its ids
-    are counted into the shared table, coded chunk by chunk, and only the coded bytes are sorted.
+    The texts are encoded once, without a shuffle, into a table of two byte planes and the counts
+    of all ids. The counts make the shared table, the chunks are coded by it one by one, and only
+    the coded bytes are sorted.
     """
     spark = chunks.sparkSession
     rows = chunks.select("chunk_id", "text")
@@ -63,28 +66,31 @@ def write_tokens(chunks: DataFrame, tokenizer: str, end_id: int, path: str) -> N
                 bounds = bounds + np.arange(n + 1)
                 wide = "<u1" if ids.max(initial=0) < 1 << 16 else "<u4"
                 low, high = (ids & 255).astype("<u1"), (ids >> 8).astype(wide)
-                columns = [_cut(low, bounds), _cut(high, bounds)]
+                counts = np.bincount(ids)
+                found = np.flatnonzero(counts)
+                noted = np.concatenate((found, counts[found])).astype("<i8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk_id").slice(at, n), *columns], ["chunk_id", "low", "high"]
+                    [
+                        batch.column("chunk_id").slice(at, n), _cut(low, bounds), _cut(high, bounds),
+                        pa.array([noted] + [None] * (n - 1), pa.binary()),
+                    ],
+                    ["chunk_id", "low", "high", "counts"],
                 )
 
     planes = work_folder(spark, "token-planes")
-    rows.mapInArrow(encode, f"chunk_id {kind}, low binary, high binary").write.option(
-        "compression", "zstd"
-    ).parquet(planes)
-    stored = spark.read.schema(f"chunk_id {kind}, low binary, high binary").parquet(planes)
+    layout = f"chunk_id {kind}, low binary, high binary, counts binary"
+    rows.mapInArrow(encode, layout).write.option("compression", "zstd").parquet(planes)
+    stored = spark.read.schema(layout).parquet(planes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        release()
         for batch in batches:
-            for ids, _ in _ids(batch):
-                here = np.bincount(ids, minlength=len(total))
-                here[: len(total)] += total
-                total = here
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
-
-    counts = stored.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for noted in batch.column("counts").to_pylist():
+                found, n = np.frombuffer(noted, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["id", "n"])
+
+    noted = stored.select("counts").where(F.col("counts").isNotNull())
+    counts = noted.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most one row per entry of the vocabulary.
     frequencies = _scaled(counts.toPandas().sort_values("id"))
     spark.createDataFrame(frequencies, "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
@@ -94,8 +100,9 @@ def write_tokens(chunks: DataFrame, tokenizer: str, end_id: int, path: str) -> N
     firsts = _first_ids(stored.select("chunk_id"), parts)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for ids, bounds, at in _ids(batch, with_row=True):
+            for ids, bounds, at in _ids(batch):
                 payloads = encode_chunks(table.value, ids, bounds)
                 keys = batch.column("chunk_id").slice(at, len(payloads))
                 part = [0 if k is None else max(0, bisect_right(firsts, k) - 1) for k in keys.to_pylist()]
@@ -104,7 +111,7 @@ def write_tokens(chunks: DataFrame, tokenizer: str, end_id: int, path: str) -> N
                     ["chunk_id", "part", "n", "payload"],
                 )
 
-    coded = stored.mapInArrow(compress, f"chunk_id {kind}, part int, n long, payload binary")
+    coded = stored.select("chunk_id", "low", "high").mapInArrow(compress, f"chunk_id {kind}, part int, n long, payload binary")
     ordered = coded.repartitionById(parts, "part").sortWithinPartitions("chunk_id")
     ordered.mapInArrow(_to_blocks, _BLOCK_SCHEMA.format(kind)).write.option(
         "compression", "none"
@@ -179,25 +186,35 @@ def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     )
 
 
-def _ids(batch: pa.RecordBatch, with_row: bool = False) -> Iterator[tuple]:
+def _ids(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Runs of about a million ids: the ids, bounds of each chunk's, and the first row."""
-    lows, highs = batch.column("low").to_pylist(), batch.column("high").to_pylist()
+    low, high = (_buffer(batch.column(c)) for c in ("low", "high"))
+    sizes = pc.binary_length(batch.column("low")).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    if len(high) == len(low):
+        ids = low | high.astype(np.int32) << 8
+    else:  # some slices held ids beyond two bytes
+        parts = [
+            np.frombuffer(x, "<u1") | np.frombuffer(y, "<u1" if len(x) == len(y) else "<u4").astype(np.int32) << 8
+            for x, y in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)
+        ]
+        ids = np.concatenate([np.empty(0, np.int32), *parts])
     at = 0
-    while at < len(lows):
-        end, size = at, 0
-        while end < len(lows) and (end == at or size + len(lows[end]) <= _BATCH_IDS):
-            size += len(lows[end])
-            end += 1
-        parts = []
-        for low, high in zip(lows[at:end], highs[at:end], strict=True):
-            wide = "<u1" if len(high) == len(low) else "<u4"
-            parts.append(np.frombuffer(low, "<u1") | np.frombuffer(high, wide).astype(np.int64) << 8)
-        bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        ids = np.concatenate(parts)
-        yield (ids, bounds, at) if with_row else (ids, bounds)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + _BATCH_IDS, "right")) - 1)
+        yield ids[ends[at] : ends[end]], ends[at : end + 1] - ends[at], at
         at = end
 
 
+def _buffer(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column, end to end."""
+    start, stop = (column.offset, column.offset + len(column))
+    offsets = np.frombuffer(column.buffers()[1], "<i4")
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, "<u1") if data else np.empty(0, np.uint8)
+    return whole[offsets[start] : offsets[stop]]
+
+
 def _scaled(counts):
     """Counts to frequencies that sum to 2^20, none below one."""
     import pandas as pd
@@ -222,7 +239,7 @@ class _Table:
 
     def __init__(self, ids, frequencies):
         self.ids = np.asarray(ids, np.int64)
-        self.freq = np.asarray(frequencies, np.uint64)
+        self.freq = np.asarray(frequencies, float)
         self.cum = np.cumsum(self.freq) - self.freq
         self._slots = self._index = None
 
@@ -261,25 +278,33 @@ def encode_chunks(table: _Table, ids: np.ndarray, bounds: np.ndarray) -> list[by
     sizes = np.diff(bounds)
     lanes, owner, number, length, first = _lanes(sizes)
     steps = int(length.max(initial=0))
-    state = np.full(len(owner), _LOW)
+    state = np.full(len(owner), _SCALE)
     words = np.zeros((steps, len(owner)), np.uint32)
     put = np.zeros((steps, len(owner)), bool)
+    freqs, cums = table.freq, table.cum
     symbols = table.symbols(ids)
     start, stride = bounds[owner] + number, lanes[owner]
+    # Lanes by falling length: those that hold a step's ids are the first ones.
+    order = np.argsort(-length, kind="stable")
+    start, stride = start[order], stride[order]
+    active = np.searchsorted(-length[order], -np.arange(steps), "left")
     for t in range(steps - 1, -1, -1):
-        on = np.flatnonzero(length > t)
-        s = symbols[start[on] + t * stride[on]]
-        freq, x = table.freq[s], state[on]
-        full = x >= freq << np.uint64(63 - SCALE_BITS)
-        words[t, on] = x & np.uint64(0xFFFFFFFF)
-        put[t, on] = full
-        x = np.where(full, x >> _WORD, x)
-        q = x // freq
-        state[on] = (q << np.uint64(SCALE_BITS)) + (x - q * freq) + table.cum[s]
+        on = active[t]
+        s = symbols[start[:on] + t * stride[:on]]
+        freq, x = freqs[s], state[:on]
+        full = x >= freq * _WORD
+        high = np.floor(x / _WORD)
+        words[t, :on] = x - high * _WORD
+        put[t, :on] = full
+        x = np.where(full, high, x)
+        q = np.floor(x / freq)
+        state[:on] = q * _SCALE + (x - q * freq) + cums[s]
+    back = np.argsort(order)
+    state, words, put = state[back], words[:, back], put[:, back]
     count = put.sum(axis=0).astype("<u2")
     stream = words.T[put.T].astype("<u4")
     word_ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-    states = state.astype("<u8")
+    states = state.astype("<i8")
     return [
         states[a:b].tobytes() + count[a:b].tobytes() + stream[word_ends[a] : word_ends[b]].tobytes()
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
@@ -294,28 +319,34 @@ def decode_chunks(table: _Table, payload: bytes, checkpoints, sizes) -> tuple[np
     ends = [*checkpoints[1:], len(payload)]
     states, counts, streams = [], [], []
     for at, end, k in zip(checkpoints, ends, lanes.tolist(), strict=True):
-        states.append(np.frombuffer(payload, "<u8", k, at))
+        states.append(np.frombuffer(payload, "<i8", k, at))
         counts.append(np.frombuffer(payload, "<u2", k, at + 8 * k))
         streams.append(np.frombuffer(payload, "<u4", (end - at - 10 * k) // 4, at + 10 * k))
-    x = np.concatenate([np.empty(0, np.uint64), *states]).astype(np.uint64)
-    stream = np.concatenate([np.empty(0, np.uint32), *streams, np.zeros(1, np.uint32)]).astype(np.uint64)
+    stream = np.concatenate([np.empty(0, np.uint32), *streams, np.zeros(1, np.uint32)]).astype(float)
     count = np.concatenate([np.empty(0, np.uint16), *counts]).astype(np.int64)
-    at = np.concatenate(([0], np.cumsum(count)))[:-1]
-    until = at + count
-    out = np.zeros(int(bounds[-1]), np.int64)
-    start, stride = bounds[owner] + number, lanes[owner]
-    for t in range(int(length.max(initial=0))):
-        on = np.flatnonzero(length > t)
-        v = x[on]
-        slot = v & np.uint64((1 << SCALE_BITS) - 1)
-        s = table.slots[slot.astype(np.int64)]
-        v = table.freq[s] * (v >> np.uint64(SCALE_BITS)) + slot - table.cum[s]
-        low = v < _LOW
-        here = at[on]
-        x[on] = np.where(low, (v << _WORD) | stream[np.where(low, here, 0)], v)
-        at[on] = here + low
-        out[start[on] + t * stride[on]] = s
-    if (at != until).any() or (x != _LOW).any():
+    order = np.argsort(-length, kind="stable")
+    x = np.concatenate([np.empty(0, np.int64), *states]).astype(float)[order]
+    at = np.concatenate(([0], np.cumsum(count)))[:-1][order]
+    until = at + count[order]
+    out = np.zeros(int(bounds[-1]), np.int32)
+    start, stride = (bounds[owner] + number)[order], lanes[owner][order]
+    steps = int(length.max(initial=0))
+    active = np.searchsorted(-length[order], -np.arange(steps), "left")
+    slots, freqs, cums = table.slots, table.freq, table.cum
+    for t in range(steps):
+        on = active[t]
+        v = x[:on]
+        high = np.floor(v / _SCALE)
+        slot = v - high * _SCALE
+        s = slots[slot.astype(np.int64)]
+        v = freqs[s] * high + slot - cums[s]
+        low = v < _SCALE
+        here = at[:on]
+        # Past the last word nothing is taken: the place is kept inside the stream.
+        x[:on] = np.where(low, v * _WORD + stream[np.minimum(here, len(stream) - 1)], v)
+        here += low
+        out[start[:on] + t * stride[:on]] = s
+    if (at != until).any() or (x != _SCALE).any():
         raise ValueError("damaged lanes")
     return table.ids[out], bounds
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _PIECES = 2_000_000
 _JOINED = 1_000
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
 _CODERS: dict[str, TokenCoder] = {}
 
 
@@ -23,7 +23,7 @@ class TokenCoder:
     Two kinds of tokenizer never let a token cross a single space or line end between two other
     characters: byte-level ones without a normalizer, where the space starts the next token, and
     those whose split drops all white space. Texts are cut there, and each distinct piece is
-    encoded once and remembered, up to a limit. Texts with runs of white space or special tokens,
+    encoded once and remembered by a 128-bit digest, up to a limit. Texts with runs of white space or special tokens,
     and all texts of other tokenizers, are encoded whole. Null is the empty text.
     """
 
@@ -56,10 +56,13 @@ class TokenCoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.ends = np.zeros(_PIECES + 1, np.int64)
-        self.alone = np.zeros(_PIECES, bool)
+        # Digests of the pieces in the order of their first half, and the row of each.
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.row = np.empty(0, np.int32)
+        # By row: where its ids end in `ids`, and whether its text must be encoded whole.
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ends = np.zeros(1, np.int64)
+        self.alone = np.zeros(0, bool)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -75,6 +78,7 @@ class TokenCoder:
             ids, bounds = self._slice(texts.slice(at, end - at))
             yield at, ids, bounds
             at = end
+        pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not (self.spaced or self.bare):
@@ -86,13 +90,14 @@ class TokenCoder:
             marked = pc.replace_substring(texts, "\n", " ")
         split = pc.split_pattern(marked, " ")
         coded = split.flatten().dictionary_encode()
-        rows = self._learn(coded.dictionary.to_pylist())
+        rows = self._learn(coded.dictionary.cast(pa.binary()).to_pylist())
         piece = rows[coded.indices.to_numpy(zero_copy_only=False)]
         row_ends = split.offsets.to_numpy().astype(np.int64)
         row_ends = row_ends - row_ends[0]
         size = self.ends[piece + 1] - self.ends[piece]
         placed = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(self.ends[piece] - placed[:-1], size) + np.arange(placed[-1])
+        where = np.repeat((self.ends[piece] - placed[:-1]).astype(np.int32), size)
+        where += np.arange(placed[-1], dtype=np.int32)
         ids, bounds = self.ids[where], placed[row_ends]
         bad = np.concatenate(([0], np.cumsum(self.alone[piece])))[row_ends]
         odd = np.diff(bad) > 0
@@ -107,51 +112,66 @@ class TokenCoder:
             own[k] = self.whole(texts[k].as_py())
         return _join(own)
 
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        """Where each piece is remembered."""
-        rows = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def _learn(self, raw: list[bytes]) -> np.ndarray:
+        """The row of each piece; new ones are encoded."""
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<u8").reshape(-1, 2)
+        first, second = digests[:, 0].copy(), digests[:, 1].copy()
+        rows = np.full(len(raw), -1, np.int64)
+        if len(self.row):
+            at = np.minimum(np.searchsorted(self.first, first), len(self.row) - 1)
+            hit = (self.first[at] == first) & (self.second[at] == second)
+            rows[hit] = self.row[at[hit]]
         new = np.flatnonzero(rows < 0)
-        if len(self.known) + len(new) > _PIECES:
+        if len(self.row) + len(new) > _PIECES:
             self._forget()
-            if len(pieces) > _PIECES:
-                self.ends = np.zeros(len(pieces) + 1, np.int64)
-                self.alone = np.zeros(len(pieces), bool)
-            new = np.arange(len(pieces))
-        together = "\n".join([pieces[k] for k in new.tolist()])
+            new = np.arange(len(raw))
+        pieces = dict(zip(new.tolist(), (raw[k].decode() for k in new.tolist()), strict=True))
+        together = "\n".join(pieces.values())
         some_special = any(s in together for s in self.special)
         heads, tails, alone = [], [], []
-        if not self.spaced and not some_special:
-            tails, new = new.tolist(), new[:0]
-        for k in new.tolist():
-            piece = pieces[k]
-            head = self.spaced and piece[:1] == "\n"
-            edges = piece[head : head + 1], piece[-1:]
-            if self.spaced and (len(piece) == head or edges[0].isspace() or edges[1].isspace()):
-                alone.append(k)
-            elif some_special and any(s in piece for s in self.special):
-                alone.append(k)
-            else:
-                (heads if head else tails).append(k)
+        if not (self.spaced or some_special):
+            tails = list(pieces)
+        else:
+            for k, piece in pieces.items():
+                head = self.spaced and piece[:1] == "\n"
+                edges = piece[head : head + 1], piece[-1:]
+                if self.spaced and (len(piece) == head or edges[0].isspace() or edges[1].isspace()):
+                    alone.append(k)
+                elif some_special and any(s in piece for s in self.special):
+                    alone.append(k)
+                else:
+                    (heads if head else tails).append(k)
+        ids, sizes, order = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], []
         for group, prefix in ((heads, ""), (tails, " " if self.spaced else "")):
             for at in range(0, len(group), _JOINED):
                 some = group[at : at + _JOINED]
-                self._add(rows, pieces, some, *self._ids_of([prefix + pieces[k] for k in some], prefix))
-        mark = self.line if self.spaced else self.ids[:0]
-        for k in alone:
-            self._add(rows, pieces, [k], mark, np.array([len(mark)]))
-            self.alone[rows[k]] = True
+                found, size = self._ids_of([prefix + pieces[k] for k in some], prefix)
+                ids.append(found)
+                sizes.append(size)
+                order += some
+        mark = self.line if self.spaced else np.empty(0, np.uint32)
+        ids.append(np.tile(mark, len(alone)))
+        sizes.append(np.full(len(alone), len(mark)))
+        self._add(np.concatenate(ids), np.concatenate(sizes), len(alone))
+        order = np.array(order + alone, np.int64)
+        rows[order] = np.arange(len(self.alone) - len(order), len(self.alone))
+        order = order[np.argsort(first[order], kind="stable")]
+        at = np.searchsorted(self.first, first[order])
+        self.first = np.insert(self.first, at, first[order])
+        self.second = np.insert(self.second, at, second[order])
+        self.row = np.insert(self.row, at, rows[order])
         return rows
 
-    def _add(self, rows, pieces: list[str], some: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.known)
-        self.known.update(zip((pieces[k] for k in some), range(first, first + len(some)), strict=True))
-        rows[some] = np.arange(first, first + len(some))
-        start = self.ends[first]
-        end = start + len(ids)
-        if end > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), end), np.uint32)))
-        self.ids[start:end] = ids
-        self.ends[first + 1 : first + 1 + len(some)] = start + np.cumsum(sizes)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, alone: int) -> None:
+        """Rows for new pieces; the last `alone` of them must not stand alone."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends = np.concatenate((self.ends, self.used + np.cumsum(sizes, dtype=np.int64)))
+        self.used += len(ids)
+        flags = np.zeros(len(sizes), bool)
+        flags[len(sizes) - alone :] = True
+        self.alone = np.concatenate((self.alone, flags))
 
     def _ids_of(self, pieces: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
         """Encode the pieces as the lines of one text: ids without line ends, ids per piece.
@@ -184,3 +204,8 @@ def coder(path: str) -> TokenCoder:
     if path not in _CODERS:
         _CODERS[path] = TokenCoder(path)
     return _CODERS[path]
+
+
+def release() -> None:
+    """Give the memory of all coders back, in worker processes that turn to other work."""
+    _CODERS.clear()
