@@ -45,20 +45,20 @@ def binary_side(c: Name) -> Column:
 
 
 def mic_sign(c: Name) -> Column:
-    return F.nullif(F.regexp_extract(_col(c), r"^\s*(<=|>=|<|>|=)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(c), fixed.SIGN_PATTERN, 1), F.lit(""))
 
 
 def number(c: Name) -> Column:
     """Lenient number: null for anything that is not a plain decimal or exponent form."""
     text = F.trim(_col(c))
-    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    plain = text.rlike(fixed.NUMBER_PATTERN)
     return F.when(plain, text.try_cast("double"))
 
 
 def mlst(c: Name) -> tuple[Column, Column]:
     """(scheme, sequence type) of `MLST.scheme.123`; both null when malformed."""
-    text = F.regexp_replace(F.trim(_col(c)), r"^(?i)mlst\.", "")
-    pattern = r"^([A-Za-z0-9_]+)\.(\d+)$"
+    text = F.regexp_replace(F.trim(_col(c)), fixed.MLST_PREFIX, "")
+    pattern = fixed.MLST_PATTERN
     st = F.regexp_extract(text, pattern, 2).try_cast("int")
     scheme = F.when(st.isNotNull(), F.regexp_extract(text, pattern, 1))
     return scheme, st
@@ -79,7 +79,7 @@ def slug(c: Name) -> Column:
 
 
 def tokens(c: Name) -> Column:
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(fixed.WORD_PATTERN), F.lit(0))
 
 
 def hash32(c: Name) -> Column:
@@ -92,12 +92,12 @@ def bucket(c: Name, dim: int = fixed.EMBED_DIM) -> Column:
 
 
 def numbers_in(c: Name) -> Column:
-    return F.regexp_extract_all(_col(c), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    return F.regexp_extract_all(_col(c), F.lit(fixed.DECIMAL_PATTERN), F.lit(0))
 
 
 def percents_in(c: Name) -> Column:
     """Numbers followed by a percent sign on the same line."""
-    return F.regexp_extract_all(_col(c), F.lit(r"(\d+(?:\.\d+)?)[^\S\r\n]*%"), F.lit(1))
+    return F.regexp_extract_all(_col(c), F.lit(fixed.PERCENT_PATTERN), F.lit(1))
 
 
 def mentions(c: Name, phrase: str) -> Column:
@@ -106,7 +106,7 @@ def mentions(c: Name, phrase: str) -> Column:
 
 def safe_id(c: Name, max_length: int | None = None) -> Column:
     c = _col(c)
-    ok = c.rlike("^[A-Za-z0-9._-]+$")
+    ok = c.rlike(fixed.SAFE_ID_PATTERN)
     if max_length is not None:
         ok = ok & (F.length(c) <= max_length)
     return F.coalesce(ok, F.lit(False))
@@ -115,7 +115,7 @@ def safe_id(c: Name, max_length: int | None = None) -> Column:
 def restates_disclaimer(c: Name) -> Column:
     low = F.lower(_col(c))
     lab = low.contains("laborator") | low.contains("susceptibility test")
-    return low.rlike(r"\bconfirm\b") & low.contains("result") & lab
+    return low.rlike(fixed.CONFIRM_PATTERN) & low.contains("result") & lab
 
 
 def confidence(verdict: Name, p: Name) -> Column:

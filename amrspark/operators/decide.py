@@ -250,6 +250,10 @@ def _weight_lines(column: str, direction: str) -> Column:
     )
 
 
+def _around(ends: tuple[str, str], middle: Column) -> Column:
+    return F.concat(F.lit(ends[0]), middle, F.lit(ends[1]))
+
+
 def verdicts(gated: DataFrame, models: DataFrame, scores: DataFrame, tops: DataFrame) -> DataFrame:
     """The verdict table: gate, then model and prediction set, else no call.
 
@@ -277,36 +281,20 @@ def verdicts(gated: DataFrame, models: DataFrame, scores: DataFrame, tops: DataF
         .otherwise("no_signal")
     )
     drug, version, p = F.col("antibiotic"), F.col("version"), F.col("p")
-    source = F.format_string(
-        "per-drug L2 logistic regression (%s); calibrated p(resistant)=%.3f", version, p
-    )
-    caveat = F.concat(
-        F.lit("conformal finite-sample coverage guarantee UNAVAILABLE for "),
-        drug,
-        F.lit(
-            " (calibration set below the n>=ceil(1/alpha)-1 floor); treat as lower-confidence "
-            "and confirm by lab testing"
-        ),
-    )
-    absent = F.concat(F.lit("no known "), drug, F.lit("-resistance determinants detected"))
+    source = F.format_string(fixed.MODEL_SOURCE, version, p)
+    caveat = _around(fixed.NO_GUARANTEE, drug)
+    absent = _around(fixed.NO_DETERMINANT, drug)
     summary = (
         F.when(
             F.col("verdict") == "likely_to_fail",
-            F.format_string("statistical model estimated resistance (calibrated p=%.2f)", p),
+            F.format_string(fixed.SAYS_FAIL, p),
         )
         .when(
             F.col("verdict") == "likely_to_work",
-            F.format_string(
-                "statistical model estimated susceptibility (calibrated p(resistant)=%.2f)", p
-            ),
+            F.format_string(fixed.SAYS_WORK, p),
         )
         .otherwise(
-            F.format_string(
-                "conformal set ambiguous at alpha=%s: the model could not separate S from R at "
-                "the configured coverage (calibrated p(resistant)=%.2f)",
-                F.col("alpha").cast("string"),
-                p,
-            )
+            F.format_string(fixed.SAYS_AMBIGUOUS, F.col("alpha").cast("string"), p)
         )
     )
 
@@ -324,22 +312,12 @@ def verdicts(gated: DataFrame, models: DataFrame, scores: DataFrame, tops: DataF
     model_items = F.transform(lines, lambda t: _item(t, source, "statistical_association"))
     ood = F.array(
         _item(
-            F.concat(
-                F.lit(
-                    "novel / out-of-distribution: the conformal procedure admitted neither S nor "
-                    "R at alpha="
-                ),
-                F.col("alpha").cast("string"),
-            ),
+            F.concat(F.lit(fixed.SAYS_NOVEL), F.col("alpha").cast("string")),
             F.concat(F.lit("conformal ("), version, F.lit(")")),
             "no_signal",
         )
     )
-    reason = F.concat(
-        F.lit("no trained model for '"),
-        drug,
-        F.lit("' (insufficient data or not in this registry)"),
-    )
+    reason = _around(fixed.NO_MODEL, drug)
     if "reason" in gated.columns:
         reason = F.coalesce("reason", reason)
     no_model = F.array(_item(reason, F.lit("predictor/model_registry"), "no_signal"))
@@ -441,7 +419,7 @@ def report_rows(gated: DataFrame, known: DataFrame, models: DataFrame, scores: D
     stat_items = F.transform(
         statistical,
         lambda f: _item(
-            F.concat(f, F.lit(": statistical association weighted by the calibrated model")),
+            F.concat(f, F.lit(fixed.WEIGHTED)),
             F.concat(F.lit("logistic-regression model "), F.coalesce("version", F.lit("unknown"))),
             "statistical_association",
         ),

@@ -21,6 +21,11 @@ def duck_hash(expr: str) -> str:
     return f"cast(('0x' || substr(md5({expr}), 1, 8)) as bigint)"
 
 
+def text_literal(value: str) -> str:
+    """A quoted text for both engines; a quote inside is doubled."""
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _select(exprs: list[str], source: str, where: str | None = None) -> str:
     return f"SELECT {', '.join(exprs)} FROM {source}" + (f" WHERE {where}" if where else "")
 

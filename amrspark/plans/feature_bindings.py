@@ -15,7 +15,7 @@ GENES = (
     ("rmtB1", "AMINOGLYCOSIDE", "AMINOGLYCOSIDE"),
     ("aac(3)-IIa", "AMINOGLYCOSIDE", "GENTAMICIN"),
     ("aph(6)-Id", "AMINOGLYCOSIDE", "STREPTOMYCIN"),
-    ("aac(6@)-Ib-cr5", "AMINOGLYCOSIDE/QUINOLONE", "AMIKACIN/QUINOLONE"),
+    ("aac(6')-Ib-cr5", "AMINOGLYCOSIDE/QUINOLONE", "AMIKACIN/QUINOLONE"),
     ("qnrB1", "QUINOLONE", "QUINOLONE"),
     ("oqxA", "PHENICOL/QUINOLONE", "PHENICOL/QUINOLONE"),
     ("sul1", "SULFONAMIDE", "SULFONAMIDE"),
@@ -36,7 +36,7 @@ DISRUPTS = ("ompK35_fs", "ompK36_fs", "ramR_del")
 
 def _pick(values, index):
     joined = "|".join(values)
-    return f"replace(split_part('{joined}', '|', cast({index} as int)), '@', chr(39))"
+    return f"split_part({B.text_literal(joined)}, '|', cast({index} as int))"
 
 
 _I = f"(event_id * 7 % {len(GENES)} + 1)"

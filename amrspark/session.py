@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints that no table refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

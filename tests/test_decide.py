@@ -265,6 +265,13 @@ def test_cited_chunks_allow_their_numbers(spark, world):
     assert A.grounding(df, report(spark, world), chunks).first()["passed"]
 
 
+def test_narrative_of_an_unreported_genome_fails(spark, world):
+    df = spark.createDataFrame([("nobody", "All fine, 12%.", [("gentamicin", "Works.", [])], [])], NARR)
+    got = A.grounding(df, report(spark, world)).collect()
+    assert [(r["rule"], r["passed"]) for r in got] == [("genome_not_reported", False)]
+    assert A.ungrounded_percents(A.flatten(df), report(spark, world)).first()["percents"] == ["12"]
+
+
 def test_published_text(spark, world):
     caveats = [
         "Confirm every result with laboratory testing.",

@@ -130,6 +130,20 @@ def test_train_store_analyse_evaluate(spark, cohort, tmp_path):
     again = analysis.evaluate(spark, root, tampered, folds=3)
     assert again["comparison"].where("antibiotic = 'gentamicin' and not matches").count() > 0
 
+    redone = analysis.reevaluate(spark, root, hits, genomes, labels, meta, folds=3)
+    assert redone["comparison"].count() >= 4 and redone["comparison"].where("not matches").count() == 0
+    assert [r["antibiotic"] for r in redone["skipped"].collect()] == ["ciprofloxacin"]
+    with pytest.raises(ValueError, match="stored features differ"):
+        analysis.rescore(spark, root, hits.where("gene_symbol <> 'blaKPC-2'"), genomes, labels, meta)
+    wrong = {
+        "model": gent.model, "coefficients": gent.coefficients.withColumn("coefficient", -F.col("coefficient")),
+        "metrics": gent.metrics, "conformal": gent.conformal, "evaluation": gent.evaluation, "scores": gent.scores,
+    }
+    store.save(spark, root, "gentamicin", wrong, status="trained", reason=None, db_version="2026-05-15.1")
+    bad = analysis.reevaluate(spark, root, hits, genomes, labels, meta, folds=3)["comparison"]
+    assert bad.where("antibiotic = 'gentamicin' and not matches").count() > 0
+    assert bad.where("antibiotic = 'meropenem' and not matches").count() == 0
+
     head = trained["gentamicin"].model.join(trained["gentamicin"].conformal, "antibiotic").withColumn("version", F.lit("v1"))
     ranking = gent.coefficients.withColumn("rank", F.row_number().over(
         __import__("pyspark").sql.Window.partitionBy("antibiotic").orderBy(F.abs("coefficient").desc(), "feature")))
