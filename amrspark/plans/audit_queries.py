@@ -146,7 +146,9 @@ SQL = {
           FROM free WHERE CASE {_FREE_C} END IS NOT NULL),
       w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY stage, turn) = 1)
       SELECT f.conv_id, f.genome_id, w.rule IS NULL AS passed, w.rule, w.drug, w.value
-      FROM free f LEFT JOIN w USING (conv_id)""",
+      FROM free f LEFT JOIN w USING (conv_id)
+      UNION ALL SELECT conv_id, genome_id, false, 'genome_not_reported', NULL, NULL FROM convs
+      WHERE genome_id NOT IN (SELECT genome_id FROM story)""",
     "published_narrative": f"""WITH {_NARR}
       SELECT conv_id, any_value(summary) || chr(10) || string_agg(antibiotic || ': ' || narrative,
         chr(10) ORDER BY turn) || chr(10) || '{_CAVEATS[1]}' || chr(10) || '{fixed.DISCLAIMER}'
@@ -156,8 +158,8 @@ SQL = {
         chr(10) || string_agg(antibiotic || ': ' || narrative, chr(10) ORDER BY turn)) AS t
         FROM turns JOIN convs c USING (conv_id) GROUP BY conv_id),
       bad AS (SELECT conv_id, list_filter(regexp_extract_all(t, {_PCT}), lambda x:
-        NOT list_contains(regexp_extract_all(lower(narrative), {_NUM}), x)) AS p
-        FROM flat JOIN story USING (genome_id)),
+        NOT list_contains(regexp_extract_all(lower(coalesce(narrative, '')), {_NUM}), x)) AS p
+        FROM flat LEFT JOIN story USING (genome_id)),
       pos AS (SELECT conv_id, x, min(i) AS i FROM (SELECT conv_id, unnest(p) AS x,
         generate_subscripts(p, 1) AS i FROM bad) GROUP BY ALL)
       SELECT conv_id, string_agg(x, ',' ORDER BY i) AS percents FROM pos GROUP BY conv_id""",
