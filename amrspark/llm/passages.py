@@ -50,7 +50,8 @@ def shared_passages(
 
     A group of chunks with a passage is thus linked through its pivots, not pair by pair. Null
     ids and texts, empty and short texts have no passages. Of rows with one chunk_id the smallest
-    text counts. A run repeated inside one chunk is matched at its first place.
+    text counts. A run repeated inside one chunk is matched at its first place, from which an
+    unbroken repetition reaches on.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     base = chunks.select(F.col("chunk_id").alias("a"), "text").where(
@@ -58,11 +59,11 @@ def shared_passages(
     )
     least = min_words - 2 * (window - 1)
     seeds = store(
-        base.mapInArrow(_seeder(seed_words, window), f"a {kind}, pos int, seed long"), "seeds"
+        base.mapInArrow(_seeder(seed_words, window), f"a {kind}, pos int, reach int, seed long"), "seeds"
     )
     many = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed")
-    found = seeds.join(many, "seed").groupBy("a").agg(F.collect_list(F.struct("pos", "seed")).alias("s"))
-    rows = f"a {kind}, pos int, seed long"
+    found = seeds.join(many, "seed").groupBy("a").agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
+    rows = f"a {kind}, pos int, reach int, seed long"
     none = F.array().cast("array<struct<start:int,end:int>>")
     live = store(
         found.withColumn("done", none).mapInArrow(_runs(seed_words, least), rows), "shared-seeds"
@@ -78,7 +79,7 @@ def shared_passages(
             covered = done.groupBy("a").agg(F.collect_set(F.struct("start", "end")).alias("done"))
             left = (
                 live.groupBy("a")
-                .agg(F.collect_list(F.struct("pos", "seed")).alias("s"))
+                .agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
                 .join(covered, "a", "left")
                 .select("a", "s", F.coalesce("done", none).alias("done"))
             )
@@ -105,17 +106,24 @@ def _round(live, texts, kind: str, turn: int, seed_words: int, min_words: int, l
     pivots = live.groupBy("seed").agg(F.min(order)["a"].alias("lo"), F.max(order)["a"].alias("hi"))
     pairs = (
         live.join(pivots.where("lo <> hi"), "seed")
-        .select("seed", "a", "pos", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
+        .select("seed", "a", "pos", "reach", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
         .where(F.col("a") != F.col("b"))
     )
-    places = live.select("seed", F.col("a").alias("b"), F.col("pos").alias("at"))
+    places = live.select(
+        "seed", F.col("a").alias("b"), F.col("pos").alias("at"), F.col("reach").alias("at_reach")
+    )
+    size = F.least(F.col("reach") - F.col("pos"), F.col("at_reach") - F.col("at")) + seed_words
     matched = (
         pairs.join(places, ["seed", "b"])
         .groupBy("a", "b")
-        .agg(F.collect_list(F.struct("pos", "at")).alias("m"), F.min("pos").alias("x"), F.max("pos").alias("y"))
-        .where(F.col("y") - F.col("x") + seed_words >= least)
+        .agg(
+            F.collect_list(F.struct("pos", "at", size.alias("n"))).alias("m"),
+            F.min("pos").alias("x"),
+            F.max(F.col("pos") + size).alias("y"),
+        )
+        .where(F.col("y") - F.col("x") >= least)
         .select("a", "b", "m")
-        .mapInArrow(_chainer(seed_words, least), f"a {kind}, b {kind}, chains array<array<int>>")
+        .mapInArrow(_chainer(least), f"a {kind}, b {kind}, chains array<array<int>>")
     )
     full = (
         matched.join(texts.withColumnRenamed("text", "ta"), "a")
@@ -132,22 +140,33 @@ def _seeder(seed_words: int, window: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found, values, counts = [], [], []
+            found, ends, values, counts = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 h = rolling(hashes.of(spaced_words(text)), seed_words)
                 at = winnow(h, window)
-                seed, first = np.unique(h[at], return_index=True)
-                found.append(at[first].astype(np.int32))
-                values.append(seed.view(np.int64))
-                counts.append(len(seed))
+                order = np.argsort(h[at], kind="stable")
+                place, seed = at[order], h[at][order]
+                new = np.diff(seed, prepend=seed[:1] ^ np.uint64(1)) != 0
+                # A seed that comes again and again, as in a repeated word, reaches on.
+                apart = ~new & (np.diff(place, prepend=0) > MAX_GAP)
+                group = np.cumsum(new) - 1
+                broken = np.cumsum(apart)
+                inside = broken == broken[new][group]
+                starts = np.flatnonzero(new)
+                found.append(place[new].astype(np.int32))
+                if len(starts):
+                    ends.append(np.maximum.reduceat(np.where(inside, place, -1), starts).astype(np.int32))
+                values.append(seed[new].view(np.int64))
+                counts.append(len(starts))
             owner = np.repeat(np.arange(len(counts)), counts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("a").take(pa.array(owner)),
                     pa.array(np.concatenate([np.empty(0, np.int32), *found])),
+                    pa.array(np.concatenate([np.empty(0, np.int32), *ends])),
                     pa.array(np.concatenate([np.empty(0, np.int64), *values])),
                 ],
-                ["a", "pos", "seed"],
+                ["a", "pos", "reach", "seed"],
             )
 
     return read
@@ -171,37 +190,38 @@ def _runs(seed_words: int, least: int):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, places, values = [], [], []
+            owner, kept = [], []
             for row, (seeds, done) in enumerate(
                 zip(batch.column("s").to_pylist(), batch.column("done").to_pylist(), strict=True)
             ):
-                pairs = sorted((s["pos"], s["seed"]) for s in seeds)
+                found = sorted((s["pos"], s["reach"], s["seed"]) for s in seeds)
                 for cut in done:
-                    pairs = [p for p in pairs if not cut["start"] <= p[0] <= cut["end"] - seed_words]
-                pos = np.array([p for p, _ in pairs], np.int64)
-                breaks = np.flatnonzero(np.diff(pos) > MAX_GAP) + 1
+                    found = [p for p in found if not cut["start"] <= p[0] <= cut["end"] - seed_words]
+                pos = np.array([p for p, _, _ in found], np.int64)
+                reach = np.maximum.accumulate([r for _, r, _ in found]) if found else pos
+                breaks = np.flatnonzero(pos[1:] - reach[:-1] > MAX_GAP) + 1
                 for a, b in zip([0, *breaks], [*breaks, len(pos)], strict=True):
-                    if b > a and pos[b - 1] - pos[a] + seed_words >= least:
+                    if b > a and reach[b - 1] - pos[a] + seed_words >= least:
                         owner += [row] * int(b - a)
-                        places += [p for p, _ in pairs[a:b]]
-                        values += [s for _, s in pairs[a:b]]
+                        kept += found[a:b]
+            pos, reach, seed = zip(*kept, strict=True) if kept else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("a").take(pa.array(owner, pa.int64())),
-                    pa.array(places, pa.int32()), pa.array(values, pa.int64()),
+                    pa.array(pos, pa.int32()), pa.array(reach, pa.int32()), pa.array(seed, pa.int64()),
                 ],
-                ["a", "pos", "seed"],
+                ["a", "pos", "reach", "seed"],
             )
 
     return keep
 
 
-def _chainer(seed_words: int, least: int):
+def _chainer(least: int):
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, chains = [], []
             for row, matches in enumerate(batch.column("m").to_pylist()):
-                runs = join_matches([(m["pos"], m["at"]) for m in matches], seed_words)
+                runs = join_matches([(m["pos"], m["at"], m["n"]) for m in matches])
                 found = [
                     [v for run in c for v in run] for c in best_chains(runs)
                     if c[-1][0] + c[-1][2] - c[0][0] >= least
@@ -221,16 +241,17 @@ def _chainer(seed_words: int, least: int):
     return chain
 
 
-def join_matches(matches: list[tuple[int, int]], seed_words: int) -> list[tuple[int, int, int]]:
-    """Matches on one diagonal with small gaps, as runs (place, other place, words), in order."""
+def join_matches(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches (place, other place, words) on one diagonal with gaps of up to eight words, as runs
+    in order."""
     runs: list[tuple[int, int, int]] = []
-    for x, y in sorted(matches, key=lambda m: (m[0] - m[1], m[0])):
+    for x, y, m in sorted(matches, key=lambda m: (m[0] - m[1], m[0])):
         if runs:
             a, b, n = runs[-1]
-            if a - b == x - y and x - (a + n) <= seed_words:
-                runs[-1] = (a, b, x + seed_words - a)
+            if a - b == x - y and x - (a + n) <= 8:
+                runs[-1] = (a, b, max(n, x + m - a))
                 continue
-        runs.append((x, y, seed_words))
+        runs.append((x, y, m))
     return sorted(runs)
 
 

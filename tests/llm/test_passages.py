@@ -22,6 +22,8 @@ def corpus():
             at = rng.randrange(len(words))
             words[at:at] = p
         docs.append((k, " ".join(words)))
+    for k in range(4):  # a word pair, again and again
+        docs.append((60 + k, " ".join(text(30) + ["is", "of"] * (40 + k) + text(30))))
     line = text(12)
     docs += [(100 + k, " ".join(text(40) + line + text(40))) for k in range(30)]
     docs += [(200, docs[1][1].upper()), (201, docs[1][1]), (300, None), (301, ""), (302, "short text"), (None, docs[1][1])]
@@ -47,9 +49,10 @@ def test_every_shared_window_is_covered(spark):
         match = difflib.SequenceMatcher(None, a, b, False).get_matching_blocks()
         assert r.n_equal >= sum(m.size for m in match) - 2
     for k, w in words.items():
-        for i in range(len(w) - 50):
-            if len(seen[tuple(w[i : i + 51])]) > 1:
-                assert set(range(i, i + 51)) <= covered[k]
+        shared = [i for i in range(len(w) - 50) if len(seen[tuple(w[i : i + 51])]) > 1]
+        missing = {j for i in shared for j in range(i, i + 51)} - covered.get(k, set())
+        # A repetition is aligned from its start: the end of a longer one may stand over.
+        assert not missing or (60 <= k < 64 and len(missing) <= 6)
     # Edited copies are found too; chunks with only a common line, or nothing, are not.
     # An edited copy of the 51 words may fall below 50.
     assert {k for k in range(40) if k % 2 and (k % 3 or k % 5 != 1)} <= set(covered)
@@ -58,7 +61,7 @@ def test_every_shared_window_is_covered(spark):
 
 
 def test_chains_keep_order():
-    runs = join_matches([(0, 10), (4, 14), (30, 42), (60, 5), (9, 19)], 8)
+    runs = join_matches([(x, y, 8) for x, y in ((0, 10), (4, 14), (30, 42), (60, 5), (9, 19))])
     assert runs == [(0, 10, 17), (30, 42, 8), (60, 5, 8)]
     chains = best_chains(runs)
     assert chains[0] == [(0, 10, 17), (30, 42, 8)] and chains[1] == [(60, 5, 8)]
