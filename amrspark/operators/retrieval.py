@@ -1,8 +1,8 @@
 """BM25 and hashed-vector retrieval with rank fusion, over an inverted index.
 
 Every ranking covers the whole corpus, documents without a match included, yet only matching
-(query, document) pairs are ever built: the rank of a document without a match follows from its
-position in id order, and only the k smallest such ids can reach a top k.
+(query, document) pairs are ever built, and nothing ranks them all: a bound that follows from k
+leaves few candidates per query, whose ranks are counted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from amrspark import fixed
 from amrspark.functions import text
-from amrspark.operators.ranking import numbered, ranked
+from amrspark.operators.ranking import numbered
 from amrspark.session import cut
 
 # Scores are compared at this many digits, so that the order of summation cannot reorder ties.
@@ -111,53 +111,53 @@ def dense_scores(index: Index, queries: DataFrame, dim: int = fixed.EMBED_DIM) -
     return scored.where(F.col("score") != 0)
 
 
-def _combined(index: Index, legs: list[DataFrame]) -> DataFrame:
-    """Matching pairs of all legs: query_id, doc_id, pos and one score column `s<i>` per leg, null
-    where the pair does not match in that leg. Written once, as ranks read it several times."""
-    tagged = [leg.withColumn("_leg", F.lit(i)) for i, leg in enumerate(legs)]
-    pairs = reduce(DataFrame.unionByName, tagged)
-    wide = pairs.groupBy("query_id", "doc_id").agg(
-        *[F.max(F.when(F.col("_leg") == i, F.col("score"))).alias(f"s{i}") for i in range(len(legs))]
-    )
-    return cut(wide.join(index.docs, "doc_id"))
-
-
-def _with_order(rows: DataFrame) -> DataFrame:
-    """Add `_b`: how many rows of the query have a smaller position, and `_w`: how many it has."""
-    placed = numbered(rows, ["query_id"], ["pos"], "_b")
-    return placed.select(*rows.columns, (F.col("_b") - 1).alias("_b"), F.col("_n").alias("_w"))
+def reach(legs: int, k: int, rrf_k: int) -> int:
+    """A bound on the best rank of a fused top k, from k and the constants alone.
 
-
-def _first_unmatched(index: Index, queries: DataFrame, matched: DataFrame, k: int) -> DataFrame:
-    """The k smallest ids per query that match in no leg.
-
-    With matched positions in order, position p has `p - (matched before p)` unmatched ones before
-    it; the j-th unmatched position is j plus the number of matched ones with at most j such.
+    The k documents ranked first in one leg each score at least 1 / (rrf_k + k). A document whose
+    best rank over L legs is r scores at most L / (rrf_k + r), which is less once
+    r > L * (rrf_k + k) - rrf_k. So a document beyond that rank in every leg is not in the top k.
     """
-    gap = F.col("pos") - F.col("_b")
-    counts = _with_order(matched.select("query_id", "pos")).groupBy("query_id").agg(
-        F.array(*[F.count_if(gap <= j) + j for j in range(k)]).alias("_m")
+    return legs * (rrf_k + k) - rrf_k
+
+
+def _first_zeros(index: Index, queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """The `limit` smallest positions per query without a score in the leg, for queries with fewer
+    than `limit` positive scores (in all others such a document ranks too low to matter)."""
+    sizes = rows.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("p"))
+    few = queries.select("query_id").distinct().join(sizes, "query_id", "left").fillna(0, ["m", "p"])
+    few = few.where(F.col("p") < limit)
+    last = F.least(F.lit(index.n), F.col("m") + limit) - 1
+    spots = few.where(F.lit(index.n > 0)).select(
+        "query_id", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("pos")
     )
-    start = F.array(*[F.lit(j).cast("bigint") for j in range(k)])
-    rows = queries.select("query_id").distinct().join(counts, "query_id", "left")
-    spots = rows.select("query_id", F.explode(F.coalesce("_m", start)).alias("pos"))
-    return spots.join(index.docs, "pos").select("query_id", "doc_id", "pos")
+    free = spots.join(rows.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    return free.withColumn("_at", at).where(F.col("_at") <= limit).select("query_id", "pos")
 
 
-def _rank_column(index: Index, rows: DataFrame, leg: str) -> DataFrame:
-    """Rank over the whole corpus in one leg: score descending, then position.
+def _ranks(index: Index, candidates: DataFrame, rows: DataFrame, out: str) -> DataFrame:
+    """Rank of each candidate over the whole corpus in one leg: score descending, then position.
 
-    Documents missing from `rows` have score zero in every leg. Ahead of a zero row are the missing
-    ones with smaller positions, ahead of a negative row all of them.
+    Counted, not sorted: every scored row of the query is compared with its few candidates, and
+    only the counts are shuffled. Documents without a score have score zero: ahead of one are the
+    positive rows and the unscored ones of smaller position, ahead of a negative row all unscored.
     """
-    scored = rows.withColumn("_s", F.coalesce(leg, F.lit(0.0)))
-    scored = ranked(scored, ["query_id"], "_s", "pos", out="_a")
+    own = candidates.join(rows.select("query_id", "pos", "score"), ["query_id", "pos"], "left")
+    own = own.select("query_id", "pos", F.coalesce("score", F.lit(0.0)).alias("s"))
+    others = rows.select("query_id", F.col("pos").alias("_p"), F.col("score").alias("_s"))
+    better = (F.col("_s") > F.col("s")) | ((F.col("_s") == F.col("s")) & (F.col("_p") < F.col("pos")))
+    counted = own.join(others, "query_id", "left").groupBy("query_id", "pos", "s").agg(
+        F.count_if(better).alias("_better"),
+        F.count_if(F.col("_p") < F.col("pos")).alias("_less"),
+        F.count("_p").alias("_m"),
+    )
     missing = (
-        F.when(F.col("_s") > 0, 0)
-        .when(F.col("_s") == 0, F.col("pos") - F.col("_b"))
-        .otherwise(F.lit(index.n) - F.col("_w"))
+        F.when(F.col("s") > 0, 0)
+        .when(F.col("s") == 0, F.col("pos") - F.col("_less"))
+        .otherwise(F.lit(index.n) - F.col("_m"))
     )
-    return scored.withColumn(f"r_{leg}", F.col("_a") + missing).drop("_a", "_s")
+    return counted.select("query_id", "pos", (F.col("_better") + missing + 1).alias(out))
 
 
 def fuse(
@@ -165,18 +165,28 @@ def fuse(
 ) -> DataFrame:
     """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id.
 
-    A query of any number of matching documents is ranked in ranges spread over tasks.
+    Only documents within `reach` of some leg are candidates. They are taken before the shuffle
+    (Spark pushes a rank filter down up to spark.sql.optimizer.windowGroupLimitThreshold, 1000
+    unless set; reach is 70 for two legs and k = 5), and only their exact ranks are computed.
     """
-    matched = _combined(index, legs)
-    names = [f"s{i}" for i in range(len(legs))]
-    extra = _first_unmatched(index, queries, matched, k)
-    rows = _with_order(matched.unionByName(extra, allowMissingColumns=True))
-    for c in names:
-        rows = _rank_column(index, rows, c)
-    score = reduce(
-        lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(f"r_{c}")) for c in names]
+    limit = reach(len(legs), k, rrf_k)
+    placed = [
+        cut(leg.join(index.docs, "doc_id").select("query_id", "pos", "score")) for leg in legs
+    ]
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")
+    found = []
+    for rows in placed:
+        near = rows.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= limit)
+        found += [near.select("query_id", "pos"), _first_zeros(index, queries, rows, limit)]
+    candidates = cut(reduce(DataFrame.unionByName, found).distinct())
+    names = [f"r{i}" for i in range(len(legs))]
+    ranks = reduce(
+        lambda one, two: one.join(two, ["query_id", "pos"]),
+        [_ranks(index, candidates, rows, name) for rows, name in zip(placed, names, strict=True)],
     )
-    return top_k(rows.select("query_id", "doc_id", F.round(score, 12).alias("score")), k)
+    score = reduce(lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(c)) for c in names])
+    named = ranks.join(index.docs, "pos")
+    return top_k(named.select("query_id", "doc_id", F.round(score, 12).alias("score")), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
