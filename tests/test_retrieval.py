@@ -104,3 +104,10 @@ def test_gene_evidence(spark):
     )
     got = {(r["genome_id"], r["antibiotic"]): r["chunk_id"] for r in R.evidence_for_genes(rows, chunks, 1).collect()}
     assert got == {("g1", "meropenem"): "k1", ("g2", "meropenem"): "k1", ("g1", "x"): "k2"}
+
+
+def test_reach_holds_every_fused_top():
+    """No ranks outside the bound can reach the top k, and the bound is the least such one."""
+    for legs, k, c in ((1, 5, 60), (2, 5, 60), (2, 1, 60), (3, 7, 10)):
+        limit = R.reach(legs, k, c)
+        assert legs / (c + limit + 1) < 1 / (c + k) <= legs / (c + limit)
