@@ -136,10 +136,18 @@ def _round(live, texts, kind: str, turn: int, seed_words: int, min_words: int, l
     )
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, as their values are many times larger as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def _seeder(seed_words: int, window: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _few(batches):
             found, ends, values, counts = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 h = rolling(hashes.of(spaced_words(text)), seed_words)
@@ -189,7 +197,7 @@ def _runs(seed_words: int, least: int):
     """Keep a chunk's seeds outside its passages that stand in runs spanning `least` words."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             owner, kept = [], []
             for row, (seeds, done) in enumerate(
                 zip(batch.column("s").to_pylist(), batch.column("done").to_pylist(), strict=True)
@@ -218,7 +226,7 @@ def _runs(seed_words: int, least: int):
 
 def _chainer(least: int):
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             keep, chains = [], []
             for row, matches in enumerate(batch.column("m").to_pylist()):
                 runs = join_matches([(m["pos"], m["at"], m["n"]) for m in matches])
@@ -319,7 +327,7 @@ def best_chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
 
 def _aligner(min_words: int, identity: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows, spans = [], []
             known, old = [], None
             for row, (chains, ta, tb) in enumerate(
