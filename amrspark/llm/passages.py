@@ -50,8 +50,8 @@ def shared_passages(
 
     A group of chunks with a passage is thus linked through its pivots, not pair by pair. Null
     ids and texts, empty and short texts have no passages. Of rows with one chunk_id the smallest
-    text counts. A run repeated inside one chunk is matched at its first place, from which an
-    unbroken repetition reaches on.
+    text counts. Of a run repeated inside one chunk every place counts; an unbroken repetition,
+    as of one word, is one place that reaches on.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     base = chunks.select(F.col("chunk_id").alias("a"), "text").where(
@@ -61,7 +61,7 @@ def shared_passages(
     seeds = store(
         base.mapInArrow(_seeder(seed_words, window), f"a {kind}, pos int, reach int, seed long"), "seeds"
     )
-    many = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed")
+    many = seeds.groupBy("seed").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("seed")
     found = seeds.join(many, "seed").groupBy("a").agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
     rows = f"a {kind}, pos int, reach int, seed long"
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -155,16 +155,12 @@ def _seeder(seed_words: int, window: int):
                 order = np.argsort(h[at], kind="stable")
                 place, seed = at[order], h[at][order]
                 new = np.diff(seed, prepend=seed[:1] ^ np.uint64(1)) != 0
-                # A seed that comes again and again, as in a repeated word, reaches on.
-                apart = ~new & (np.diff(place, prepend=0) > MAX_GAP)
-                group = np.cumsum(new) - 1
-                broken = np.cumsum(apart)
-                inside = broken == broken[new][group]
-                starts = np.flatnonzero(new)
-                found.append(place[new].astype(np.int32))
-                if len(starts):
-                    ends.append(np.maximum.reduceat(np.where(inside, place, -1), starts).astype(np.int32))
-                values.append(seed[new].view(np.int64))
+                # A seed that comes again and again, as in a repeated word, reaches on; further
+                # away it is a row of its own.
+                starts = np.flatnonzero(new | (np.diff(place, prepend=0) > MAX_GAP))
+                found.append(place[starts].astype(np.int32))
+                ends.append(place[np.append(starts, len(place))[1:] - 1].astype(np.int32))
+                values.append(seed[starts].view(np.int64))
                 counts.append(len(starts))
             owner = np.repeat(np.arange(len(counts)), counts)
             yield pa.RecordBatch.from_arrays(

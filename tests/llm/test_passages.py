@@ -95,3 +95,20 @@ def test_winnow_and_empty_table(spark):
     assert winnow(h[:0], 16).tolist() == [] and winnow(h[:3], 16).tolist() == [int(h[:3].argmin())]
     df = spark.createDataFrame([], "chunk_id int, text string")
     assert shared_passages(df).count() == 0
+
+
+def test_every_copy_inside_a_chunk(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    passage = text(60)
+    twice = text(20) + passage + text(300) + passage + text(20)
+    # Sentences of the passage that stand elsewhere before it, in another order.
+    moved = passage[40:] + text(90) + passage[:30] + text(90) + passage
+    docs = {1: twice, 2: text(30) + passage + text(30), 3: moved}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "chunk_id int, text string")
+    covered = {}
+    for r in shared_passages(df).collect():
+        covered.setdefault(r.chunk_id, set()).update(range(r.start, r.end))
+    assert covered[1] == {*range(20, 80), *range(380, 440)}
+    assert covered[2] == set(range(30, 90))
+    assert covered[3] == set(range(230, 290))
