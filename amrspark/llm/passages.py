@@ -14,6 +14,7 @@ from amrspark.llm.words import WordHashes, rolling, spaced_words
 
 MIN_WORDS, SEED_WORDS, WINDOW, MAX_GAP, IDENTITY, ROUNDS = 50, 8, 16, 40, 0.8, 3
 GAP_COST = 0.25
+_BLOCK = 2048
 
 
 def shared_passages(
@@ -47,6 +48,9 @@ def shared_passages(
        ends word by word.
     5. Seeds that lie in no passage yet meet other pivots, in an order drawn anew, for up to
        `rounds` rounds.
+    6. Seeds still outside all passages meet every other place of theirs, block by block. A pair
+       goes on if its equal words around the seed reach `min_words`, or if it shares another seed
+       that a chain could join, so none goes that the next steps would keep.
 
     A group of chunks with a passage is thus linked through its pivots, not pair by pair. Null
     ids and texts, empty and short texts have no passages. Of rows with one chunk_id the smallest
@@ -65,7 +69,7 @@ def shared_passages(
     found = seeds.join(many, "seed").groupBy("a").agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
     rows = f"a {kind}, pos int, reach int, seed long"
     none = F.array().cast("array<struct<start:int,end:int>>")
-    live = store(
+    first = live = store(
         found.withColumn("done", none).mapInArrow(_runs(seed_words, least), rows), "shared-seeds"
     )
     # The only shuffle of texts: those with a long enough run of shared seeds.
@@ -76,18 +80,19 @@ def shared_passages(
     done = None
     for turn in range(rounds):
         if turn:
-            covered = done.groupBy("a").agg(F.collect_set(F.struct("start", "end")).alias("done"))
-            left = (
-                live.groupBy("a")
-                .agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
-                .join(covered, "a", "left")
-                .select("a", "s", F.coalesce("done", none).alias("done"))
-            )
-            live = store(left.mapInArrow(_runs(seed_words, least), rows), "open-seeds")
+            live = store(_outside(live, done, none).mapInArrow(_runs(seed_words, least), rows), "open-seeds")
             if live.isEmpty():
                 break
-        now = store(_round(live, texts, kind, turn, seed_words, min_words, least, identity), "passages")
+        pairs = _pivoted(live, turn)
+        now = store(_compared(pairs, live, texts, kind, seed_words, min_words, least, identity), "passages")
         done = now if done is None else done.unionAll(now)
+    # Here a passage may stand in what others leave of it, so single seeds count.
+    live = store(_outside(first, done, none).mapInArrow(_runs(seed_words, 0), rows), "rest-seeds")
+    if not live.isEmpty():
+        near = store(_blocks(live, first, texts, kind, seed_words, min_words), "rest-pairs")
+        pairs = near.join(first, "a").select("seed", "a", "pos", "reach", "b")
+        now = store(_compared(pairs, first, texts, kind, seed_words, min_words, least, identity), "passages")
+        done = done.unionAll(now)
     here = done.select(
         F.col("a").alias("chunk_id"), "start", "end", F.col("b").alias("other_id"),
         F.col("other_start"), F.col("other_end"), "n_equal",
@@ -100,15 +105,163 @@ def shared_passages(
     return here.unionAll(there).distinct()
 
 
-def _round(live, texts, kind: str, turn: int, seed_words: int, min_words: int, least: int, identity: float):
-    """Passages (a, start, end, b, other_start, other_end, n_equal) of every chunk with pivots."""
+def _outside(seeds, done, none) -> DataFrame:
+    """(a, s, done): the seeds and the passages of each chunk."""
+    sides = done.select("a", "start", "end").unionAll(done.select("b", "other_start", "other_end"))
+    covered = sides.groupBy("a").agg(F.collect_set(F.struct("start", "end")).alias("done"))
+    return (
+        seeds.groupBy("a")
+        .agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
+        .join(covered, "a", "left")
+        .select("a", "s", F.coalesce("done", none).alias("done"))
+    )
+
+
+def _pivoted(live, turn: int) -> DataFrame:
+    """(seed, a, pos, reach, b): every seed of a chunk with the two pivots of the seed."""
     order = F.struct((F.xxhash64("a", F.lit(turn)) if turn else F.lit(0)).alias("h"), F.col("a"))
     pivots = live.groupBy("seed").agg(F.min(order)["a"].alias("lo"), F.max(order)["a"].alias("hi"))
-    pairs = (
+    return (
         live.join(pivots.where("lo <> hi"), "seed")
         .select("seed", "a", "pos", "reach", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
         .where(F.col("a") != F.col("b"))
     )
+
+
+def _blocks(live, first, texts, kind: str, seed_words: int, min_words: int) -> DataFrame:
+    """Pairs (a, b) of a chunk with a seed of `live` and any other that has it, if a chain of the
+    two can be a passage.
+
+    The places of a seed are cut into blocks by a hash; a task compares two of them, with the
+    words and seeds around each place.
+    """
+    asked = first.join(live.select("seed").distinct(), "seed").join(
+        live.select("a", "seed", "pos", F.lit(True).alias("open")), ["a", "seed", "pos"], "left"
+    )
+    asked = asked.groupBy("a").agg(
+        F.collect_list(F.struct("seed", "pos", F.coalesce("open", F.lit(False)).alias("open"))).alias("w")
+    )
+    all_seeds = first.groupBy("a").agg(F.collect_list(F.struct("pos", "reach", "seed")).alias("s"))
+    places = store(
+        asked.join(all_seeds, "a").join(texts, "a").select("a", "w", "s", "text").mapInArrow(
+            _surrounder(seed_words, min_words),
+            f"seed long, a {kind}, open boolean, around binary, seeds binary, offsets binary",
+        ),
+        "rest-places",
+    )
+    sizes = places.groupBy("seed").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("k"))
+    rows = places.join(sizes, "seed").withColumn("i", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = rows.where("open").select("*", each.alias("y")).withColumnRenamed("i", "x").withColumn("left", F.lit(True))
+    right = rows.select("*", each.alias("x")).withColumnRenamed("i", "y").withColumn("left", F.lit(False))
+    columns = ["seed", "x", "y", "left", "a", "open", "around", "seeds", "offsets"]
+    both = left.select(columns).unionAll(right.select(columns))
+    near = both.groupBy("seed", "x", "y").applyInArrow(_near(seed_words, min_words), f"a {kind}, b {kind}")
+    return near.distinct()
+
+
+def _surrounder(seed_words: int, min_words: int):
+    """Each asked place with the hashes of the words around it, and the seeds a chain could join:
+    a run of under `min_words` words joins what is less than twice as far."""
+    far = int(min_words * (1 + 0.5 / GAP_COST))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in _few(batches, 50):
+            owner, seeds, opened, around, nears, offsets = [], [], [], [], [], []
+            for row, (asked, known, text) in enumerate(
+                zip(
+                    batch.column("w").to_pylist(),
+                    batch.column("s").to_pylist(),
+                    batch.column("text").cast(pa.binary()).to_pylist(),
+                    strict=True,
+                )
+            ):
+                # Odd for words; zeros stand before and after the text.
+                h = np.zeros(min_words, np.uint32)
+                h = np.concatenate([h, hashes.of(spaced_words(text)).astype(np.uint32) | np.uint32(1), h])
+                pos = np.array([k["pos"] for k in known], np.int64)
+                reach = np.array([k["reach"] for k in known], np.int64)
+                value = np.array([k["seed"] for k in known], np.int64)
+                for w in asked:
+                    at = w["pos"]
+                    close = (reach + seed_words + far >= at) & (pos <= at + seed_words + far)
+                    # Repetitions stand on several diagonals: no offset tells where.
+                    off = np.where(reach > pos, np.iinfo(np.int32).max, pos - at)[close]
+                    owner.append(row)
+                    seeds.append(w["seed"])
+                    opened.append(w["open"])
+                    around.append(h[at : at + 2 * min_words + seed_words].tobytes())
+                    nears.append(value[close].tobytes())
+                    offsets.append(off.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(seeds, pa.int64()), batch.column("a").take(pa.array(owner, pa.int64())),
+                    pa.array(opened, pa.bool_()), pa.array(around, pa.binary()),
+                    pa.array(nears, pa.binary()), pa.array(offsets, pa.binary()),
+                ],
+                ["seed", "a", "open", "around", "seeds", "offsets"],
+            )
+
+    return read
+
+
+def _near(seed_words: int, min_words: int):
+    """The pairs of two blocks that a chain could make a passage."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        kind = table.schema.field("a").type
+        ids = table["a"].to_pylist()
+        rank = {v: i for i, v in enumerate(sorted(set(ids)))}
+        code = np.array([rank[v] for v in ids])
+        side = table["left"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        opened = table["open"].to_numpy(zero_copy_only=False)[right]
+        others = code[right]
+        width = 2 * min_words + seed_words
+        words = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint32).reshape(-1, width)
+        seeds = [np.frombuffer(v, np.int64) for v in table["seeds"].to_pylist()]
+        offsets = [np.frombuffer(v, np.int32) for v in table["offsets"].to_pylist()]
+        has: dict[int, list[tuple[int, int]]] = {}
+        for k, r in enumerate(right.tolist()):
+            for seed, off in zip(seeds[r].tolist(), offsets[r].tolist(), strict=True):
+                has.setdefault(seed, []).append((k, off))
+        held = {seed: np.array(v, np.int64).T for seed, v in has.items()}
+        back, ahead = words[right, :min_words][:, ::-1], words[right, min_words + seed_words :]
+        lo, hi = [], []
+        for p in left.tolist():
+            one = words[p]
+            # Two places open on both sides are compared once.
+            ok = (others > code[p]) | ((others != code[p]) & ~opened)
+            before = _reached(one[:min_words][::-1], back)
+            after = _reached(one[min_words + seed_words :], ahead)
+            near = before + after + seed_words >= min_words
+            for seed, off in zip(seeds[p].tolist(), offsets[p].tolist(), strict=True):
+                if seed in held:
+                    k, other = held[seed]
+                    inside = (off == other) & (-before[k] <= off) & (off <= after[k])
+                    near[k[~inside]] = True
+            for q in right[near & ok].tolist():
+                lo.append(ids[p])
+                hi.append(ids[q])
+        return pa.table({"a": pa.array(lo, kind), "b": pa.array(hi, kind)})
+
+    return compare
+
+
+def _reached(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Words that `_extend` adds, of `one` with each row of `others`."""
+    score = np.cumsum(np.where((others == one) & (one > 0), 1, -2), axis=1, dtype=np.int32)
+    top = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+    live = np.logical_and.accumulate(score > top - 6, axis=1)
+    score = np.where(live, score, 0)
+    best = score.argmax(axis=1)
+    return np.where(score[np.arange(len(score)), best] > 0, best + 1, 0)
+
+
+def _compared(pairs, live, texts, kind: str, seed_words: int, min_words: int, least: int, identity: float):
+    """Passages (a, start, end, b, other_start, other_end, n_equal) of the pairs (seed, a, pos,
+    reach, b)."""
     places = live.select(
         "seed", F.col("a").alias("b"), F.col("pos").alias("at"), F.col("reach").alias("at_reach")
     )

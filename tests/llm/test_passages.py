@@ -112,3 +112,15 @@ def test_every_copy_inside_a_chunk(spark):
     assert covered[1] == {*range(20, 80), *range(380, 440)}
     assert covered[2] == set(range(30, 90))
     assert covered[3] == set(range(230, 290))
+
+
+def test_common_lines_in_a_row(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    lines = [text(25) for _ in range(3)]
+    docs = {k: text(30) + lines[k % 3] + text(30) for k in range(2000)}
+    for k in (700, 1400):
+        docs[k] = text(30 + k // 100) + sum(lines, []) + text(30)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "chunk_id int, text string")
+    got = {(r.chunk_id, r.start, r.end, r.other_id) for r in shared_passages(df).collect()}
+    assert got == {(700, 37, 112, 1400), (1400, 44, 119, 700)}
