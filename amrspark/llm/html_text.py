@@ -24,6 +24,7 @@ _BLOCK = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu "
     "nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -202,9 +203,10 @@ def main_text(source: str | None) -> str:
     Elements that are no part of an article by their name, role or class are left out. For every
     other element, characters per tag, adjusted by the share of linked characters and tags, give
     the composite density; the element with the largest sum of its children's densities holds the
-    article. Its threshold is the least density on the path from the body to it: of what stands
-    beside that path, or inside the article, parts below it whose characters are mostly links are
-    left out. Inside `article` or `main` the path starts there.
+    article. Its threshold is the least density on the path from the body to it: blocks below it
+    that stand beside that path are left out, but for headings, and so are those inside the
+    article whose characters are mostly links. If `article` or `main` elements stand on the path,
+    the outermost of them is the article as a whole.
     """
     if not source:
         return ""
@@ -245,15 +247,18 @@ def main_text(source: str | None) -> str:
     while page.parent[path[-1]] >= 0 and page.tag[path[-1]] != "body":
         path.append(page.parent[path[-1]])
     threshold = min(density[i] for i in path)
-    top = next((k for k, i in enumerate(path) if page.tag[i] in ("article", "main")), len(path) - 1)
-    root, path = path[top], set(path)
-    keep = [False] * n
-    keep[root] = True
+    named = [k for k, i in enumerate(path) if page.tag[i] in ("article", "main")]
+    root, path = path[named[-1] if named else -1], set(path)
+    keep, beside = [False] * n, [False] * n
+    keep[root], beside[root] = True, not named and root != best
     for i in range(root + 1, n):
         up = page.parent[i]
+        beside[i] = beside[up] and i != best
         linky = 2 * linked[i] > chars[i] and page.tag[i] != "a"
+        apart = beside[i] and page.tag[i] not in _HEADING
         if keep[up] and not noise[i]:
-            keep[i] = i in path or not (linky and page.tag[i] in _BLOCK and density[i] < threshold)
+            low = page.tag[i] in _BLOCK and density[i] < threshold
+            keep[i] = i in path or not ((linky or apart) and low)
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.text:
         if keep[node]:

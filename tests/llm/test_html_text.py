@@ -54,3 +54,21 @@ def test_rows(spark):
     ]
     assert [(r.chunk_id, r.text) for r in got if r.source is None] == [(None, "")]
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_several_and_nested_articles_stay_whole():
+    one, two = "carbapenem resistance " * 9 + "rises", "A second report."
+    for page in (
+        f"<body><main><article><p>{one}</p><p>{one}</p></article><article><p>{two}</p></article></main></body>",
+        f"<body><article><article><p>{one}</p><p>{one}</p></article><p>{two}</p></article></body>",
+    ):
+        assert main_text(page).split("\n") == [one, one, two]
+
+
+def test_thin_blocks_beside_plain_divs_go():
+    one = "carbapenem resistance " * 19 + "rises"
+    page = (
+        f"<body><div>Our <b>daily</b> notice</div><div><h2>Title</h2><div><p>{one}</p><p>Short.</p><p>{one}</p></div></div>"
+        "<div><p>You may</p><p>also read</p></div></body>"
+    )
+    assert main_text(page).split("\n") == ["Title", one, "Short.", one]
