@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from amrspark.llm import (
     decontaminate,
+    fill_middle,
     html_text,
     near_dedup,
     neighbours,
@@ -132,6 +133,15 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    path = work_folder(spark, "frames")
+    fill_middle.write_frames(chunks, path)
+    return fill_middle.fill_in_middle(spark, path, outputs=False).withColumnsRenamed(
+        {"chunk_id": "doc_id", "n_units": "n"}
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_neighbours": op2_neighbours,
@@ -143,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_passages": op9_passages,
     "op10_private_data": op10_private_data,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _FITS = """CASE
@@ -226,4 +237,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
     WHEN rule IS NOT NULL OR d = 1 THEN 'block' ELSE 'allow' END AS verdict
 FROM (SELECT *, {_FITS} AS rule FROM hosted) h
 LEFT JOIN shared s ON h.host <> '' AND s.a = h.host || h.rest""",
+    "op13_fill_middle": r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || doc_id::varchar) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::bigint AS h1, ('0x' || h[9:16])::bigint AS h2,
+    ('0x' || h[17:24])::bigint AS h3, ('0x' || h[25:32])::bigint AS h4 FROM units),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, cast(n AS bigint) AS n, form,
+  CASE WHEN form <> 'plain' THEN cast(length(p) AS bigint) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN cast(length(m) AS bigint) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts""",
 }

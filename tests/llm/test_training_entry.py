@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 10
+    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 13
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
