@@ -18,6 +18,7 @@ from amrspark.llm import (
     private_data,
     quality,
     token_files,
+    top_chunks,
     url_filter,
 )
 from amrspark.session import work_folder
@@ -133,6 +134,14 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")
+    )
+    found = top_chunks.top_chunks(vectors, vectors.where(F.col("chunk_id") % 50 == 0))
+    return found.withColumnRenamed("chunk_id", "vec_id")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     path = work_folder(spark, "frames")
@@ -153,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_passages": op9_passages,
     "op10_private_data": op10_private_data,
+    "op12_top_chunks": op12_top_chunks,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -237,6 +247,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
     WHEN rule IS NOT NULL OR d = 1 THEN 'block' ELSE 'allow' END AS verdict
 FROM (SELECT *, {_FITS} AS rule FROM hosted) h
 LEFT JOIN shared s ON h.host <> '' AND s.a = h.host || h.rest""",
+    "op12_top_chunks": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS int)
+    AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5""",
     "op13_fill_middle": r"""
 WITH units AS (SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
