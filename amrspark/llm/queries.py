@@ -15,6 +15,7 @@ from amrspark.llm import (
     neighbours,
     packing,
     passages,
+    phrases,
     private_data,
     quality,
     token_files,
@@ -134,6 +135,13 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("source")
+    )
+    return phrases.mine_phrases(chunks).withColumnRenamed("source", "lang")
+
+
 def op12_top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")
@@ -162,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_passages": op9_passages,
     "op10_private_data": op10_private_data,
+    "op11_phrases": op11_phrases,
     "op12_top_chunks": op12_top_chunks,
     "op13_fill_middle": op13_fill_middle,
 }
@@ -247,6 +256,29 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
     WHEN rule IS NOT NULL OR d = 1 THEN 'block' ELSE 'allow' END AS verdict
 FROM (SELECT *, {_FITS} AS rule FROM hosted) h
 LEFT JOIN shared s ON h.host <> '' AND s.a = h.host || h.rest""",
+    "op11_phrases": r"""
+WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS p FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) t(m)
+    WHERE len(w) >= m)),
+f AS (SELECT lang, m, p, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 10),
+size AS (SELECT lang, cast(sum(len(w)) AS bigint) AS n FROM pieces GROUP BY lang),
+held AS (SELECT lang, p, m, n AS a, string_split(p, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM held)),
+scored AS (SELECT c.lang, c.p, c.a, k, x.n AS l, y.n AS r,
+    cast(1000000::hugeint * a * a // (x.n::hugeint * y.n) AS bigint) AS s FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.p = lp JOIN f y ON y.lang = c.lang AND y.p = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY s, k) = 1),
+within AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p, a
+    FROM held WHERE m = 3),
+gone AS (SELECT DISTINCT lang, p FROM held b JOIN within i USING (lang, p) WHERE 100 * i.a >= 50 * b.a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, p) AS rank, p, a, l, r, s
+    FROM best ANTI JOIN gone USING (lang, p))
+SELECT lang, rank, p AS phrase, a, l, r, size.n AS n, s AS score FROM ranked JOIN size USING (lang)
+WHERE rank <= 2000""",
     "op12_top_chunks": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
