@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from amrspark.llm.store import store
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 16_384, 8_192, 64
-MAX_BALLS, SAMPLE_PER_BALL = 1024, 16
+MAX_BALLS, SAMPLE_PER_BALL, _POWER_STEPS = 1024, 16, 4
 _EXACT, _MOST = float(1 << 53), (1 << 63) - 1
 # Bounds are computed in double precision and widened by this share of the terms they sum.
 _SLACK = 1e-9
@@ -297,12 +297,18 @@ class BallTree:
         return centres, np.array(radii) * (1 + _SLACK)
 
     def _halved(self, order: np.ndarray, a: int, b: int, centre: np.ndarray) -> int:
-        """Order a node's rows along the line of two far ones, and halve them."""
-        own = self.data[order[a:b]]
-        one = own[((own - centre) ** 2).sum(axis=1).argmax()]
-        two = own[((own - one) ** 2).sum(axis=1).argmax()]
+        """Order a node's rows along the direction they vary most in, about, and halve them."""
         middle = (b - a) // 2
-        order[a:b] = order[a:b][np.argpartition(own @ (two - one), middle)] if b - a > 1 else order[a:b]
+        if b - a > 1:
+            own = self.data[order[a:b]] - centre
+            axis = np.random.default_rng(middle).standard_normal(own.shape[1])
+            for _ in range(_POWER_STEPS):
+                longer = own.T @ (own @ axis)
+                length = np.sqrt((longer * longer).sum())
+                if not 0 < length < np.inf:
+                    break
+                axis = longer / length
+            order[a:b] = order[a:b][np.argpartition(own @ axis, middle)]
         return a + middle
 
     def search(self, queries: np.ndarray, k: int, codes, kth: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
