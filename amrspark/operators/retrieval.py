@@ -1,37 +1,52 @@
-"""BM25 and hashed-vector retrieval with rank fusion, over an inverted index.
+"""BM25 and hashed-vector retrieval with rank fusion.
 
-Every ranking covers the whole corpus, documents without a match included, yet only matching
-(query, document) pairs are ever built, and nothing ranks them all: a bound that follows from k
-leaves few candidates per query, whose ranks are counted.
+Every ranking covers the whole corpus, documents without a match included. Queries are answered in
+blocks of a bounded size: tasks score their documents against a whole block in arrays
+(`operators/packed.py`) and return the best of each query, or counts of the documents between two
+candidates, from which exact ranks follow. No (query, document) pair is shuffled or ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amrspark import fixed
 from amrspark.functions import text
-from amrspark.operators.ranking import numbered
+from amrspark.operators import packed
 from amrspark.session import cut
 
 # Scores are compared at this many digits, so that the order of summation cannot reorder ties.
 DIGITS = 9
+#: Queries, and (query, word) pairs, that a block holds about.
+BLOCK_QUERIES, BLOCK_WORDS = 1024, 1 << 18
+#: One document of so many is scored first, for scores that the best of all reach for certain.
+FIRST_IN = 16
 
 
 @dataclass
 class Index:
-    """Postings of a corpus, with the three numbers BM25 needs."""
+    """A packed corpus, with the three numbers BM25 needs."""
 
-    postings: DataFrame  # doc_id, token, tf, dl
-    docs: DataFrame  # doc_id, pos: position in id order
+    packed: DataFrame  # doc_id, dl, tokens, tf and, for vectors, buckets: one row per document
+    frequencies: DataFrame  # token, df
     n: int
     avgdl: float
     average_idf: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, token, tf, dl"""
+        rows = self.packed.select("doc_id", "dl", F.inline(F.arrays_zip("tokens", "tf")))
+        return rows.select("doc_id", F.col("tokens").alias("token"), "tf", "dl")
+
 
 def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     rows = docs.select(key, text.tokens(body).alias("_t"))
@@ -39,17 +54,45 @@ def term_counts(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Dat
     return rows.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_index(docs: DataFrame) -> Index:
-    """Index `docs` (doc_id unique, text). The postings are written once and reused by every leg."""
-    corpus = docs.select("doc_id", "text")
-    postings = cut(term_counts(corpus))
-    ordered = numbered(corpus.select("doc_id"), [], ["doc_id"], "pos")
-    ordered = cut(ordered.select("doc_id", (F.col("pos") - 1).alias("pos")))
-    n = ordered.count()
-    per_token = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    total = per_token.agg(F.sum("tf").alias("length"), F.avg(_raw_idf(n)).alias("idf")).first()
-    avgdl = (total["length"] or 0) / n if n else 0.0
-    return Index(postings, ordered, n, avgdl, total["idf"] or 0.0)
+def build_index(docs: DataFrame, *, vectors: bool = True) -> Index:
+    """Index `docs` (doc_id unique, text), with word buckets for `vectors`.
+
+    The documents are packed where they are and written once; only the words with their document
+    counts are shuffled. A null text has no words.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    none = F.array().cast("array<string>")
+    words = docs.select("doc_id", F.coalesce(text.tokens("text"), none).alias("words"))
+    rows = words.mapInArrow(_packed, f"doc_id {kind}, dl long, tokens array<string>, tf array<long>")
+    if vectors:
+        rows = rows.withColumn("buckets", F.transform("tokens", lambda t: text.bucket(t)))
+    rows = cut(rows)
+    frequencies = cut(document_frequencies(rows.select(F.explode("tokens").alias("token"))))
+    total = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("length")).first()
+    n = total["n"]
+    idf = frequencies.agg(F.avg(_raw_idf(n)).alias("idf")).first()["idf"]
+    return Index(rows, frequencies, n, (total["length"] or 0) / n if n else 0.0, idf or 0.0)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each row to its distinct words and their counts."""
+    for batch in batches:
+        words = batch.column("words")
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        most = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        both, counts = np.unique(row * most + coded.indices.to_numpy(), return_counts=True)
+        ends = np.searchsorted(both // most, np.arange(len(sizes) + 1)).astype(np.int32)
+        tokens = coded.dictionary.take(pa.array(both % most))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array(sizes.astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends), tokens),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int64))),
+            ],
+            ["doc_id", "dl", "tokens", "tf"],
+        )
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -68,13 +111,7 @@ def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     asked = term_counts(queries.select("query_id", "text"), "query_id").select(
         "query_id", "token", F.col("tf").alias("qtf")
     )
-    wanted = asked.select("token").distinct()
-    # Only the words asked for are counted, so the frequency table is query-sized.
-    matching = index.postings.join(wanted, "token", "left_semi")
-    weights = document_frequencies(matching).select(
-        "token", F.when(idf < 0, floor).otherwise(idf).alias("idf")
-    )
-    asked = asked.join(weights, "token")
+    asked = asked.join(index.frequencies, "token").withColumn("idf", F.when(idf < 0, floor).otherwise(idf))
     tf = F.col("tf")
     saturation = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     joined = index.postings.join(asked, "token")
@@ -100,17 +137,6 @@ def hashed_vectors(postings: DataFrame, key: str = "doc_id", dim: int = fixed.EM
     return rows.select(key, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 
 
-def dense_scores(index: Index, queries: DataFrame, dim: int = fixed.EMBED_DIM) -> DataFrame:
-    """Cosine of hashed vectors as an equi-join on the bucket, for pairs that share one."""
-    docs = hashed_vectors(index.postings, "doc_id", dim)
-    asked = hashed_vectors(term_counts(queries.select("query_id", "text"), "query_id"), "query_id", dim)
-    asked = asked.select("query_id", "bucket", F.col("weight").alias("qw"))
-    scored = docs.join(asked, "bucket").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("weight") * F.col("qw")), DIGITS).alias("score")
-    )
-    return scored.where(F.col("score") != 0)
-
-
 def reach(legs: int, k: int, rrf_k: int) -> int:
     """A bound on the best rank of a fused top k, from k and the constants alone.
 
@@ -121,72 +147,142 @@ def reach(legs: int, k: int, rrf_k: int) -> int:
     return legs * (rrf_k + k) - rrf_k
 
 
-def _first_zeros(index: Index, queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
-    """The `limit` smallest positions per query without a score in the leg, for queries with fewer
-    than `limit` positive scores (in all others such a document ranks too low to matter)."""
-    sizes = rows.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("p"))
-    few = queries.select("query_id").distinct().join(sizes, "query_id", "left").fillna(0, ["m", "p"])
-    few = few.where(F.col("p") < limit)
-    last = F.least(F.lit(index.n), F.col("m") + limit) - 1
-    spots = few.where(F.lit(index.n > 0)).select(
-        "query_id", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("pos")
-    )
-    free = spots.join(rows.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
-    return free.withColumn("_at", at).where(F.col("_at") <= limit).select("query_id", "pos")
-
-
-def _ranks(index: Index, candidates: DataFrame, rows: DataFrame, out: str) -> DataFrame:
-    """Rank of each candidate over the whole corpus in one leg: score descending, then position.
+def _blocks(index: Index, queries: DataFrame) -> Iterator[packed.Block]:
+    """The queries (query_id, text) in blocks, dealt by a hash. Null ids are left out.
 
-    Counted, not sorted: every scored row of the query is compared with its few candidates, and
-    only the counts are shuffled. Documents without a score have score zero: ahead of one are the
-    positive rows and the unscored ones of smaller position, ahead of a negative row all unscored.
+    A block is all that the driver and a task hold of the queries at a time.
     """
-    own = candidates.join(rows.select("query_id", "pos", "score"), ["query_id", "pos"], "left")
-    own = own.select("query_id", "pos", F.coalesce("score", F.lit(0.0)).alias("s"))
-    others = rows.select("query_id", F.col("pos").alias("_p"), F.col("score").alias("_s"))
-    better = (F.col("_s") > F.col("s")) | ((F.col("_s") == F.col("s")) & (F.col("_p") < F.col("pos")))
-    counted = own.join(others, "query_id", "left").groupBy("query_id", "pos", "s").agg(
-        F.count_if(better).alias("_better"),
-        F.count_if(F.col("_p") < F.col("pos")).alias("_less"),
-        F.count("_p").alias("_m"),
+    given = queries.select("query_id", "text").where(F.col("query_id").isNotNull())
+    idf = _raw_idf(index.n)
+    floor = F.lit(fixed.BM25_EPSILON * index.average_idf)
+    asked = term_counts(given, "query_id").join(index.frequencies, "token", "left")
+    weight = F.col("tf") * F.when(idf < 0, floor).otherwise(idf)
+    ids = cut(given.select("query_id").distinct())
+    asked = cut(asked.select("query_id", "token", "tf", weight.alias("weight"), text.bucket("token").alias("bucket")))
+    count = max(-(-ids.count() // BLOCK_QUERIES), -(-asked.count() // BLOCK_WORDS))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(max(1, count)))
+    for i in range(count):
+        own = ids.where(place == i).toArrow().sort_by("query_id")["query_id"].combine_chunks()
+        if len(own):
+            yield _block(index, own, asked.where(place == i).toArrow())
+
+
+def _block(index: Index, ids: pa.Array, asked: pa.Table) -> packed.Block:
+    query = pc.index_in(asked["query_id"], value_set=ids).to_numpy()
+    tf = asked["tf"].to_numpy().astype(float)
+    vectors = np.zeros((len(ids), fixed.EMBED_DIM))
+    np.add.at(vectors, (query, asked["bucket"].to_numpy()), tf)
+    norm = np.sqrt((vectors * vectors).sum(axis=1))
+    vectors /= np.where(norm > 0, norm, 1.0)[:, None]
+    known = np.flatnonzero(asked["weight"].is_valid().to_numpy())
+    coded = asked["token"].take(pa.array(known)).combine_chunks().dictionary_encode()
+    word = coded.indices.to_numpy()
+    order = np.argsort(word, kind="stable")
+    weight = asked["weight"].take(pa.array(known)).to_numpy()
+    return packed.Block(
+        ids, coded.dictionary, word[order], query[known][order], weight[order], vectors,
+        fixed.BM25_K1, fixed.BM25_B, index.avgdl, 10.0**DIGITS,
     )
-    missing = (
-        F.when(F.col("s") > 0, 0)
-        .when(F.col("s") == 0, F.col("pos") - F.col("_less"))
-        .otherwise(F.lit(index.n) - F.col("_m"))
+
+
+def _found(index: Index, docs: DataFrame, block: packed.Block, legs, limit: int, least=None) -> DataFrame:
+    """(query_id, leg, doc_id, s0, ...): the best `limit` of each task, and rows of leg -1 that count pairs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scores = ", ".join(f"s{i} long" for i in range(len(legs)))
+    return docs.mapInArrow(
+        packed.best(block, legs, limit, least), f"query_id {_kind(block.ids)}, leg int, doc_id {kind}, {scores}"
     )
-    return counted.select("query_id", "pos", (F.col("_better") + missing + 1).alias(out))
 
 
-def fuse(
-    index: Index, queries: DataFrame, legs: list[DataFrame], k: int = 5, rrf_k: int = fixed.RRF_K
-) -> DataFrame:
-    """Top k per query by the sum of 1 / (rrf_k + rank) over the legs, ties by id.
+def _kind(ids: pa.Array) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(ids.type).simpleString()
+
+
+def _best(found: DataFrame, legs, limit: int) -> DataFrame:
+    """The rows of the best `limit` of each leg, with `_at`, their place in it."""
+    own = F.element_at(F.array(*[f"s{i}" for i in range(len(legs))]), F.col("leg") + 1)
+    order = Window.partitionBy("leg", "query_id").orderBy(own.desc(), "doc_id")
+    rows = found.where("leg >= 0").withColumn("_at", F.row_number().over(order))
+    return rows.where(F.col("_at") <= limit)
+
+
+def _top(index: Index, block: packed.Block, legs, limit: int) -> DataFrame:
+    least = None
+    if legs == ("bm25",):
+        # What some documents reach, the best of all reach too.
+        some = index.packed.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_IN)) == 0)
+        last = _best(_found(index, some, block, legs, limit), legs, limit).where(F.col("_at") == limit)
+        reached = last.select("query_id", "s0").toArrow()
+        least = np.full(len(block.ids), np.iinfo(np.int64).min)
+        least[pc.index_in(reached["query_id"], value_set=block.ids).to_numpy()] = reached["s0"].to_numpy()
+    return _found(index, index.packed, block, legs, limit, least)
 
-    Only documents within `reach` of some leg are candidates. They are taken before the shuffle
-    (Spark pushes a rank filter down up to spark.sql.optimizer.windowGroupLimitThreshold, 1000
-    unless set; reach is 70 for two legs and k = 5), and only their exact ranks are computed.
+
+def _ranks(index: Index, block: packed.Block, legs, rows: DataFrame) -> DataFrame:
+    """Exact ranks over the whole corpus of the candidates `rows` (query_id, doc_id, s0, ...).
+
+    The candidates of a block, at most `reach` a query and leg, go to the tasks in the order of
+    each leg. A task places its documents between them and counts; the sum of the counts up to a
+    candidate is the number of documents ahead of it.
     """
-    limit = reach(len(legs), k, rrf_k)
-    placed = [
-        cut(leg.join(index.docs, "doc_id").select("query_id", "pos", "score")) for leg in legs
-    ]
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")
-    found = []
-    for rows in placed:
-        near = rows.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= limit)
-        found += [near.select("query_id", "pos"), _first_zeros(index, queries, rows, limit)]
-    candidates = cut(reduce(DataFrame.unionByName, found).distinct())
-    names = [f"r{i}" for i in range(len(legs))]
-    ranks = reduce(
-        lambda one, two: one.join(two, ["query_id", "pos"]),
-        [_ranks(index, candidates, rows, name) for rows, name in zip(placed, names, strict=True)],
+    table = rows.toArrow()
+    table = table.append_column("q", pc.index_in(table["query_id"], value_set=block.ids))
+    ordered = []
+    for i in range(len(legs)):
+        own = table.sort_by([("q", "ascending"), (f"s{i}", "descending"), ("doc_id", "ascending")])
+        first = np.searchsorted(own["q"].to_numpy(), np.arange(len(block.ids) + 1))
+        ordered.append(packed.Candidates(first, own[f"s{i}"].to_numpy(), own["doc_id"].combine_chunks()))
+    counted = index.packed.mapInArrow(
+        packed.ahead(block, legs, ordered), f"query_id {_kind(block.ids)}, leg int, j int, n long"
     )
-    score = reduce(lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(c)) for c in names])
-    named = ranks.join(index.docs, "pos")
-    return top_k(named.select("query_id", "doc_id", F.round(score, 12).alias("score")), k)
+    counted = counted.groupBy("query_id", "leg", "j").agg(F.sum("n").alias("n"))
+    for i in range(len(legs)):
+        order = Window.partitionBy("query_id").orderBy(F.col(f"s{i}").desc(), "doc_id")
+        own = counted.where(F.col("leg") == i).select("query_id", "j", "n")
+        rows = rows.withColumn("j", F.row_number().over(order) - 1).join(own, ["query_id", "j"], "left")
+        before = F.sum(F.coalesce("n", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn(f"r{i}", before + 1).drop("j", "n")
+    return rows
+
+
+def retrieve(
+    index: Index, queries: DataFrame, k: int = 5, *, lexical: bool = True, dense: bool = True, rrf_k: int = fixed.RRF_K
+) -> DataFrame:
+    """Top k documents per query (query_id, text) by the sum of 1 / (rrf_k + rank) over the legs.
+
+    Returns query_id, doc_id, score (at 12 digits), rank; ties by id. Jobs run when this is called,
+    block by block. One leg: its best k are the result, and BM25 leaves out pairs that cannot be
+    among them. Two legs: only documents within `reach` of some leg are candidates, and only their
+    exact ranks are counted, in a second pass.
+    """
+    legs = tuple(leg for leg, wanted in zip(packed.LEGS, (lexical, dense), strict=True) if wanted)
+    limit = k if len(legs) == 1 else reach(len(legs), k, rrf_k)
+    out = []
+    for block in _blocks(index, queries):
+        near = _best(_top(index, block, legs, limit), legs, limit)
+        if len(legs) == 1:
+            ranks = near.withColumn("r0", F.col("_at"))
+        else:
+            scores = [f"s{i}" for i in range(len(legs))]
+            ranks = _ranks(index, block, legs, cut(near.select("query_id", "doc_id", *scores).distinct()))
+        score = reduce(lambda a, b: a + b, [1.0 / (F.lit(float(rrf_k)) + F.col(f"r{i}")) for i in range(len(legs))])
+        out.append(cut(top_k(ranks.select("query_id", "doc_id", F.round(score, 12).alias("score")), k)))
+    if not out:
+        ids = f"{queries.schema['query_id'].dataType.simpleString()}", index.packed.schema["doc_id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame([], f"query_id {ids[0]}, doc_id {ids[1]}, score double, rank int")
+    return reduce(DataFrame.unionAll, out)
+
+
+def scored_pairs(index: Index, queries: DataFrame, k: int = 5) -> tuple[int, int]:
+    """All (query, document) pairs, and those that BM25 scores in full for the top k of each query."""
+    pairs = scored = 0
+    for block in _blocks(index, queries):
+        found = _top(index, block, ("bm25",), k)
+        pairs += index.n * len(block.ids)
+        scored += found.where("leg < 0").agg(F.sum("s0")).first()[0] or 0
+    return pairs, scored
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -195,13 +291,6 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def retrieve(index: Index, queries: DataFrame, k: int = 5, *, dense: bool = True) -> DataFrame:
-    legs = [bm25_scores(index, queries)]
-    if dense:
-        legs.append(dense_scores(index, queries))
-    return fuse(index, queries, legs, k)
-
-
 def evidence_for_genes(rows: DataFrame, chunks: DataFrame, k: int = 5, *, dense: bool = False) -> DataFrame:
     """Cited chunks per report row (genome_id, antibiotic, supporting_features).
 
@@ -217,7 +306,7 @@ def evidence_for_genes(rows: DataFrame, chunks: DataFrame, k: int = 5, *, dense:
     corpus = chunks.select(
         F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "gene_family", "text").alias("text")
     )
-    found = retrieve(build_index(corpus), queries, k, dense=dense)
+    found = retrieve(build_index(corpus, vectors=dense), queries, k, dense=dense)
     hits = asked.select("genome_id", "antibiotic", "query_id").join(found, "query_id")
     return hits.select(
         "genome_id", "antibiotic", F.col("doc_id").alias("chunk_id"), "score", "rank"

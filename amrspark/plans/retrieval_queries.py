@@ -36,19 +36,18 @@ def hashed_vectors(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    return R.bm25_scores(R.build_index(_docs(spark, sf_dir)), _asked(spark, sf_dir)).withColumn(
-        "score", F.round("score", 6)
-    )
+    index = R.build_index(_docs(spark, sf_dir), vectors=False)
+    return R.bm25_scores(index, _asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def bm25_topk(spark, sf_dir):
-    return _final(R.retrieve(R.build_index(_docs(spark, sf_dir)), _asked(spark, sf_dir), dense=False))
+    index = R.build_index(_docs(spark, sf_dir), vectors=False)
+    return _final(R.retrieve(index, _asked(spark, sf_dir), dense=False))
 
 
 def dense_topk(spark, sf_dir):
     index = R.build_index(_docs(spark, sf_dir))
-    queries = _asked(spark, sf_dir)
-    return _final(R.fuse(index, queries, [R.dense_scores(index, queries)]))
+    return _final(R.retrieve(index, _asked(spark, sf_dir), lexical=False))
 
 
 def rrf_topk(spark, sf_dir):

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from amrspark.operators import packed
 from amrspark.operators import retrieval as R
 
 WORDS = "alpha beta gamma carbapenemase porin the of gene drug mutation 16s".split()
@@ -58,9 +60,13 @@ def brute_fuse(docs, legs, k):
     return sorted(fused.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("seed, dense", [(1, False), (2, True), (1, True)])
-def test_fusion_equals_full_ranking(spark, seed, dense):
-    """Unmatched documents are ranked without ever being paired with a query."""
+@pytest.mark.parametrize(
+    "seed, lexical, dense, block",
+    [(1, True, False, 1024), (2, True, True, 1024), (1, True, True, 1), (3, False, True, 2), (4, True, False, 2)],
+)
+def test_fusion_equals_full_ranking(spark, monkeypatch, seed, lexical, dense, block):
+    """Any legs, any number of blocks, slices of few documents, many equal scores."""
+    monkeypatch.setattr(R, "BLOCK_QUERIES", block)
     rng = random.Random(seed)
     docs = [(f"d{i:02d}", " ".join(rng.choices(WORDS, k=rng.randint(0, 6)))) for i in range(40)]
     asked = [("q1", "alpha carbapenemase"), ("q2", "the the of"), ("q3", "nothing known"), ("q4", "")]
@@ -68,15 +74,58 @@ def test_fusion_equals_full_ranking(spark, seed, dense):
     queries = spark.createDataFrame(asked, "query_id string, text string")
     index = R.build_index(corpus)
     found = {}
-    for r in R.retrieve(index, queries, 7, dense=dense).orderBy("query_id", "rank").collect():
+    for r in R.retrieve(index, queries, 7, lexical=lexical, dense=dense).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     for q, t in asked:
-        legs = [brute_bm25(docs, t)] + ([brute_dense(docs, t)] if dense else [])
+        legs = [brute_bm25(docs, t)] * lexical + [brute_dense(docs, t)] * dense
         want = brute_fuse(docs, legs, 7)
         assert [d for d, _ in found[q]] == [d for d, _ in want]
         assert [s for _, s in found[q]] == pytest.approx([s for _, s in want], abs=1e-11)
 
 
+def test_pairs_left_out(spark):
+    """With bounds most pairs are never scored in full, and the best stay the same."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(400)])
+    weights = 1 / np.arange(1, 401)
+    text = [" ".join(rng.choice(words, rng.integers(20, 60), p=weights / weights.sum())) for _ in range(3000)]
+    docs = [(i, t) for i, t in enumerate(text)]
+    asked = [(i, text[i * 60] + " w0 w1 w2 w3") for i in range(40)]
+    index = R.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), vectors=False)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    pairs, scored = R.scored_pairs(index, queries)
+    assert pairs == 120_000 and scored < pairs / 5
+    got = {}
+    for r in R.retrieve(index, queries, dense=False).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    for q, t in asked[::8]:
+        assert got[q] == [d for d, _ in brute_fuse(docs, [brute_bm25(docs, t)], 5)]
+
+
+def test_light_words_of_few_pairs():
+    """Both ways of adding the light words give the same scores where the bound is reached."""
+    rng = np.random.default_rng(9)
+    n, q, t = 50, 6, 12
+    tokens = [sorted(rng.choice(t, rng.integers(1, t), replace=False)) for _ in range(n)]
+    table = pa.table(
+        {
+            "doc_id": list(range(n)), "dl": [3 * len(x) for x in tokens],
+            "tokens": [[f"w{i}" for i in x] for x in tokens],
+            "tf": [rng.integers(1, 5, len(x)).tolist() for x in tokens],
+        }
+    )
+    word, query = (x.ravel() for x in np.meshgrid(np.arange(t), np.arange(q), indexing="ij"))
+    weight = rng.exponential(size=t)[word] ** 3 * np.where(word == 4, -0.1, 1.0)
+    block = packed.Block(pa.array(range(q)), pa.array([f"w{i}" for i in range(t)]), word, query, weight, np.zeros((q, 1)), 1.5, 0.75, 20.0, 1e9)
+    docs = packed.Documents(table, block)
+    full, _ = packed.bm25(docs, block)
+    for part in (0.0, 0.5, 0.98):
+        least = np.quantile(full, part, axis=0).astype(np.int64)
+        some, scored = packed.bm25(docs, block, least)
+        assert ((full < least) | (abs(some - full) <= 1)).all()
+        assert scored >= (full >= least).sum() and (part < 0.9 or scored < full.size / 4)
+
+
 def test_rrf_bounds(spark):
     docs = [("alpha", "alpha carbapenemase enzyme"), ("beta", "beta porin loss"), ("gamma", "gamma pump")]
     corpus = spark.createDataFrame(docs, "doc_id string, text string")
