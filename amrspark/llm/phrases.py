@@ -16,7 +16,7 @@ from amrspark.llm.store import store
 from amrspark.llm.words import mix
 from amrspark.operators.ranking import numbered
 
-SAMPLE_IN, MAX_BITS = 8, 1 << 27
+SAMPLE_IN, MAX_BITS, _PART_BYTES = 4, 1 << 27, 16 << 20
 _SLICE_BYTES, _WORDS, _HELD, _PHRASES = 2 << 20, 400_000, 1 << 20, 400_000
 _BREAK = b"\xff"  # in no UTF-8 text: stands between pieces
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -64,25 +64,31 @@ def mine_phrases(
        and a further pass counts the phrases that this adds to the border, until none fails.
     4. A last pass counts the frequent ones again by their words.
 
-    Steps 1 to 3 count 64-bit hashes, which can only raise a count; step 4 settles it. What is
-    proposed is handed to the tasks as a bit table of a fixed size at most (16 MB a length): where
-    two share a bit, more is counted than needed, never less. Tasks add up what they count in
-    tables of bounded size before the shuffle.
+    Steps 1 to 3 count hashes, which can only raise a count; step 4 settles it. What is proposed is
+    handed to the tasks as a bit table of a fixed size at most (16 MB a length): where two share a
+    bit, more is counted than needed, never less. Tasks add up what they count in tables of bounded
+    size before the shuffle.
     """
     rows = chunks.select(
         "text", F.coalesce(F.col(group).cast("string"), F.lit(unknown)).alias("g"),
         F.pmod(F.xxhash64("chunk_id", "text"), F.lit(sample_in)).alias("part"),
     ).where(F.length("text") > 0).select("g", "text", "part")
-    lowered = max(1, int(0.8 * min_count / sample_in))
-    sample = rows.where("part = 0").select("g", "text")
+    sample = store(rows.where("part = 0").select("g", "text"), "sample")
     rows = rows.select("g", "text")
-    proposed = store(_summed(sample, _all_below(max_words), lowered), "proposed")
-    most = proposed.groupBy("level").count().agg(F.max("count")).first()[0] or 0
-    bits = min(MAX_BITS, max(1 << 16, 1 << (32 * most - 1).bit_length() if most else 0))
-    known = bit_tables(proposed, bits, range(1, max_words))
+    size = (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * sample_in
+    parts = 1 << max(4, (size // _PART_BYTES).bit_length())
+    lowered = max(1, int(0.8 * min_count / sample_in))
+    bits, known, proposed = 1 << 16, {}, None
+    for m in range(1, max_words):
+        # Words, then phrases of sampled words, and so on.
+        own = store(_summed(sample, (m, m, known, None), lowered, parts), "proposed")
+        proposed = own if proposed is None else proposed.unionAll(own)
+        bits = min(MAX_BITS, max(bits, 1 << (32 * own.count()).bit_length()))
+        known = bit_tables(proposed, bits, range(1, m + 1))
     before, counted = None, []
     while True:
-        frequent = store(_summed(rows, (max_words, known, before), min_count), "frequent")
+        first = 2 if before else 1
+        frequent = store(_summed(rows, (first, max_words, known, before), min_count, parts), "frequent")
         counted.append(frequent)
         border = frequent.where(F.col("level") < max_words)
         failed = bit_tables(border.mapInArrow(_unknown(known), frequent.schema), bits, range(1, max_words))
@@ -156,15 +162,29 @@ def _scored(counts: DataFrame, max_words: int, percent: int, top: int) -> DataFr
     return best.select("g", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _summed(rows: DataFrame, rule, least: int) -> DataFrame:
-    """(level, h, n): how often each phrase that the rule counts occurs, if `least` times."""
-    counts = rows.mapInArrow(_hashes(rule), "level int, h long, n long")
-    return counts.groupBy("level", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _summed(rows: DataFrame, rule, least: int, parts: int) -> DataFrame:
+    """(level, h): the phrases, by hash, that the rule counts and that occur `least` times.
+
+    A task adds up what it counts and sends it packed, a row per range of hashes; each range is
+    merged by one task. Their number follows the size of the texts, so a range stays small. Inside
+    one, hashes are told by 32 bits, and counts stop at the largest number of their type.
+    """
+    kind = "<u1" if least < 256 else "<u4"
+    width = 8 * np.dtype(kind).itemsize
+    packed = rows.mapInArrow(_hashes(rule, parts, kind), "level int, part int, low binary, n binary")
 
+    def merge(table: pa.Table) -> pa.Table:
+        level, part = (table[c][0].as_py() for c in ("level", "part"))
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4").astype(np.uint64)
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), kind)
+        both = np.sort(low << np.uint64(width) | n)
+        low, n = both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        kept = low[first][np.add.reduceat(n, first) >= least]
+        h = (np.uint64(part << 32) | kept).view(np.int64)
+        return pa.table({"level": pa.array(np.full(len(h), level, np.int32)), "h": pa.array(h)})
 
-def _all_below(max_words: int):
-    """In the sample everything shorter than the longest phrases is counted."""
-    return max_words - 1, None, None
+    return packed.groupBy("level", "part").applyInArrow(merge, "level int, h long")
 
 
 def bit_tables(found: DataFrame, bits: int, levels) -> dict[int, np.ndarray]:
@@ -184,6 +204,14 @@ def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _within(places: np.ndarray, table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places whose hashes the table has."""
+    at = np.flatnonzero(places)
+    out = np.zeros(len(places), bool)
+    out[at] = _has(table, h[at])
+    return out
+
+
 def _unknown(known: dict[int, np.ndarray]):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,49 +296,58 @@ class _Sums:
         return out
 
 
-def _hashes(rule):
+def _hashes(rule, parts: int, kind: str):
     """Tasks that count the phrases of a rule.
 
-    A rule is (longest, known, before). Without `known` all words and phrases up to the longest
-    count. With it, a phrase counts if both its parts are known; words count in the first pass.
-    Phrases whose parts both were known `before` were counted then.
+    A rule is (shortest, longest, known, before), the words of a phrase that counts, at least and at
+    most. Phrases count if both their parts are known, single words always. Those whose parts both
+    were known `before` were counted then.
     """
-    longest, known, before = rule
+    shortest, longest, known, before = rule
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {m: _Sums() for m in range(1, longest + 1)}
+        sums = {m: _Sums() for m in range(shortest, longest + 1)}
         for _, _, numbers, hashes in _slices(batches):
             word = numbers > 0
-            if before is None:
+            if shortest == 1:
                 sums[1].add(hashes[word])
-            grams = hashes
-            inside = word & _has(known[1], hashes) if known else word
-            old = word & _has(before[1], hashes) if before else np.zeros(len(word), bool)
+            grams, inside, old = hashes, word, word
             for m in range(2, longest + 1):
+                # Phrases one word shorter, by the place of their first word.
+                inside = _within(inside, known[m - 1], grams)
+                old = _within(old, before[m - 1], grams) if before else np.zeros(len(word), bool)
                 at = np.flatnonzero(inside[:-1] & inside[1:])
                 long = _joined(grams[at], hashes[at + m - 1])
                 done = old[at] & old[at + 1]
-                sums[m].add(long[~done])
-                if m < longest:
-                    inside, old = np.zeros(len(word), bool), np.zeros(len(word), bool)
-                    inside[at] = _has(known[m], long) if known else True
-                    if before:
-                        old[at] = done & _has(before[m], long)
-                    grams = np.zeros(len(word), np.uint64)
-                    grams[at] = long
+                if m >= shortest:
+                    sums[m].add(long[~done])
+                inside, old = np.zeros(len(word), bool), np.zeros(len(word), bool)
+                inside[at], old[at] = True, done
+                grams = np.zeros(len(word), np.uint64)
+                grams[at] = long
             for m, held in sums.items():
                 if held.size > _HELD:
-                    yield _counted(m, *held.drained())
+                    yield _packed(m, *held.drained(), parts, kind)
         for m, held in sums.items():
-            yield _counted(m, *held.drained())
+            yield _packed(m, *held.drained(), parts, kind)
 
     return count
 
 
-def _counted(level: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _packed(level: int, hashes: np.ndarray, counts: np.ndarray, parts: int, kind: str) -> pa.RecordBatch:
+    """Ascending hashes and their counts, cut by the leading bits of the hashes."""
+    part = hashes >> np.uint64(64 - (parts.bit_length() - 1))
+    first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
+    low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+    n = np.minimum(counts, np.iinfo(kind).max).astype(kind)
+    spans = list(zip(first, np.append(first[1:], len(part)), strict=False))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(hashes), level, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))],
-        ["level", "h", "n"],
+        [
+            pa.array(np.full(len(spans), level, np.int32)), pa.array(part[first].astype(np.int32)),
+            pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+        ],
+        ["level", "part", "low", "n"],
     )
 
 
