@@ -1,10 +1,10 @@
 """A capped genome subset that fills per-drug quotas and spreads over homology groups.
 
-Filling quotas one genome at a time is a sequence of choices, so the candidates are first cut to a
-set that provably holds every genome the sequence can pick. Genomes with the same quota cells
-and group are interchangeable in id order: at most `group_cap` of each (cells, group) can be taken,
-and per cells at most twice the cap matter. What is left is bounded by the number of distinct
-cell sets, not by the data.
+The rule takes one genome at a time: the one that closes most open quota cells, lowest id first.
+Between two moments at which a cell fills up nothing changes but the groups' room, so whole runs of
+choices are made at once, each by a few ordered windows over a table of the candidates. The number
+of runs follows from the drugs, not from the cap or the data; only counts per cell reach the driver.
+Candidates are first cut to a set that provably holds every genome the rule can take.
 """
 
 from __future__ import annotations
@@ -53,38 +53,52 @@ def pruned(rows: DataFrame, cap: int, group_cap: int) -> DataFrame:
     return kept.select("genome_id", "cells", "grp")
 
 
-def _fill_quotas(rows: list, cap: int, target: int, group_cap: int) -> list[str]:
-    """Take the genome closing most open cells, lowest id first, until none closes any.
+_TAKEN = "genome_id string, cells array<string>, grp string"
 
-    Candidates with equal cells score alike, so each round looks at the first still allowed genome
-    of each cell set.
+
+def fill_quotas(pool: DataFrame, cap: int, target: int, group_cap: int) -> DataFrame:
+    """The genomes of `pool` (genome_id, cells, grp) that the quota rule takes.
+
+    Each round takes a run: the allowed genomes of the best score, in id order, up to the first one
+    that fills a cell, or to the cap. A group gives no more than its room, lowest ids first. The
+    ordered part of a round has at most `cap` rows.
     """
-    queues: dict[tuple, list] = {}
-    for r in sorted(rows, key=lambda r: r["genome_id"]):
-        queues.setdefault(tuple(r["cells"]), []).append(r)
-    open_cells: dict[str, int] = {}
-    used: dict[str, int] = {}
-    taken: list[str] = []
-    while len(taken) < cap:
-        best = None
-        for cells, queue in queues.items():
-            score = sum(open_cells.get(c, 0) < target for c in cells)
-            while queue and used.get(queue[0]["grp"], 0) >= group_cap:
-                queue.pop(0)
-            if score and queue:
-                key = (-score, queue[0]["genome_id"])
-                if best is None or key < best[0]:
-                    best = (key, cells)
-        if best is None:
+    cells = [r["cell"] for r in pool.select(F.explode("cells").alias("cell")).distinct().collect()]
+    counts = dict.fromkeys(sorted(cells), 0)
+    taken = pool.sparkSession.createDataFrame([], _TAKEN)
+    size = 0
+    while size < cap:
+        missing = [c for c, n in counts.items() if n < target]
+        if not missing:
+            break
+        run = cut(_run(pool, taken, cap - size, {c: target - counts[c] for c in missing}, group_cap))
+        sums = [F.count_if(F.array_contains("cells", c)).alias(f"c{i}") for i, c in enumerate(counts)]
+        found = run.agg(F.count("*").alias("n"), *sums).first()
+        if not found["n"]:
             break
-        row = queues[best[1]].pop(0)
-        taken.append(row["genome_id"])
-        used[row["grp"]] = used.get(row["grp"], 0) + 1
-        for c in row["cells"]:
-            open_cells[c] = open_cells.get(c, 0) + 1
+        taken = taken.unionByName(run)
+        size += found["n"]
+        counts = {c: n + found[f"c{i}"] for i, (c, n) in enumerate(counts.items())}
     return taken
 
 
+def _run(pool: DataFrame, taken: DataFrame, most: int, room: dict[str, int], group_cap: int) -> DataFrame:
+    """The next run: `room` has, per open cell, how many more it takes."""
+    used = taken.groupBy("grp").agg(F.count("*").alias("_used"))
+    score = F.size(F.array_intersect("cells", F.array(*[F.lit(c) for c in room])))
+    rows = pool.join(taken.select("genome_id"), "genome_id", "left_anti").withColumn("_score", score)
+    rows = rows.where(F.col("_score") > 0).join(used, "grp", "left")
+    inside = F.row_number().over(Window.partitionBy("grp", "_score").orderBy("genome_id"))
+    rows = rows.withColumn("_i", inside).where(F.col("_i") <= group_cap - F.coalesce("_used", F.lit(0)))
+    ahead = rows.orderBy(F.col("_score").desc(), "genome_id").limit(most)
+    # From here on at most `most` rows, those of the best score first.
+    best = F.max("_score").over(Window.partitionBy(F.lit(0)))
+    before = Window.partitionBy("_score").orderBy("genome_id").rowsBetween(Window.unboundedPreceding, -1)
+    full = [F.coalesce(F.count_if(F.array_contains("cells", c)).over(before), F.lit(0)) >= n for c, n in room.items()]
+    flags = ahead.withColumn("_best", best).withColumn("_full", F.exists(F.array(*full), lambda x: x))
+    return flags.where((F.col("_score") == F.col("_best")) & ~F.col("_full")).select("genome_id", "cells", "grp")
+
+
 def capped_subset(
     binary: DataFrame,
     groups: DataFrame,
@@ -100,11 +114,8 @@ def capped_subset(
     spark = binary.sparkSession
     group_cap = max(1, int(max_group_fraction * cap))
     rows = cut(candidates(binary, groups, drugs))
-    # Bounded: distinct cell sets (at most 3 ** drugs) times twice the cap.
-    reachable = pruned(rows, cap, group_cap).collect()
-    first = _fill_quotas(reachable, cap, per_drug_target, group_cap)
-    chosen = spark.createDataFrame([(g,) for g in first], "genome_id string")
-    picked = rows.join(chosen, "genome_id", "left_semi")
+    picked = cut(fill_quotas(cut(pruned(rows, cap, group_cap)), cap, per_drug_target, group_cap))
+    chosen = picked.select("genome_id")
     taken = picked.groupBy("grp").agg(F.count("*").alias("_taken"))
     rest = rows.join(chosen, "genome_id", "left_anti").join(taken, "grp", "left")
     rest = rest.fillna(0, ["_taken"])
@@ -112,7 +123,7 @@ def capped_subset(
     # The fixed bound comes first: Spark then cuts large groups before their shuffle.
     room = rest.withColumn("_i", rank).where(F.col("_i") <= group_cap)
     room = room.where(F.col("_i") <= group_cap - F.col("_taken"))
-    extra = room.orderBy("_taken", "genome_id").limit(cap - len(first))
+    extra = room.orderBy("_taken", "genome_id").limit(cap - picked.count())
     genomes = picked.unionByName(extra.select("genome_id", "cells", "grp"))
     cells = genomes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     seen = rows.select(F.explode("cells").alias("cell")).distinct()

@@ -83,7 +83,36 @@ QUERIES = {
     for f in (model_scores, model_metrics, capped_subset, subset_candidates, split_reproduction)
 }
 
+# One genome a step: the one closing most cells below 8, then the lowest id, no group beyond 9 of 60.
+_GREEDY = f"""WITH RECURSIVE {CANON_SQL}, {GROUPS_SQL},
+  b AS (SELECT genome_id, list_sort(list(antibiotic || '|' || substr(sir, 1, 1))) AS cells FROM labels0
+    WHERE sir IN ('Resistant', 'Susceptible') AND list_contains({list(fixed.PANEL)!r}, antibiotic)
+    GROUP BY genome_id),
+  cand AS MATERIALIZED (SELECT genome_id, cells, coalesce(grp, 'singleton:' || genome_id) AS grp
+    FROM b LEFT JOIN grouped USING (genome_id)),
+  pick(n, ids, grps, full_cells) AS (
+    SELECT 0, []::varchar[], []::varchar[], []::varchar[]
+    UNION ALL
+    SELECT n + 1, list_append(ids, b.genome_id), list_append(grps, b.grp), list_concat(full_cells, b.cells)
+    FROM (SELECT any_value(n) AS n, any_value(ids) AS ids, any_value(grps) AS grps,
+        any_value(full_cells) AS full_cells, arg_min({{genome_id: genome_id, grp: grp, cells: cells}},
+          {{s: -score, genome_id: genome_id}}) AS b FROM (
+      SELECT p.n, p.ids, p.grps, p.full_cells, c.genome_id, c.grp, c.cells,
+        len(list_filter(c.cells, lambda x: len(list_filter(p.full_cells, lambda y: y = x)) < 8)) AS score
+      FROM pick p, cand c WHERE p.n < 60 AND NOT list_contains(p.ids, c.genome_id)
+        AND len(list_filter(p.grps, lambda g: g = c.grp)) < 9) s
+    WHERE score > 0 HAVING count(*) > 0) t),
+  last AS (SELECT * FROM pick ORDER BY n DESC LIMIT 1),
+  rest AS (SELECT c.*, n, len(list_filter(grps, lambda g: g = c.grp)) AS used,
+      row_number() OVER (PARTITION BY c.grp ORDER BY c.genome_id) AS i
+    FROM cand c, last WHERE NOT list_contains(ids, c.genome_id)),
+  more AS (SELECT genome_id, n, row_number() OVER (ORDER BY used, genome_id) AS k FROM rest
+    WHERE i <= 9 - used)
+  SELECT genome_id, array_to_string(cells, ',') AS cells, grp FROM cand
+  WHERE genome_id IN (SELECT unnest(ids) FROM last) OR genome_id IN (SELECT genome_id FROM more WHERE k <= 60 - n)"""
+
 SQL = {
+    "capped_subset": _GREEDY,
     "subset_candidates": f"""WITH {CANON_SQL}, {GROUPS_SQL},
       b AS (SELECT genome_id, string_agg(antibiotic || '|' || substr(sir, 1, 1), ','
         ORDER BY antibiotic || '|' || substr(sir, 1, 1)) AS cells FROM labels0
