@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +16,14 @@ from amrspark.llm.words import mix
 from amrspark.operators.ranking import numbered
 
 SAMPLE_IN, MAX_BITS, _PART_BYTES = 4, 1 << 27, 16 << 20
-_SLICE_BYTES, _WORDS, _HELD, _PHRASES = 2 << 20, 400_000, 1 << 20, 400_000
-_BREAK = b"\xff"  # in no UTF-8 text: stands between pieces
+_SLICE_BYTES, _WORDS, _HELD, _PHRASES, _LONG = 1 << 20, 300_000, 1 << 19, 3 << 18, 256
+_CODE_BITS = 21  # of a word's number in the number of a phrase
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# Tabs part words; these characters, line breaks among them, part pieces.
-_MARKS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
+_BREAK = b"\n"
+# Spaces and tabs part words; these characters, line breaks among them, part pieces.
+_WORD, _SPACE, _PIECE = range(3)
+_KINDS = bytes(_PIECE if b in b".,;:!?\n\x0b\x0c\r" else _SPACE if b in b" \t" else _WORD for b in range(256))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mine_phrases(
@@ -41,7 +43,7 @@ def mine_phrases(
     ----------
     chunks: chunk_id, text and the column `group`; others are ignored. All counts are per group.
     unknown: the group of chunks without one.
-    max_words: words of a phrase, at most; two at least. min_count: occurrences of a phrase, at least.
+    max_words: words of a phrase, at most: two or three. min_count: occurrences of a phrase, at least.
     contained_percent: a phrase goes if one longer phrase that holds it makes up that share of it.
     top: phrases returned per group. sample_in: one chunk of so many is in the sample.
 
@@ -69,6 +71,8 @@ def mine_phrases(
     bit, more is counted than needed, never less. Tasks add up what they count in tables of bounded
     size before the shuffle.
     """
+    if max_words not in (2, 3):
+        raise ValueError("max_words must be 2 or 3")
     rows = chunks.select(
         "text", F.coalesce(F.col(group).cast("string"), F.lit(unknown)).alias("g"),
         F.pmod(F.xxhash64("chunk_id", "text"), F.lit(sample_in)).alias("part"),
@@ -98,11 +102,10 @@ def mine_phrases(
     found = counted[0]
     for more in counted[1:]:
         found = found.unionAll(more)
-    exact = rows.mapInArrow(
-        _phrases(max_words, bit_tables(found, bits, range(1, max_words + 1))), "g string, phrase string, n long"
-    )
-    enough = (F.col("n") >= min_count) | (F.col("phrase") == "")
-    counts = store(exact.groupBy("g", "phrase").agg(F.sum("n").alias("n")).where(enough), "phrases")
+    named = _phrases(max_words, bit_tables(found, bits, range(1, max_words + 1)), parts)
+    packed = rows.mapInArrow(named, "g string, part int, phrases binary, n binary")
+    exact = packed.groupBy("g", "part").applyInArrow(_named, "g string, phrase string, n long")
+    counts = store(exact.where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
     return _scored(counts, max_words, contained_percent, top).withColumnRenamed("g", group)
 
 
@@ -171,12 +174,17 @@ def _summed(rows: DataFrame, rule, least: int, parts: int) -> DataFrame:
     """
     kind = "<u1" if least < 256 else "<u4"
     width = 8 * np.dtype(kind).itemsize
-    packed = rows.mapInArrow(_hashes(rule, parts, kind), "level int, part int, low binary, n binary")
+    packed = rows.mapInArrow(
+        _hashes(rule, parts, kind), "level int, part int, once binary, low binary, n binary"
+    )
 
     def merge(table: pa.Table) -> pa.Table:
         level, part = (table[c][0].as_py() for c in ("level", "part"))
-        low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4").astype(np.uint64)
-        n = np.frombuffer(b"".join(table["n"].to_pylist()), kind)
+        once, low, n = (
+            np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("once", "<u4"), ("low", "<u4"), ("n", kind))
+        )
+        low = np.concatenate((once, low)).astype(np.uint64)
+        n = np.concatenate((np.ones(len(once), kind), n))
         both = np.sort(low << np.uint64(width) | n)
         low, n = both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
@@ -225,22 +233,70 @@ def _unknown(known: dict[int, np.ndarray]):
 
 
 class _Words(dict):
-    """Numbers of words, from 1 in order of appearance, and their hashes; 0 is the break."""
+    """Numbers of words, in order of appearance."""
 
     def __init__(self):
-        super().__init__({_BREAK: 0})
-        self.hashes = array("Q", [0])
+        super().__init__()
+        self.names: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = len(self.hashes) - 1
-        return len(self.hashes) - 1
+        self.names.append(word)
+        self[word] = len(self.names) - 1
+        return len(self.names) - 1
+
+
+@dataclass
+class _Slice:
+    """Some whole texts of a group as one lower-cased text, cut into words."""
+
+    group: str
+    text: bytes  # with eight more bytes at the end
+    starts: np.ndarray
+    sizes: np.ndarray
+    joins: np.ndarray  # for each word but the last, whether the next one is in its piece
+
+    def chunk(self, words: np.ndarray, at: int) -> np.ndarray:
+        """Eight bytes of each of the words from byte `at` on, zeros past its end."""
+        windows = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
+        left = np.minimum(self.sizes[words] - at, 8)
+        return windows[self.starts[words] + at] & _MASKS[left]
+
+    def word(self, i: int) -> bytes:
+        start = int(self.starts[i])
+        return self.text[start : start + int(self.sizes[i])]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word and the group, from eight bytes at a time."""
+        h = mix(self.sizes.astype(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(self.group.encode())))
+        words, at = np.flatnonzero(self.sizes <= _LONG), 0
+        while len(words):
+            h[words] = mix(h[words] * _STEP ^ self.chunk(words, at))
+            at += 8
+            words = words[self.sizes[words] > at]
+        for i in np.flatnonzero(self.sizes > _LONG).tolist():
+            h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(self.word(i)))
+        return h
+
+    def numbers(self, known: _Words, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The numbers of the words `of`. Words of one hash are compared before they count as one."""
+        _, first, same = np.unique(hashes[of], return_index=True, return_inverse=True)
+        first = of[first]
+        other = first[same]
+        equal = (self.sizes[of] == self.sizes[other]) & (self.sizes[of] <= _LONG)
+        places, at = np.flatnonzero(equal), 0
+        while len(places):
+            equal[places] = self.chunk(of[places], at) == self.chunk(other[places], at)
+            at += 8
+            places = places[equal[places] & (self.sizes[of[places]] > at)]
+        out = np.array([known[self.word(i)] for i in first.tolist()], np.int64)[same]
+        for i in np.flatnonzero(~equal).tolist():
+            out[i] = known[self.word(of[i])]
+        return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """(group, words, their numbers, their hashes in the group) of some whole texts of a group."""
-    known = _Words()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         groups = batch.column("g").to_pylist()
         texts = batch.column("text").cast(pa.binary())
         order = sorted(range(len(groups)), key=groups.__getitem__)
@@ -251,15 +307,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             last = at + 1 == len(order) or groups[order[at + 1]] != groups[i]
             if size < _SLICE_BYTES and not last:
                 continue
-            plain = _BREAK.join(held).lower().translate(_MARKS)
-            words = plain.replace(_BREAK, b" \xff ").split()
+            text = _BREAK.join(held).lower() + _BREAK * 8
             held, size = [], 0
-            if len(known) > _WORDS:
-                known = _Words()
-            numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            own = np.uint64(xxhash.xxh3_64_intdigest(groups[i].encode()))
-            hashes = mix(np.frombuffer(known.hashes, np.uint64) ^ own)[numbers]
-            yield groups[i], words, numbers, hashes
+            kind = np.frombuffer(text.translate(_KINDS), np.uint8)
+            edges = np.flatnonzero(np.diff(kind == _WORD, prepend=False))
+            # The breaks at the end close the last word.
+            starts, ends = edges[::2], edges[1::2]
+            breaks = np.flatnonzero(kind == _PIECE)
+            piece = np.searchsorted(breaks, starts)
+            yield _Slice(groups[i], text, starts, ends - starts, piece[1:] == piece[:-1])
 
 
 def _joined(grams: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -268,27 +324,32 @@ def _joined(grams: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class _Sums:
-    """Counts of hashes, added up in a table of bounded size."""
+    """Counts of 64-bit numbers, added up in a table of bounded size."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        if len(hashes):
-            self.parts.append(np.unique(hashes, return_counts=True))
-            self.size += len(self.parts[-1][0])
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            values = np.sort(values)
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            self.parts.append((values[first], np.diff(first, append=len(values))))
+            self.size += len(first)
             if self.size > 2 * _HELD:
-                self.parts = [self.merged()]
-                self.size = len(self.parts[0][0])
+                self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            values, counts = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            order = np.argsort(values, kind="stable")
+            values, counts = values[order], counts[order]
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            self.parts = [(values[first], np.add.reduceat(counts, first))]
+            self.size = len(first)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) < 2:
-            return self.parts[0] if self.parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        hashes, counts = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        return hashes[first], np.add.reduceat(counts, first)
+        self.merge()
+        return self.parts[0] if self.parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def drained(self) -> tuple[np.ndarray, np.ndarray]:
         out = self.merged()
@@ -307,24 +368,23 @@ def _hashes(rule, parts: int, kind: str):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {m: _Sums() for m in range(shortest, longest + 1)}
-        for _, _, numbers, hashes in _slices(batches):
-            word = numbers > 0
+        for part in _slices(batches):
+            hashes = grams = part.hashes()
+            size = len(hashes)
             if shortest == 1:
-                sums[1].add(hashes[word])
-            grams, inside, old = hashes, word, word
+                sums[1].add(hashes)
+            inside = old = np.ones(size, bool)
             for m in range(2, longest + 1):
                 # Phrases one word shorter, by the place of their first word.
                 inside = _within(inside, known[m - 1], grams)
-                old = _within(old, before[m - 1], grams) if before else np.zeros(len(word), bool)
-                at = np.flatnonzero(inside[:-1] & inside[1:])
+                old = _within(old, before[m - 1], grams) if before else np.zeros(size, bool)
+                at = np.flatnonzero(inside[:-1] & inside[1:] & part.joins)
                 long = _joined(grams[at], hashes[at + m - 1])
                 done = old[at] & old[at + 1]
                 if m >= shortest:
                     sums[m].add(long[~done])
-                inside, old = np.zeros(len(word), bool), np.zeros(len(word), bool)
-                inside[at], old[at] = True, done
-                grams = np.zeros(len(word), np.uint64)
-                grams[at] = long
+                inside, old, grams = (np.zeros(size, t) for t in (bool, bool, np.uint64))
+                inside[at], old[at], grams[at] = True, done, long
             for m, held in sums.items():
                 if held.size > _HELD:
                     yield _packed(m, *held.drained(), parts, kind)
@@ -335,63 +395,97 @@ def _hashes(rule, parts: int, kind: str):
 
 
 def _packed(level: int, hashes: np.ndarray, counts: np.ndarray, parts: int, kind: str) -> pa.RecordBatch:
-    """Ascending hashes and their counts, cut by the leading bits of the hashes."""
+    """Ascending hashes and their counts, cut by the leading bits of the hashes.
+
+    Most occur once in a task; these need no count.
+    """
     part = hashes >> np.uint64(64 - (parts.bit_length() - 1))
     first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
     n = np.minimum(counts, np.iinfo(kind).max).astype(kind)
-    spans = list(zip(first, np.append(first[1:], len(part)), strict=False))
+    once, spans = counts == 1, list(zip(first, np.append(first[1:], len(part)), strict=False))
+    columns = [[x[a:b][keep[a:b]].tobytes() for a, b in spans] for x, keep in ((low, once), (low, ~once), (n, ~once))]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(spans), level, np.int32)), pa.array(part[first].astype(np.int32)),
-            pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+            *[pa.array(c, pa.binary()) for c in columns],
         ],
-        ["level", "part", "low", "n"],
+        ["level", "part", "once", "low", "n"],
     )
 
 
-def _phrases(longest: int, frequent: dict[int, np.ndarray]):
+def _phrases(longest: int, frequent: dict[int, np.ndarray], parts: int):
     """Tasks that count the words, and the words and phrases whose hashes are frequent, by name.
 
-    The words of a group are counted under the empty phrase. Within a slice equal phrases are told
-    by the numbers of their words, not by hashes.
+    Within a task phrases are told by the numbers of their words, not by hashes. The words of a
+    group are counted under the empty phrase. A row per group and range of hashes holds its phrases,
+    by line breaks, and their counts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, Counter] = {}
-        for group, words, numbers, hashes in _slices(batches):
-            own = sums.setdefault(group, Counter())
-            own[b""] += int(np.count_nonzero(numbers))
-            inside = (numbers > 0) & _has(frequent[1], hashes)
-            grams, codes = hashes, numbers
-            at = np.flatnonzero(inside)
-            for m in range(1, longest + 1):
-                if m > 1:
-                    at = np.flatnonzero(inside[:-1] & inside[1:])
-                    long = _joined(grams[at], hashes[at + m - 1])
-                    keep = _has(frequent[m], long)
-                    at, long = at[keep], long[keep]
-                    inside, grams = np.zeros(len(words), bool), np.zeros(len(words), np.uint64)
-                    inside[at], grams[at] = True, long
-                code = codes[at] if m == 1 else codes[at] << 32 | numbers[at + m - 1]
-                _, first, same, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-                codes = np.zeros(len(words), np.int64)
-                codes[at] = same
-                for i, k in zip(at[first].tolist(), n.tolist(), strict=True):
-                    own[b" ".join(words[i : i + m])] += k
-            if sum(map(len, sums.values())) > _PHRASES:
-                yield from _named(sums)
-                sums = {}
-        yield from _named(sums)
+        sums, known = {}, _Words()
+        for part in _slices(batches):
+            if len(known.names) > _WORDS:
+                yield from _drained(known, sums, parts)
+                known = _Words()
+            hashes = grams = part.hashes()
+            own = sums.setdefault(part.group, [0] + [_Sums() for _ in range(longest)])
+            own[0] += len(hashes)
+            found = np.flatnonzero(_has(frequent[1], hashes))
+            numbers, inside = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
+            numbers[found], inside[found] = part.numbers(known, hashes, found), True
+            own[1].add(numbers[found])
+            codes = numbers
+            for m in range(2, longest + 1):
+                at = np.flatnonzero(inside[:-1] & inside[1:] & part.joins)
+                long = _joined(grams[at], hashes[at + m - 1])
+                code = codes[at] << np.uint64(_CODE_BITS) | numbers[at + m - 1]
+                keep = _has(frequent[m], long)
+                at, long, code = at[keep], long[keep], code[keep]
+                own[m].add(code)
+                inside, grams, codes = (np.zeros(len(hashes), t) for t in (bool, np.uint64, np.uint64))
+                inside[at], grams[at], codes[at] = True, long, code
+            if sum(s.size for c in sums.values() for s in c[1:]) > _PHRASES:
+                for held in (s for c in sums.values() for s in c[1:]):
+                    held.merge()
+                if sum(s.size for c in sums.values() for s in c[1:]) > _PHRASES // 2:
+                    yield from _drained(known, sums, parts)
+        yield from _drained(known, sums, parts)
 
     return count
 
 
-def _named(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for group, own in sums.items():
-        phrases = pa.array(list(own), pa.binary()).cast(pa.string())
+def _drained(known: _Words, sums: dict[str, list], parts: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a task so far, by group and range of a hash of the phrase; `sums` is emptied."""
+    for group, (words, *counts) in sums.items():
+        names, totals = [b""], [np.array([words], np.int64)]
+        for m, held in enumerate(counts, 1):
+            code, n = held.merged()
+            places = [code >> np.uint64(_CODE_BITS * i) & np.uint64((1 << _CODE_BITS) - 1) for i in range(m - 1, -1, -1)]
+            columns = [[known.names[i] for i in c.tolist()] for c in places]
+            names += columns[0] if m == 1 else map(b" ".join, zip(*columns, strict=True))
+            totals.append(n)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        part = (hashes >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
+        order, n = np.argsort(part, kind="stable"), np.concatenate(totals).astype("<i8")
+        part, n = part[order], n[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([group] * len(own), pa.string()), phrases, pa.array(list(own.values()), pa.int64())],
-            ["g", "phrase", "n"],
+            [
+                pa.array([group] * len(spans), pa.string()), pa.array(part[first]),
+                pa.array([b"\n".join([names[i] for i in order[a:b]]) for a, b in spans], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            ["g", "part", "phrases", "n"],
         )
+    sums.clear()
+
+
+def _named(table: pa.Table) -> pa.Table:
+    """The phrases of a range of hashes, with the sums of their counts."""
+    names = pa.chunked_array([pa.array(p.split(b"\n"), pa.binary()) for p in table["phrases"].to_pylist()])
+    n = np.frombuffer(b"".join(table["n"].to_pylist()), "<i8")
+    sums = pa.table({"phrase": names, "n": n}).group_by("phrase").aggregate([("n", "sum")])
+    group = pa.chunked_array([table["g"].combine_chunks().slice(0, 1)]).take(pa.array(np.zeros(len(sums), np.int64)))
+    return pa.table({"g": group, "phrase": sums["phrase"].cast(pa.string()), "n": sums["n_sum"]})

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from amrspark.llm import phrases
 
@@ -58,7 +60,7 @@ def corpus(seed, rows=300):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"max_words": 4, "min_count": 5}, {"max_words": 2, "sample_in": 3, "top": 20}, {"sample_in": 1}])
+@pytest.mark.parametrize("settings", [{}, {"max_words": 3, "min_count": 5}, {"max_words": 2, "sample_in": 3, "top": 20}, {"sample_in": 1}])
 def test_equals_brute(spark, settings):
     rows = corpus(1)
     own = {k: v for k, v in settings.items() if k != "sample_in"}
@@ -87,13 +89,27 @@ def test_slices_and_tables_of_bounded_size(spark, monkeypatch):
 
 def test_odd_rows(spark):
     rows = [(None, "a b c " * 20, "x"), (1, None, "x"), (1, "", "x"), (2, "a b", None), (3, " \t . ", "y"), (1, "a b c " * 20, "x")]
-    rows += [(4, "q\x01r s\x01t " * 12, "z"), (5, "one two " * 40_000, "z"), (6, "a b a b " * 3, "")]
+    rows += [(4, "q\x01r s\x01t " * 12, "z"), (5, "one two " * 40_000, "z"), (7, ("k" * 300 + " " + "k" * 299 + "j ") * 12, "z"), (6, "a b a b " * 3, "")]
     assert found(spark, rows) == brute(rows)
     assert found(spark, []) == []
     clash = spark.createDataFrame(rows, LAYOUT).selectExpr("*", "1 AS g", "2 AS n", "3 AS phrase", "4 AS part")
     assert phrases.mine_phrases(clash).count() == len(brute(rows))
 
 
+def test_words_of_one_hash_are_told_apart():
+    text = b"abcdefgh1 abcdefgh2 x " + b"y" * 300 + b" " + b"y" * 299 + b"z x"
+    part = next(phrases._slices(iter([pa.RecordBatch.from_pydict({"g": ["s"], "text": [text.decode()]})])))
+    known = phrases._Words()
+    assert len(np.unique(part.hashes())) == 5
+    same = part.numbers(known, np.zeros(6, np.uint64), np.arange(6))
+    assert [known.names[i] for i in same] == text.split()
+
+
+def test_words_of_a_phrase(spark):
+    with pytest.raises(ValueError):
+        found(spark, [], max_words=4)
+
+
 def test_products_beyond_64_bits(spark):
     a, left, right = 3_000_000_007, 4_000_000_009, 5_000_000_021
     counts = [("g", "", 10**12), ("g", "u", left), ("g", "v", right), ("g", "u v", a)]
