@@ -92,21 +92,30 @@ def _typed(spark, sf_dir):
     return B.table(spark, sf_dir, "events").selectExpr(*exprs)
 
 
-def incremental_ingest(spark, sf_dir):
-    """Calls written by a stream over the events file, read back; a second run adds nothing."""
+def _ingested(spark, sf_dir):
+    """The events file taken by a stream that validates it; a second run adds nothing."""
     out = work_folder(spark, "ingest")
     schema = B.table(spark, sf_dir, "events").schema
 
     def events():
         reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-        return reader.parquet(sf_dir).selectExpr(*hit_exprs(B.spark_hash))
-
-    def parse(batch):
-        return batch, batch.where("false").select("genome_id")
+        return reader.parquet(sf_dir).selectExpr(*hit_exprs(B.spark_hash), *_EXTRA)
 
     for _ in range(2):
-        ingest.ingest_stream(events(), out, f"{out}/_checkpoint", parse)
-    return ingest.stored(spark, out)
+        ingest.ingest_stream(events(), out, f"{out}/_checkpoint", tables.validated_hits)
+    return out
+
+
+def incremental_ingest(spark, sf_dir):
+    """Calls of the sound genomes, read back."""
+    return ingest.stored(spark, _ingested(spark, sf_dir))
+
+
+def ingest_rejected(spark, sf_dir):
+    """Genomes that the ingestion set aside, after compaction."""
+    out = _ingested(spark, sf_dir)
+    ingest.compact(spark, out, f"{out}-compact")
+    return ingest.stored(spark, f"{out}-compact", "rejected")
 
 
 def unfinished_genomes(spark, sf_dir):
@@ -145,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fasta_contigs, fasta_qc, fasta_truncation, hit_validation, hit_validation_kept,
-        incremental_ingest, unfinished_genomes, latest_version, field_projection, null_spellings,
+        incremental_ingest, ingest_rejected, unfinished_genomes, latest_version, field_projection, null_spellings,
     )
 }
 
@@ -183,7 +192,9 @@ SQL = {
     "hit_validation": f"WITH {_VALID} SELECT * FROM rejected",
     "hit_validation_kept": f"""WITH {_VALID} SELECT genome_id, count(*) AS n FROM typed
       WHERE genome_id NOT IN (SELECT genome_id FROM rejected) GROUP BY genome_id""",
-    "incremental_ingest": f"WITH {CALLS_SQL} SELECT * FROM calls",
+    "incremental_ingest": f"""WITH {CALLS_SQL}, {_VALID}
+      SELECT * FROM calls WHERE genome_id NOT IN (SELECT genome_id FROM rejected)""",
+    "ingest_rejected": f"WITH {_VALID} SELECT * FROM rejected",
     "unfinished_genomes": """SELECT o_orderkey AS genome_id FROM orders WHERE o_orderkey NOT IN
       (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""",
     "latest_version": f"""SELECT split_part('{'|'.join(fixed.PANEL)}', '|',

@@ -1,11 +1,14 @@
 """Assembly files as record tables, and their quality checks.
 
-A record table has genome_id, ord (record order in the genome), header, body.
+A record table has genome_id, ord (an orderable value, record order in the genome), header, body.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amrspark import fixed
@@ -15,7 +18,10 @@ SUFFIX = r"\.(fna|fasta|fa)$"
 
 def read_records(spark: SparkSession, path: str, glob: str = "*.fna") -> DataFrame:
     """One row per record. Files are cut at line starts holding `>`, so a large file is split
-    over tasks. Text before the first record of a file is dropped."""
+    over tasks, and read once. Text before the first record of a file is dropped.
+
+    `ord` orders the records of a file: the byte where their split begins, then the row in it.
+    """
     raw = (
         spark.read.option("lineSep", "\n>")
         .option("pathGlobFilter", glob)
@@ -23,25 +29,41 @@ def read_records(spark: SparkSession, path: str, glob: str = "*.fna") -> DataFra
         .text(path)
         .select(
             F.regexp_replace(F.col("_metadata.file_name"), SUFFIX, "").alias("genome_id"),
-            F.monotonically_increasing_id().alias("ord"),
-            F.col("value"),
             F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            F.col("value"),
         )
     )
-    starts = raw.groupBy("file").agg(F.min("ord").alias("_first"))
-    rows = raw.join(starts, "file")
-    first = F.col("ord") == F.col("_first")
-    kept = rows.where(~first | F.col("value").startswith(">"))
-    whole = F.when(first, F.substring("value", 2, 2_000_000_000)).otherwise(F.col("value"))
+    rows = raw.mapInArrow(
+        _begun, "genome_id string, file string, block long, row long, value string, first boolean"
+    )
+    kept = rows.where(~F.col("first") | F.col("value").startswith(">"))
+    whole = F.when(F.col("first"), F.substring("value", 2, 2_000_000_000)).otherwise(F.col("value"))
     at = F.instr(whole, "\n")
     return kept.select(
         "genome_id",
-        "ord",
+        F.struct("block", "row").alias("ord"),
         F.trim(F.when(at > 0, F.substring(whole, F.lit(1), at - 1)).otherwise(whole)).alias("header"),
         F.when(at > 0, F.substring(whole, at + 1, F.length(whole))).otherwise("").alias("body"),
     )
 
 
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mark the row at the begin of each file: the first of a split at byte 0.
+
+    The rows of a split follow each other in a task. The values pass through as they are.
+    """
+    last = None
+    for batch in batches:
+        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+        first = []
+        for split in zip(files, blocks, strict=True):
+            first.append(split[1] == 0 and split != last)
+            last = split
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.bool_())], [*batch.schema.names, "first"])
+
+
 def contigs(records: DataFrame) -> DataFrame:
     """Id, description, length and character facts of each record."""
     seq = F.upper(F.regexp_replace("body", r"\s", ""))
@@ -71,39 +93,26 @@ def assembly_qc(
     in record order; a repeated id comes before the sequence rules of its record.
     """
     rows = contigs(records)
-    repeats = (
-        rows.groupBy("genome_id", "contig_id")
-        .agg(F.count("*").alias("_n"), F.min("ord").alias("_first"))
-        .where(F.col("_n") > 1)
-        .drop("_n")
-    )
-    second = (
-        rows.select("genome_id", "contig_id", "ord")
-        .join(repeats, ["genome_id", "contig_id"])
-        .where(F.col("ord") > F.col("_first"))
-        .groupBy("genome_id")
-        .agg(F.min("ord").alias("_dup"))
+    same = Window.partitionBy("genome_id", "contig_id").orderBy("ord")
+    facts = rows.select(
+        "genome_id", "ord", "contig_id", "length", "nucleotide", "canonical", F.row_number().over(same).alias("_i")
     )
-    rule = (
-        F.when(F.col("contig_id") == "", F.struct(F.lit(1).alias("o"), F.lit("missing_id").alias("e")))
-        .when(F.col("length") == 0, F.struct(F.lit(3).alias("o"), F.lit("empty_sequence").alias("e")))
-        .when(~F.col("nucleotide"), F.struct(F.lit(4).alias("o"), F.lit("not_nucleotide").alias("e")))
-        .when(~F.col("canonical"), F.struct(F.lit(5).alias("o"), F.lit("all_ambiguous").alias("e")))
+    # The rules of one record, in their order.
+    broken = (
+        F.when(F.col("contig_id") == "", "missing_id")
+        .when(F.col("_i") > 1, "duplicate_id")
+        .when(F.col("length") == 0, "empty_sequence")
+        .when(~F.col("nucleotide"), "not_nucleotide")
+        .when(~F.col("canonical"), "all_ambiguous")
     )
-    found = F.when(rule.isNotNull(), F.struct(F.col("ord"), rule["o"].alias("o"), rule["e"].alias("e")))
-    per = rows.groupBy("genome_id").agg(
+    per = facts.groupBy("genome_id").agg(
         F.count("*").alias("n_contigs"),
         F.sum("length").alias("total_length"),
-        F.min(found).alias("_own"),
+        F.min(F.when(broken.isNotNull(), F.struct("ord", broken.alias("e")))).alias("_own"),
     )
     base = per if genomes is None else genomes.select("genome_id").distinct().join(per, "genome_id", "left")
-    joined = base.join(second, "genome_id", "left").fillna(0, ["n_contigs", "total_length"])
-    dup = F.when(
-        F.col("_dup").isNotNull(),
-        F.struct(F.col("_dup").alias("ord"), F.lit(2).alias("o"), F.lit("duplicate_id").alias("e")),
-    )
-    # A missing name counts before a repeated one at the same record.
-    record_error = F.least("_own", dup)["e"]
+    joined = base.fillna(0, ["n_contigs", "total_length"])
+    record_error = F.col("_own")["e"]
     n, total = F.col("n_contigs"), F.col("total_length")
     error = (
         F.when(n == 0, "no_records")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def latest(versions: DataFrame, key: str = "antibiotic") -> DataFrame:
 def registry(spark: SparkSession, root: str) -> DataFrame:
     """All registry lines; a store that holds nothing yet has none."""
     try:
-        return spark.read.schema(REGISTRY).parquet(f"{root}/registry")
+        return spark.read.schema(REGISTRY).option("recursiveFileLookup", True).parquet(f"{root}/registry")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -49,20 +50,43 @@ def save(
     reason: str | None = None,
     db_version: str | None = None,
 ) -> int:
-    """Write the tables of one drug under the next version and record it. The registry line comes
-    last, so a lost job leaves no half-visible version."""
+    """Write the tables of one drug under a new version and record it.
+
+    The version is claimed by creating a file that must not exist, so writers at the same time get
+    different versions. The registry line comes last and in a folder of its own: a version that a
+    lost job has claimed but not finished is never seen, and its number is not used again.
+    """
     mine = registry(spark, root).where(F.col("antibiotic") == drug)
-    version = (mine.agg(F.max("version")).first()[0] or 0) + 1
+    version = _claim(spark, f"{root}/claims/{_folder(drug)}", (mine.agg(F.max("version")).first()[0] or 0) + 1)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{_folder(drug)}/v{version}")
     line = spark.createDataFrame(
         [(drug, version, status, reason, db_version, fixed.SCHEMA_VERSION, fixed.ENGINEERED_VERSION)],
         REGISTRY,
     )
-    line.write.mode("append").parquet(f"{root}/registry")
+    line.coalesce(1).write.mode("overwrite").parquet(f"{root}/registry/{_folder(drug)}/v{version}")
     return version
 
 
+def _claim(spark: SparkSession, folder: str, version: int) -> int:
+    """The first version from `version` on that nobody has claimed.
+
+    Creating a file without overwriting is atomic on file systems with a name node and on local
+    disks; it fails where the file exists.
+    """
+    jvm = spark.sparkContext._jvm
+    while True:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version}")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            system.create(path, False).close()
+            return version
+        except Py4JJavaError:
+            if not system.exists(path):
+                raise
+            version += 1
+
+
 def load(spark: SparkSession, root: str, drug: str, name: str, version: int | None = None) -> DataFrame:
     if version is None:
         row = current(registry(spark, root)).where(F.col("antibiotic") == drug).first()

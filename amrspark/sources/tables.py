@@ -83,14 +83,14 @@ def typed_hits(raw: DataFrame) -> DataFrame:
 
 
 def read_hit_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Raw lines of annotation files, one file per genome: the id is the file stem.
+    """Raw lines of annotation files below `path`, one file per genome: the id is the file stem.
 
     Header lines stay in, so a genome whose file holds nothing else is still seen. Such files are
     far below one split, so a task reads a file whole and in order. A stream cannot number rows;
     `numbered` adds the order to each of its batches.
     """
     reader = spark.readStream if stream else spark.read
-    lines = reader.format("text").option("pathGlobFilter", "*.tsv").load(path)
+    lines = reader.format("text").option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", True).load(path)
     genome = F.regexp_replace(F.col("_metadata.file_name"), r"\.tsv$", "").alias("genome_id")
     named = lines.select(genome, "value")
     return named if stream else numbered(named)

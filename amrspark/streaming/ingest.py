@@ -65,8 +65,30 @@ def unfinished(inventory: DataFrame, done: DataFrame) -> DataFrame:
     return inventory.join(done.select("genome_id").distinct(), "genome_id", "left_anti")
 
 
+def _newest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest batch of each genome, whether it was sound or rejected there."""
+    seen = [spark.read.parquet(f"{out}/{t}").select("genome_id", "batch") for t in ("genomes", "rejected")]
+    return seen[0].unionByName(seen[1]).groupBy("genome_id").agg(F.max("batch").alias("batch"))
+
+
 def stored(spark: SparkSession, out: str, table: str = "calls") -> DataFrame:
-    """A stored table; of a genome sent again, only the newest batch counts."""
+    """A stored table (calls, genomes or rejected) as of now.
+
+    Of a genome sent again only the newest batch counts, in which it may have other calls, none at
+    all, or be rejected: then its earlier calls are gone.
+    """
     rows = spark.read.parquet(f"{out}/{table}")
-    newest = rows.groupBy("genome_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["genome_id", "batch"]).drop("batch")
+    return rows.join(_newest(spark, out), ["genome_id", "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, out: str, target: str) -> None:
+    """Write what counts now to the folder `target`, one batch folder per table.
+
+    It keeps the highest batch number, so a stream that goes on with the same checkpoint and
+    `target` as its output adds newer ones. Nothing below `out` is changed.
+    """
+    newest = _newest(spark, out)
+    highest = newest.agg(F.max("batch")).first()[0]
+    for table in ("genomes", "rejected", "calls"):
+        rows = stored(spark, out, table)
+        rows.write.mode("overwrite").parquet(f"{target}/{table}/batch={0 if highest is None else highest}")

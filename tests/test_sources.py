@@ -1,4 +1,6 @@
 import json
+import random
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +138,36 @@ def test_assembly_qc(spark, assemblies):
     assert ids == ["c1", "c2"]
 
 
+def test_records_of_split_files(spark, tmp_path):
+    """Contigs longer than a split, several files in a task, text before the first record."""
+    rng = random.Random(1)
+    files = {}
+    for f in range(6):
+        contigs = [(f"c{i} >x" if i % 2 else f"c{i}", "".join(rng.choices("ACGT", k=rng.choice([0, 70, 900, 30_000])))) for i in range(9)]
+        lines = ["\n".join(s[i : i + 60] for i in range(0, len(s), 60)) for _, s in contigs]
+        body = "".join(f">{h}\n{x}\n" for (h, _), x in zip(contigs, lines))
+        files[f"g{f}"] = contigs
+        (tmp_path / f"g{f}.fna").write_text(("junk\n" if f == 2 else "") + body)
+    (tmp_path / "none.fna").write_text("junk only\n")
+    (tmp_path / "twice.fna").write_text(">>a\nAC\n>>b\nGT\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            records = fasta.read_records(spark, str(tmp_path))
+            plan = records._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+            got = {}
+            for r in records.orderBy("genome_id", "ord").collect():
+                got.setdefault(r["genome_id"], []).append((r["header"], "".join(r["body"].split())))
+            assert got.pop("twice") == [(">a", "AC"), (">b", "GT")]
+            assert got == files
+            qc = {r["genome_id"]: r["n_contigs"] for r in fasta.assembly_qc(records).collect()}
+            assert qc == {**{g: 9 for g in files}, "twice": 2}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_inventory_skips_empty_files(spark, assemblies):
     found = {r["genome_id"] for r in fasta.inventory(spark, assemblies).collect()}
     assert found == set(FASTA) - {"empty"}
@@ -156,6 +188,50 @@ def test_truncation_rule_order(spark):
     }
 
 
+def test_genomes_sent_again(spark, hit_folder, tmp_path):
+    """Only the newest state counts: other calls, none, rejected, or sound after all."""
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    ingest.ingest_folder(spark, hit_folder, out, check)
+
+    def state(root):
+        calls = ingest.stored(spark, root).groupBy("genome_id").agg(F.sort_array(F.collect_list("gene"))).collect()
+        sets = [{r["genome_id"] for r in ingest.stored(spark, root, t).collect()} for t in ("genomes", "rejected")]
+        return {r[0]: r[1] for r in calls}, *sets
+
+    calls, genomes, rejected = state(out)
+    assert set(calls) == {"573.10001", "573.10003"} and rejected == {"573.10004"}
+    later = tmp_path / "hits" / "later"
+    later.mkdir()
+    again = {"573.10001": [], "573.10003": [hit("armA", method="ODD")], "573.10004": [hit("armA")]}
+    for name, rows in again.items():
+        (later / f"{name}.tsv").write_text("\n".join([HEADER, *rows]) + "\n")
+    ingest.ingest_folder(spark, hit_folder, out, check)
+    want = ({"573.10004": ["armA"]}, {"573.10001", "573.10002", "573.10004"}, {"573.10003"})
+    assert state(out) == want
+    target = str(tmp_path / "compact")
+    ingest.compact(spark, out, target)
+    assert state(target) == want
+    last = tmp_path / "hits" / "last"
+    last.mkdir()
+    (last / "573.10003.tsv").write_text("\n".join([HEADER, hit("sul1")]) + "\n")
+    ingest.ingest_folder(spark, hit_folder, target, check)
+    assert state(target)[0] == {"573.10003": ["sul1"], "573.10004": ["armA"]}
+
+
+def test_writers_at_once_get_their_own_versions(spark, tmp_path):
+    root = str(tmp_path / "models")
+    tables_of = [{"scores": spark.createDataFrame([(i,)], "i int")} for i in range(4)]
+    with ThreadPool(4) as pool:
+        versions = pool.map(lambda t: store.save(spark, root, "drug/one", t), tables_of)
+    assert sorted(versions) == [1, 2, 3, 4]
+    for i, v in enumerate(versions):
+        assert store.load(spark, root, "drug/one", "scores", v).first()["i"] == i
+    # A version that was claimed but never finished is not seen, and not used again.
+    assert store._claim(spark, f"{root}/claims/{store._folder('drug/one')}", 5) == 5
+    assert store.current(store.registry(spark, root)).first()["version"] == 4
+    assert store.save(spark, root, "drug/one", tables_of[0]) == 6
+
+
 def test_jsonl_chunks(spark, tmp_path):
     def line(i, t):
         return json.dumps({"chunk_id": i, "gene_family": "f", "drugs": ["meropenem"], "text": t, "source": "s"})
