@@ -3,62 +3,57 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amrspark import fixed
 from amrspark.functions import text
-from amrspark.operators import conformal, groups, metrics
+from amrspark.operators import conformal, groups, metrics, newton
+from amrspark.operators.newton import Linear, Problem
 from amrspark.session import cut
 
 
-def fit_balanced(df: DataFrame, c: float, features: str = "features", y: str = "y"):
+def _arrays(df: DataFrame, features: str, y: str, *more: str) -> DataFrame:
+    """Rows for the Newton fits: v, y, w, and fold (-1 if not given)."""
+    fold = F.col("fold").cast("int") if "fold" in more else F.lit(-1)
+    return df.select(
+        vector_to_array(features).alias("v"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"), fold.alias("fold")
+    )
+
+
+def fit_balanced(df: DataFrame, c: float, features: str = "features", y: str = "y") -> Linear:
     """L2 logistic regression with balanced class weights.
 
-    The penalty matches the objective `C * sum(loss) + |w|^2 / 2`; weights sum to the row count.
+    The objective is `C * sum(loss) + |w|^2 / 2`; weights sum to the row count.
     """
-    sizes = df.agg(F.count("*").alias("n"), F.sum(y).alias("pos")).first()
-    n, pos = sizes["n"], sizes["pos"]
-    weight = F.when(F.col(y) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-    lr = LogisticRegression(
-        featuresCol=features,
-        labelCol=y,
-        weightCol="_w",
-        regParam=1.0 / (c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=500,
-        tol=1e-9,
-    )
-    return lr.fit(df.select(features, F.col(y).cast("double").alias(y), weight.alias("_w")))
+    size = df.agg(F.count("*").alias("n"), F.sum(y).alias("pos"), F.first(F.size(vector_to_array(features))).alias("d")).first()
+    n, pos = size["n"], size["pos"]
+    problem = Problem(1.0 / c, None, n / (2.0 * pos), n / (2.0 * (n - pos)))
+    return newton.fit(cut(_arrays(df, features, y)), [problem], size["d"])[0]
 
 
-def largest_gradient(df: DataFrame, model, c: float, features: str = "features", y: str = "y") -> float:
-    """Largest component, per row, of the gradient of the objective of `fit_balanced` at its result:
-    near zero where the optimiser converged. One row per feature reaches the driver."""
+def largest_gradient(df: DataFrame, model: Linear, c: float, features: str = "features", y: str = "y") -> float:
+    """Largest component, per row, of the gradient of the objective of `fit_balanced` at a model:
+    near zero where it is the result. One row per feature reaches the driver."""
     sizes = df.agg(F.count("*").alias("n"), F.sum(y).alias("pos")).first()
     n, pos = sizes["n"], sizes["pos"]
     weight = F.when(F.col(y) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-    pull = (weight * (vector_to_array("probability")[1] - F.col(y)) / n).alias("pull")
-    rows = model.transform(df).select(pull, vector_to_array(features).alias("v"))
+    chance = 1.0 / (1.0 + F.exp(-F.col("_f")))
+    pull = (weight * (chance - F.col(y)) / n).alias("pull")
+    rows = decision(df, model, features, "_f").select(pull, vector_to_array(features).alias("v"))
     values = F.transform(F.concat(F.array(F.lit(1.0)), "v"), lambda x: x * F.col("pull"))
     sums = rows.select(F.posexplode(values).alias("i", "g")).where("g <> 0").groupBy("i").agg(F.sum("g").alias("g"))
     by_place = {r["i"]: r["g"] for r in sums.collect()}
-    kept = model.coefficients.toArray() / (c * n)
+    kept = model.coefficients / (c * n)
     inner = [abs(by_place.get(i + 1, 0.0) + w) for i, w in enumerate(kept)]
     return float(max([abs(by_place.get(0, 0.0)), *inner]))
 
 
-def decision(df: DataFrame, model, features: str = "features", out: str = "f") -> DataFrame:
+def decision(df: DataFrame, model: Linear, features: str = "features", out: str = "f") -> DataFrame:
     """Linear score of each row."""
-    scored = model.transform(df)
-    made = ["rawPrediction", "probability", "prediction"]
-    return scored.withColumn(out, vector_to_array("rawPrediction")[1]).drop(*made)
+    return newton.score(df.withColumn("_v", vector_to_array(features)), model, "_v", out).drop("_v")
 
 
 def search_c(
@@ -66,30 +61,24 @@ def search_c(
     grid: tuple[float, ...] = fixed.C_GRID,
     folds: int = fixed.N_SPLITS,
     seed: int = 0,
-    parallelism: int = 4,
 ) -> tuple[float, DataFrame]:
     """(best C, average precision per C and fold) by grouped folds; the first best of the grid wins.
 
-    Each fit is a distributed job; a few run at once. All held-out scores are ranked in one job.
+    All models of the grid and folds are fitted together, one pass a step, and all held-out rows
+    are scored and ranked in one job. Folds without both classes to train on are left out.
     """
-    placed = cut(groups.grouped_folds(train.withColumn("_d", F.lit(0)), ["_d"], k=folds, seed=seed, y="side"))
-    numbers = [r["fold"] for r in placed.select("fold").distinct().orderBy("fold").collect()]
-
-    def one(job: tuple[float, int]) -> DataFrame:
-        c, k = job
-        model = fit_balanced(placed.where(F.col("fold") != k), c)
-        held = decision(placed.where(F.col("fold") == k), model)
-        return held.select(F.lit(c).alias("c"), F.lit(k).alias("fold"), F.col("f").alias("p"), "y")
-
-    usable = {
-        r["fold"]
-        for r in groups.fold_balance(placed, ["_d"], y="side").collect()
-        if r["train_resistant"] > 0 and r["train_susceptible"] > 0
-    }
-    jobs = [(c, k) for c in grid for k in numbers if k in usable]
-    with ThreadPool(parallelism) as pool:
-        parts = pool.map(one, jobs)
-    scores = metrics.rank_metrics(reduce(DataFrame.unionByName, parts), ["c", "fold"])
+    placed = groups.grouped_folds(train.withColumn("_d", F.lit(0)), ["_d"], k=folds, seed=seed, y="side")
+    rows = cut(_arrays(placed, "features", "y", "fold"))
+    sizes = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.max(F.size("v")).alias("d")).collect()
+    n, pos = sum(r["n"] for r in sizes), sum(r["pos"] for r in sizes)
+    jobs = []
+    for r in sorted(sizes, key=lambda r: r["fold"]):
+        own, side = n - r["n"], pos - r["pos"]
+        if 0 < side < own:
+            jobs += [(c, r["fold"], Problem(1.0 / c, r["fold"], own / (2.0 * side), own / (2.0 * (own - side)))) for c in grid]
+    fitted = newton.fit(rows, [p for _, _, p in jobs], max([r["d"] for r in sizes], default=0))
+    scored = newton.held_out(rows, [(c, k, m) for (c, k, _), m in zip(jobs, fitted, strict=True)])
+    scores = metrics.rank_metrics(scored, ["c", "fold"])
     scores = cut(scores.select("c", "fold", "pr_auc"))
     means = {r["c"]: r["m"] for r in scores.groupBy("c").agg(F.avg("pr_auc").alias("m")).collect()}
     ranked = [(means.get(c) if means.get(c) is not None else -1.0, -i) for i, c in enumerate(grid)]
@@ -100,8 +89,7 @@ def fit_platt(scored: DataFrame, f: str = "f", y: str = "y") -> tuple[float, flo
     """(slope, offset) of the sigmoid over the linear score of a frozen model.
 
     Smoothed targets make each row two weighted rows of an unpenalised one-feature regression. The
-    score is brought to mean 0 and deviation 1 for the fit, so that the optimiser converges on
-    scores of any size.
+    score is brought to mean 0 and deviation 1 for the fit, so that scores of any size fit alike.
     """
     sizes = scored.agg(
         F.count("*").alias("n"), F.sum(y).alias("pos"), F.avg(f).alias("m"), F.stddev_pop(f).alias("sd")
@@ -111,21 +99,14 @@ def fit_platt(scored: DataFrame, f: str = "f", y: str = "y") -> tuple[float, flo
         raise ValueError("calibration needs two rows of each class")
     target = F.when(F.col(y) == 1, (pos + 1.0) / (pos + 2.0)).otherwise(1.0 / (neg + 2.0))
     pair = F.array(
-        F.struct(F.lit(1.0).alias("label"), target.alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (1.0 - target).alias("w")),
+        F.struct(F.lit(1.0).alias("y"), target.alias("w")),
+        F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")),
     )
     middle, spread = sizes["m"], sizes["sd"] or 1.0
-    scaled = (F.col(f) - middle) / spread
-    rows = cut(scored.select(scaled.alias("z"), F.inline(pair))).select(
-        array_to_vector(F.array("z")).alias("x"), "label", "w"
-    )
-    lr = LogisticRegression(
-        featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, standardization=False,
-        maxIter=200, tol=1e-9,
-    )
-    model = lr.fit(rows)
+    rows = scored.select(F.array((F.col(f) - middle) / spread).alias("v"), F.lit(-1).alias("fold"), F.inline(pair))
+    model = newton.fit(cut(rows), [Problem(0.0)], 1)[0]
     slope = float(model.coefficients[0]) / spread
-    return slope, float(model.intercept) - slope * middle
+    return slope, model.intercept - slope * middle
 
 
 @dataclass
@@ -187,6 +168,8 @@ def train_drug(
         return Trained(_status(spark, drug, "insufficient_data", "training part has one class"))
     best_c, search = search_c(train, grid, folds, seed)
     model = fit_balanced(train, best_c)
+    if not model.converged:
+        return Trained(_status(spark, drug, "not_converged", f"largest gradient {model.gradient:.3g}"))
     slope, offset = fit_platt(decision(cal, model))
     p = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("f") + F.lit(offset))))
     scored = cut(
@@ -205,14 +188,14 @@ def train_drug(
         ["antibiotic"],
     )
     weights = spark.createDataFrame(
-        [(drug, n, float(w)) for n, w in zip(names, model.coefficients.toArray())],
+        [(drug, n, float(w)) for n, w in zip(names, model.coefficients, strict=True)],
         "antibiotic string, feature string, coefficient double",
     )
     header = spark.createDataFrame(
         [
             (
-                drug, best_c, float(model.intercept), slope, offset, line["n_resistant"],
-                line["n_susceptible"], line["n_groups"], largest_gradient(train, model, best_c),
+                drug, best_c, model.intercept, slope, offset, line["n_resistant"],
+                line["n_susceptible"], line["n_groups"], model.gradient,
             )
         ],
         "antibiotic string, best_c double, intercept double, platt_a double, platt_b double, "
@@ -248,9 +231,3 @@ def train_panel(
     )
     rows = cut(rows)
     return {d: train_drug(rows.where(F.col("antibiotic") == d), d, names, **options) for d in drugs}
-
-
-def calibration_brier(scored: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.col("p") - F.col("y")
-    rows = scored.where(F.col("split") == "calibration")
-    return rows.groupBy(*by).agg(F.avg(gap * gap).alias("brier"))

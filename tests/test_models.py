@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from amrspark.operators import features as FE
 from amrspark.operators import groups as G
 from amrspark.operators import models as MO
+from amrspark.operators import newton as newton_fit
 from amrspark.plans import analysis
 from amrspark.sources import store
 
@@ -41,13 +42,55 @@ def test_balanced_fit_matches_newton(spark, c):
     model = MO.fit_balanced(df, c)
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     want = newton(x, y, w, 1.0 / c)
-    got = np.append(model.coefficients.toArray(), model.intercept)
-    assert np.allclose(got, want, atol=1e-4)
-    assert MO.largest_gradient(df, model, c) < 1e-5
+    got = np.append(model.coefficients, model.intercept)
+    assert np.allclose(got, want, atol=1e-8) and model.converged
+    assert MO.largest_gradient(df, model, c) < 1e-8
     model_of_half = MO.fit_balanced(df, c / 50)
     assert MO.largest_gradient(df, model_of_half, c) > 1e-3
 
 
+def test_many_models_equal_single_fits(spark):
+    """All folds and penalties in one pass a step, also nearly separable ones; row weights count."""
+    x, y = data(200, 4, 3)
+    x = np.hstack([x, y[:, None] + 0.3 * x[:, :1]])
+    fold, w = np.arange(200) % 4, np.where(np.arange(200) % 3 == 0, 2.0, 0.5)
+    rows = spark.createDataFrame(
+        [(r.tolist(), float(t), float(u), int(k)) for r, t, u, k in zip(x, y, w, fold)], "v array<double>, y double, w double, fold int"
+    ).repartition(3)
+    jobs = [newton_fit.Problem(1 / c, k, 1.5, 2.0) for c in (0.01, 1.0, 100.0) for k in (None, 0, 3)]
+    for job, model in zip(jobs, newton_fit.fit(rows, jobs, 5), strict=True):
+        mine = fold != (-1 if job.without is None else job.without)
+        own = w[mine] * np.where(y[mine] == 1, job.positive, job.negative)
+        want = newton(x[mine], y[mine], own, job.penalty)
+        assert np.allclose(np.append(model.coefficients, model.intercept), want, atol=1e-6)
+        assert model.converged and model.steps < 30
+    with pytest.raises(ValueError, match="too large"):
+        newton_fit.fit(rows, jobs, 10_000)
+
+
+def test_search_equals_single_fits(spark):
+    x, y = data(150, 4, 5)
+    rows = spark.createDataFrame(
+        [(Vectors.dense(r.tolist()), int(v), "R" if v else "S", f"g{i}", f"s{i % 30}") for i, (r, v) in enumerate(zip(x, y))],
+        ["features", "y", "side", "genome_id", "grp"],
+    )
+    best, scores = MO.search_c(rows, (0.1, 10.0), 3)
+    placed = G.grouped_folds(rows.withColumn("_d", F.lit(0)), ["_d"], k=3, y="side").toPandas()
+    got = {(r["c"], r["fold"]): r["pr_auc"] for r in scores.collect()}
+    assert len(got) == 6
+    for (c, k), value in got.items():
+        out, held = placed[placed.fold != k], placed[placed.fold == k]
+        a = np.array([v.toArray() for v in out.features])
+        w = np.where(out.y == 1, len(out) / (2 * out.y.sum()), len(out) / (2 * (len(out) - out.y.sum())))
+        beta = newton(a, out.y.to_numpy(), w, 1 / c)
+        f = np.array([v.toArray() for v in held.features]) @ beta[:-1] + beta[-1]
+        t = held.y.to_numpy()
+        ap = sum(t[f >= s].mean() * (t[f == s].sum() / t.sum()) for s in np.unique(f))
+        assert value == pytest.approx(ap, abs=1e-9)
+    means = {c: np.mean([v for (d, _), v in got.items() if d == c]) for c in (0.1, 10.0)}
+    assert best == max(means, key=lambda c: (means[c], -c))
+
+
 def test_platt_matches_newton(spark):
     rng = np.random.default_rng(1)
     f = rng.normal(0, 2, 80)
@@ -57,7 +100,7 @@ def test_platt_matches_newton(spark):
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     want = newton(np.concatenate([f, f])[:, None], np.repeat([1, 0], len(f)), np.concatenate([t, 1 - t]), 0.0)
-    assert np.allclose([slope, offset], want, atol=1e-4)
+    assert np.allclose([slope, offset], want, atol=1e-7)
     wide = df.withColumn("f", df.f * 1e5 + 7e6)
     assert np.allclose(MO.fit_platt(wide), [slope / 1e5, offset - slope * 70], rtol=1e-3)
     with pytest.raises(ValueError):
