@@ -90,13 +90,20 @@ def _free_claims(said: Column) -> Column:
 
 def _report_side(rows: DataFrame) -> DataFrame:
     """Per genome: drug to (rendered text, verdict, category), and the whole rendered report."""
-    item = F.struct(
-        "antibiotic",
-        F.struct(F.lower(decide.row_text()).alias("t"), "verdict", "category").alias("row"),
+    line = F.struct(
+        decide.panel_order().alias("o"), "antibiotic", decide.row_text().alias("t"), "verdict", "category"
+    )
+    lists = rows.groupBy("genome_id").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    by_drug = F.transform(
+        "_lines",
+        lambda x: F.struct(
+            x["antibiotic"].alias("antibiotic"),
+            F.struct(F.lower(x["t"]).alias("t"), x["verdict"].alias("verdict"), x["category"].alias("category")).alias("row"),
+        ),
+    )
+    return lists.select(
+        "genome_id", F.map_from_entries(by_drug).alias("_rows"), F.lower(decide.story(F.col("_lines"))).alias("_told")
     )
-    per = rows.groupBy("genome_id").agg(F.map_from_entries(F.collect_list(item)).alias("_rows"))
-    told = decide.narratives(rows).select("genome_id", F.lower("narrative").alias("_told"))
-    return per.join(told, "genome_id")
 
 
 def grounding(narratives: DataFrame, rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

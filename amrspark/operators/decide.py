@@ -562,26 +562,31 @@ def panel_order(c: str = "antibiotic") -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(len(fixed.PANEL)))
 
 
+def story(lines: Column) -> Column:
+    """The text of a genome from its sorted lines (with the sentence as `t`): header, a line per
+    drug, the disclaimer last."""
+    header = F.concat(
+        F.lit("Genome "), F.col("genome_id"), F.lit(" — per-antibiotic decision support.")
+    )
+    body = F.transform(lines, lambda x: x["t"])
+    return F.array_join(F.concat(F.array(header), body, F.array(F.lit(fixed.DISCLAIMER))), "\n")
+
+
 def narratives(rows: DataFrame) -> DataFrame:
     """One text per genome: header, a line per drug in panel order, the disclaimer last."""
     line = F.struct(panel_order().alias("o"), "antibiotic", row_text().alias("t"))
     lists = rows.groupBy("genome_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    header = F.concat(
-        F.lit("Genome "), F.col("genome_id"), F.lit(" — per-antibiotic decision support.")
-    )
-    body = F.transform("lines", lambda x: x["t"])
-    parts = F.concat(F.array(header), body, F.array(F.lit(fixed.DISCLAIMER)))
-    return lists.select("genome_id", F.array_join(parts, "\n").alias("narrative"))
+    return lists.select("genome_id", story(F.col("lines")).alias("narrative"))
 
 
 def reports(rows: DataFrame) -> DataFrame:
-    """One nested report per genome with its narrative."""
+    """One nested report per genome with its narrative, both from one list of its rows."""
     fields = [c for c in rows.columns if c != "genome_id"]
-    item = F.struct(panel_order().alias("_o"), *fields)
+    item = F.struct(panel_order().alias("_o"), "antibiotic", row_text().alias("t"), F.struct(*fields).alias("row"))
     packed = rows.groupBy("genome_id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    nested = packed.select(
+    return packed.select(
         "genome_id",
-        F.transform("_p", lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("predictions"),
+        F.transform("_p", lambda x: x["row"]).alias("predictions"),
         F.lit(fixed.DISCLAIMER).alias("disclaimer"),
+        story(F.col("_p")).alias("narrative"),
     )
-    return nested.join(narratives(rows), "genome_id")
