@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +14,11 @@ from amrspark import fixed
 from amrspark.functions import mechanisms
 from amrspark.functions.text import clean
 from amrspark.operators.labels import first_per_key
+from amrspark.operators.ranking import numbered
+from amrspark.session import cut
+
+#: Names that a model may have a weight for.
+MAX_FEATURES = 1 << 16
 
 
 def catalog_lookups(catalog: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -115,36 +124,51 @@ def feature_vectors(
 
 
 def vocabulary(calls: DataFrame) -> DataFrame:
-    """One row: ordered feature names and their SHA-256. Genes, then mutations that are no gene
-    name, then the engineered columns. Distinct names only, so the row is vocabulary-sized."""
-    sets = calls.agg(
-        F.array_sort(F.collect_set(F.when(F.col("is_amr"), F.col("gene")))).alias("g"),
-        F.array_sort(F.collect_set(F.when(F.col("is_point"), F.col("gene")))).alias("m"),
-    )
-    engineered = F.array(*[F.lit(n) for n in fixed.ENGINEERED])
-    only = F.array_except("m", "g")
-    named = sets.select(
-        F.concat("g", only, engineered).alias("names"),
-        F.size("g").alias("n_genes"),
-        F.size(only).alias("n_mutations"),
-    )
-    return named.withColumns(
-        {
-            "sha256": F.sha2(F.array_join("names", "\n"), 256),
-            "schema_version": F.lit(fixed.SCHEMA_VERSION),
-            "engineered_version": F.lit(fixed.ENGINEERED_VERSION),
-        }
+    """The feature table: idx (from 0), feature, kind. Genes by name, then mutations that are no
+    gene name, then the engineered columns.
+
+    Names are numbered in ranges over many tasks; the table is written once.
+    """
+    names = calls.select(
+        F.col("gene").alias("feature"), F.when(F.col("is_amr"), 0).when(F.col("is_point"), 1).alias("_k")
     )
+    # A name that is both is a gene.
+    kinds = names.where(F.col("_k").isNotNull() & F.col("feature").isNotNull()).groupBy("feature").agg(F.min("_k").alias("_k"))
+    engineered = F.array(*[F.struct(F.lit(i + 2).alias("_k"), F.lit(n).alias("feature")) for i, n in enumerate(fixed.ENGINEERED)])
+    spark = calls.sparkSession
+    own = spark.range(1).select(F.inline(engineered))
+    placed = numbered(kinds.select("_k", "feature").unionByName(own), [], ["_k", "feature"], "_at")
+    kind = F.when(F.col("_k") == 0, "gene").when(F.col("_k") == 1, "mutation").otherwise("engineered")
+    return cut(placed.select((F.col("_at") - 1).cast("int").alias("idx"), "feature", kind.alias("kind")))
 
 
-def vocabulary_rows(vocab: DataFrame) -> DataFrame:
-    kind = (
-        F.when(F.col("idx") < F.col("n_genes"), "gene")
-        .when(F.col("idx") < F.col("n_genes") + F.col("n_mutations"), "mutation")
-        .otherwise("engineered")
+def vocabulary_digest(vocab: DataFrame) -> DataFrame:
+    """One row: n_features, SHA-256 of the names in order joined by line breaks, and the versions.
+
+    The digest depends on the order, so one task reads the names as a stream, sorted outside its
+    memory if need be, and holds only the state of the hash.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n = hashlib.sha256(), 0
+        for batch in batches:
+            for name in batch.column("feature").to_pylist():
+                state.update(b"\n" * (n > 0) + name.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n_features": pa.array([n], pa.int64()), "sha256": [state.hexdigest()]})
+
+    ordered = vocab.select("idx", "feature").repartition(1).sortWithinPartitions("idx")
+    return ordered.mapInArrow(digest, "n_features long, sha256 string").withColumns(
+        {"schema_version": F.lit(fixed.SCHEMA_VERSION), "engineered_version": F.lit(fixed.ENGINEERED_VERSION)}
     )
-    rows = vocab.select("n_genes", "n_mutations", F.posexplode("names").alias("idx", "feature"))
-    return rows.select("idx", "feature", kind.alias("kind"))
+
+
+def feature_names(vocab: DataFrame, most: int = MAX_FEATURES) -> list[str]:
+    """The names in order, for models, which hold a weight per name; at most `most` of them."""
+    n = vocab.count()
+    if n > most:
+        raise ValueError(f"{n} features; at most {most} fit a model")
+    return [r["feature"] for r in vocab.orderBy("idx").collect()]
 
 
 def engineered(calls: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -177,13 +201,13 @@ def matrix_rows(calls: DataFrame, wide: DataFrame, vocab: DataFrame) -> DataFram
     present = calls.where(F.col("is_amr") | F.col("is_point")).select(
         "genome_id", F.col("gene").alias("feature"), F.lit(1.0).alias("value")
     )
-    names = vocabulary_rows(vocab).select("feature", "idx")
+    names = vocab.select("feature", "idx")
     return present.unionByName(engineered_rows(wide)).join(names, "feature")
 
 
 def unknown_counts(calls: DataFrame, genomes: DataFrame, vocab: DataFrame) -> DataFrame:
     """Out-of-vocabulary symbols per genome; a symbol that is gene and mutation counts twice."""
-    known = vocabulary_rows(vocab).select(F.col("feature").alias("gene"))
+    known = vocab.select(F.col("feature").alias("gene"))
     twice = F.col("is_amr").cast("bigint") + F.col("is_point").cast("bigint")
     out = calls.join(known, "gene", "left_anti").groupBy("genome_id").agg(F.sum(twice).alias("oov"))
     return genomes.select("genome_id").distinct().join(out, "genome_id", "left").fillna(0, ["oov"])

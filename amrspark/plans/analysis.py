@@ -146,7 +146,7 @@ def train_and_store(
     """Train every panel drug and store its tables under the next version of the drug."""
     calls = cut(FE.gene_calls(hits))
     wide = cut(FE.engineered(calls, genomes))
-    names = FE.vocabulary(calls).first()["names"]  # vocabulary-sized
+    names = FE.feature_names(FE.vocabulary(calls))
     matrix = FE.matrix_vectors(calls, wide, names)
     group_of = G.assign_groups(genomes.select("genome_id").distinct(), metadata, ["genome_id"])
     fired = D.gate(FE.mechanism_hits(calls, genomes)).select("genome_id", "antibiotic", "gate_fired")
@@ -238,7 +238,7 @@ def rescore(
     calls = cut(FE.gene_calls(hits))
     models, coefficients, _ = stored_models(spark, root)
     coefficients = cut(coefficients)
-    found = spark.createDataFrame([(n,) for n in FE.vocabulary(calls).first()["names"]], "feature string")
+    found = FE.vocabulary(calls).select("feature")
     odd = _feature_differences(coefficients.select("antibiotic", "feature"), found).limit(5).collect()
     if odd:
         raise ValueError(f"stored features differ from the annotations: {[r.asDict() for r in odd]}")

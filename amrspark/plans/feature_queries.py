@@ -52,12 +52,11 @@ def feature_vectors(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    return FE.vocabulary_rows(FE.vocabulary(_base(spark, sf_dir)[2]))
+    return FE.vocabulary(_base(spark, sf_dir)[2])
 
 
 def vocabulary_hash(spark, sf_dir):
-    vocab = FE.vocabulary(_base(spark, sf_dir)[2])
-    return vocab.select(F.size("names").cast("bigint").alias("n_features"), "sha256")
+    return FE.vocabulary_digest(FE.vocabulary(_base(spark, sf_dir)[2])).select("n_features", "sha256")
 
 
 def _frozen(calls):
@@ -85,7 +84,7 @@ def matrix_vectors(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     _, genomes, calls = _base(spark, sf_dir)
-    names = FE.vocabulary(calls).first()["names"]
+    names = FE.feature_names(FE.vocabulary(calls))
     rows = FE.matrix_vectors(calls, FE.engineered(calls, genomes), names)
     values = vector_to_array("features")
     return rows.select(

@@ -82,9 +82,15 @@ def test_engineered_and_vocabulary(spark):
     assert [a[n] for n in fixed.ENGINEERED] == [2.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0]
     assert [wide.where("genome_id = 'c'").first()[n] for n in fixed.ENGINEERED] == [0.0] * 9
     vocab = FE.vocabulary(calls)
-    names = vocab.first()["names"]
+    names = FE.feature_names(vocab)
     assert names == ["armA", "blaKPC-2", "qnrB1", "sul1", "gyrA_S83Y", "ompK36_fs", "parC_S80I", *fixed.ENGINEERED]
-    assert vocab.first()["sha256"] == hashlib.sha256("\n".join(names).encode()).hexdigest()
+    assert [(r["idx"], r["feature"]) for r in vocab.orderBy("idx").collect()] == list(enumerate(names))
+    assert [r["kind"] for r in vocab.orderBy("idx").collect()] == ["gene"] * 4 + ["mutation"] * 3 + ["engineered"] * 9
+    digest = FE.vocabulary_digest(vocab).first()
+    assert (digest["n_features"], digest["sha256"]) == (16, hashlib.sha256("\n".join(names).encode()).hexdigest())
+    assert FE.feature_names(FE.vocabulary(calls.limit(0))) == list(fixed.ENGINEERED)
+    with pytest.raises(ValueError, match="at most 3"):
+        FE.feature_names(vocab, 3)
     vectors = {r["genome_id"]: r["features"].toArray().tolist() for r in FE.matrix_vectors(calls, wide, names).collect()}
     assert vectors["b"] == [0, 0, 1, 1, 0, 0, 0] + [0, 1, 0, 0, 0, 0, 0 + 0, 0, 0]
     assert vectors["c"] == [0.0] * 16

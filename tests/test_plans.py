@@ -38,3 +38,19 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "o_totalprice" not in plan
     plan = plan_of(catalog.QUERIES["evidence_counts"](spark, SF_DIR))
     assert re.search(r"ReadSchema: struct<l_tax:double>", plan)
+
+
+# The most shuffles, and scans of files, that a query may plan after its eager cuts.
+LIMITS = {
+    "label_table": (8, 1), "label_votes": (2, 1), "fasta_qc": (2, 1), "fasta_contigs": (0, 1),
+    "hit_pivot": (1, 1), "vocabulary": (0, 0), "bm25_topk": (0, 0), "dense_topk": (0, 0),
+    "rrf_topk": (0, 0), "grounding_audit": (24, 6), "report_documents": (22, 5), "verdicts": (20, 4),
+    "report_rows": (21, 5), "split_rows": (33, 3), "manifest": (17, 17),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_shuffles_and_scans(spark, name):
+    plan = catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    shuffles = len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange ", plan))
+    assert (shuffles, plan.count("FileScan")) <= LIMITS[name] and plan.count("FileScan") <= LIMITS[name][1]
