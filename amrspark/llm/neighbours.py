@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PROJECTIONS, COLLISIONS, SHARE, GROWTH = 64, 0.65, 0.2, 1.3
+PROJECTIONS, COLLISIONS, SHARE, GROWTH, WIDE = 64, 0.65, 0.2, 1.1, 1.5
 BLOCK_ROWS, QUERY_ROWS, _LEAST = 16_384, 512, 10
 
 
@@ -48,7 +48,7 @@ def nearest_chunks(
     length one, so the largest inner product is the least distance. A block of vectors keeps, per
     random line, its vectors sorted by their place on it. Around a query's place a window opens on
     every line and grows by a factor (virtual rehashing); a vector collides where it lies in the
-    window. Vectors with enough collisions are verified; the windows grow until `share` of the
+    window. A query's first window is the last one of the query before it, in id order. Vectors with enough collisions are verified; the windows grow until `share` of the
     block are, so equal vectors are all verified or none. Each task has one block and one group of
     queries and returns k rows per query at most.
     """
@@ -110,9 +110,9 @@ def _search(own: pa.Table, wanted: pa.Table, settings) -> tuple[list, list, list
         if not len(mine):
             continue
         block = _Block(mine, int(size), settings)
-        for key, vector in zip(
-            (some := wanted.filter(pa.array(asked == size)))["chunk_id"].to_pylist(), _matrix(some["vector"], int(size)), strict=True
-        ):
+        # In one order: a query's first window is taken from the query before it.
+        some = wanted.filter(pa.array(asked == size)).sort_by("chunk_id")
+        for key, vector in zip(some["chunk_id"].to_pylist(), _matrix(some["vector"], int(size)), strict=True):
             for other, score in block.nearest(key, vector):
                 out[0].append(key)
                 out[1].append(other)
@@ -129,7 +129,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, size: int, settings):
         self.k, lines, collisions, self.share, seed, longest = settings
-        self.need = max(1, math.ceil(collisions * lines))
+        self.need, self.radius = max(1, math.ceil(collisions * lines)), 0.0
         ids = table["chunk_id"].to_pylist()
         rank = sorted(range(len(ids)), key=ids.__getitem__)
         self.ids = [ids[i] for i in rank]
@@ -154,7 +154,7 @@ class _Block:
         target = min(n, max(_LEAST * self.k, math.ceil(self.share * n)))
         kind = self.rank.dtype.type
         shifted, inside = np.empty(n, kind), np.empty(n, bool)
-        radius = self._first(at, target)
+        radius = self.radius or self._first(at, target)
         while True:
             count = np.zeros(n, np.uint8 if lines < 256 else np.uint16)
             whole = True
@@ -169,6 +169,8 @@ class _Block:
             if len(hit) >= target or whole:
                 break
             radius *= GROWTH
+        # The next query begins here, or a little closer where this one reached far more than asked.
+        self.radius = radius if len(hit) < WIDE * target else radius / GROWTH
         score = np.zeros(len(hit))
         for column, q in zip(self.columns, query, strict=True):
             score += column[hit] * q
