@@ -186,6 +186,14 @@ _FITS = """CASE
 _PLAIN = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+
+def _attribute(name: str) -> str:
+    """SQL of an attribute's value in `tag`, quoted or not."""
+    value = r"""\s*=\s*(?:"\s*([^">]*)|''\s*([^''>]*)|([^"''\s>]+))"""
+    return " || ".join(f"""regexp_extract(tag, '(?i)[\\s"''/]{name}{value}', {i})""" for i in (1, 2, 3))
+
+
 SQL: dict[str, str] = {
     "op3_decontaminate": f"""
 WITH docs AS (SELECT doc_id, coalesce({_PLAIN}, []) AS w FROM documents),
@@ -225,25 +233,38 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
     doc_id = coalesce(c, doc_id) AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON a = doc_id""",
     "op8_url_filter": rf"""
-WITH RECURSIVE raw AS (SELECT page_id, url,
-    regexp_extract(regexp_extract(html,
-      '(?i)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>', 0),
-      '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS c,
-    regexp_extract(regexp_extract(html,
-      '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>', 0),
-      '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS r FROM pages),
-out AS (SELECT url, unnest([c, r]) AS t FROM raw),
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+    FROM pages WHERE url IS NOT NULL),
+values_of AS (SELECT url, tag, {_attribute('rel')} AS rel, {_attribute('href')} AS href,
+    {_attribute('http-equiv')} AS equiv, {_attribute('content')} AS content FROM tags),
+out AS (SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(rel, '(?i)(?:^|\s)canonical(?:\s|$)')
+      THEN trim(href)
+    WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim(equiv)) = 'refresh'
+      THEN regexp_extract(content, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END, '&amp;', '&') AS t
+    FROM values_of),
 hosted AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
     regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS rest FROM pages),
-targets AS (SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-    WHEN starts_with(t, '/') THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || t END AS t
-    FROM out WHERE t <> '' AND url IS NOT NULL),
+seen AS (SELECT DISTINCT url, t, host, path, regexp_extract(t, '^[^?#]*', 0) AS own,
+    regexp_extract(t, '^[^?#]*(.*)', 1) AS tail FROM out JOIN hosted USING (url)
+    WHERE t <> '' AND NOT starts_with(t, '#')),
+rooted AS (SELECT *, string_split(CASE WHEN starts_with(t, '/') THEN own WHEN path = '' THEN '/' || own
+    ELSE regexp_extract(path, '^(.*/)', 1) || own END, '/') AS parts FROM seen),
+plain AS (SELECT *, array_to_string(list_concat(list_reduce(list_transform(parts, lambda s: [s]),
+    lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)]
+      ELSE list_concat(a, x) END), CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') AS p
+    FROM rooted),
+targets AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN 'http:' || t WHEN host = '' THEN NULL
+    WHEN starts_with(t, '?') THEN 'http://' || host || path || t
+    ELSE 'http://' || host || p || tail END AS t FROM plain),
 ends AS (SELECT translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS a,
-    translate(regexp_extract(replace(t, '&amp;', '&'), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz') || regexp_extract(replace(t, '&amp;', '&'), '://[^/?#]*([^#]*)', 1) AS b
+    translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '://[^/?#]*([^#]*)', 1) AS b
     FROM targets WHERE t IS NOT NULL),
 both_ways AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION

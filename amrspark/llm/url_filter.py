@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from amrspark.llm.components import connected
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>"
-_META_TAG = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-_TARGET = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_VALUE = r"\s*=\s*(?:\"\s*([^\">]*)|'\s*([^'>]*)|([^\"'\s>]+))"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -48,24 +47,72 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not; empty where it is missing."""
+    pattern = rf"(?i)[\s\"'/]{name}{_VALUE}"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def _plain_path(path: Column) -> Column:
+    """A path from its root without `.` and `..` segments."""
+    segments = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments,
+        empty,
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.array_join(ended, "/")
+
+
+def resolved(target: Column, source: Column) -> Column:
+    """A link target as a url, seen from the url `source`.
+
+    Targets may be whole urls, start with `//`, `/` or `?`, or be relative to the directory of the
+    page, with `.` and `..`. Null for other schemes (`mailto:`), a mere fragment, an empty target,
+    or a relative one on a page without a host.
+    """
+    host, path = host_of(source), path_of(source)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    root = F.when(target.startswith("/"), own).otherwise(F.concat(folder, own))
+    here = F.concat(F.lit("http://"), host)
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(_SCHEME + "//"), target)
+        .when(target.rlike(_SCHEME), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(host == "", F.lit(None))
+        .when(target.startswith("?"), F.concat(here, path, target))
+        .otherwise(F.concat(here, _plain_path(root), rest))
+    )
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(source, target) from the canonical link and the refresh target in each page's html.
+    """(source, target) from the canonical links and refresh targets in each page's html.
 
-    `pages` has source (a url) and html. Targets without a host are taken below the page's host.
+    `pages` has source (a url) and html. Every `link` tag whose rel list holds `canonical` and
+    every `meta` refresh tag counts; targets are resolved against the page's url (`base` tags are
+    not looked at). Tags without a usable target, null html and null sources give no rows.
     """
-    url, html = F.col("source"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, _LINK_TAG, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _META_TAG, 0), _TARGET, 1)
-    rows = pages.select(url.alias("source"), F.array(canonical, refresh).alias("t"))
-    rows = rows.select("source", F.explode("t").alias("t")).where(
-        (F.col("t") != "") & F.col("source").isNotNull()
+    tag = F.col("tag")
+    rows = pages.select("source", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    canonical = _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refresh = F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh"
+    moved = F.regexp_extract(_attribute(tag, "content"), r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    target = F.when(tag.rlike("(?i)^<link") & canonical, F.trim(_attribute(tag, "href"))).when(
+        tag.rlike("(?i)^<meta") & refresh, moved
+    )
+    found = rows.select("source", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("t")).where(
+        F.col("source").isNotNull() & F.col("t").isNotNull()
     )
-    target = (
-        F.when(F.col("t").contains("://"), F.col("t"))
-        .when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t")))
-        .when(F.col("t").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("source")), F.col("t")))
+    return found.select("source", resolved(F.col("t"), F.col("source")).alias("target")).where(
+        F.col("target").isNotNull()
     )
-    return rows.select("source", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target"))
 
 
 def judge_sources(

@@ -42,15 +42,31 @@ def test_rules_and_aliases(spark):
 
 
 def test_links_from_pages(spark):
+    """Every tag of a page, quoted or not, and targets of every form."""
     rows = [
         ("http://a/1", '<LINK rel="canonical" href="/x&amp;y">'),
         ("http://a/2", "<meta http-equiv=refresh content='0; url=http://b/'><link rel=icon href=z>"),
         ("http://a/3", '<link href="//c/d" rel=canonical>'), ("http://a/4", None), (None, '<link rel=canonical href="/q">'),
-        ("http://a/5", '<link rel=canonical href="relative">'),
+        ("http://a/5/p?q#f", '<link rel=canonical href="story.html">'),
+        ("http://a/6/p?q", '<link rel="canonical" href="?id=3"><link rel="alternate canonical" href=\'http://d/u?r=/x/../y\'>'),
+        ("http://a/7/p/q", '<link rel=canonical href="../x"><LINK REL=\'CANONICAL\' HREF=\'../../../y/./z/..\'>'),
+        ("http://a", '<link rel=canonical href=here/><link rel=canonicals href=no><link rel=next href=no>'),
+        ("http://a/8", '<link rel=canonical href="#top"><link rel=canonical href="mailto:x@y"><link rel=canonical href=""><link rel=canonical>'),
+        ("http://a/9", '<meta http-equiv="Refresh" content="5;URL=next.html?u=http://e/"><meta name=refresh content="url=/no">'),
+        ("nohost", '<link rel=canonical href=rel><link rel=canonical href=https://f/>'),
+        ("http://a/10", '<link data-href="/no" rel=canonical href="/yes">'), ("http://a/10", '<link data-href="/no" rel=canonical href="/yes">'),
     ]
-    df = spark.createDataFrame(rows, "source string, html string")
-    got = {tuple(r) for r in alias_links(df).where("target is not null").collect()}
-    assert got == {("http://a/1", "http://a/x&y"), ("http://a/2", "http://b/"), ("http://a/3", "http://c/d")}
+    df = spark.createDataFrame(rows, "source string, html string").selectExpr("*", "1 AS tag", "2 AS t", "3 AS target")
+    got = {}
+    for r in alias_links(df).collect():
+        got.setdefault(r["source"], []).append(r["target"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "http://a/1": ["http://a/x&y"], "http://a/2": ["http://b/"], "http://a/3": ["http://c/d"],
+        "http://a/5/p?q#f": ["http://a/5/story.html"],
+        "http://a/6/p?q": ["http://a/6/p?id=3", "http://d/u?r=/x/../y"],
+        "http://a/7/p/q": ["http://a/7/x", "http://a/y/"], "http://a": ["http://a/here/"],
+        "http://a/9": ["http://a/next.html?u=http://e/"], "nohost": ["https://f/"], "http://a/10": ["http://a/yes"] * 2,
+    }
 
 
 def test_long_chain_hub_and_empty_tables(spark):
