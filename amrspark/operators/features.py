@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +10,7 @@ from amrspark import fixed
 from amrspark.functions import mechanisms
 from amrspark.functions.text import clean
 from amrspark.operators.labels import first_per_key
-from amrspark.operators.ranking import numbered
+from amrspark.operators.ranking import numbered, streamed_digest
 from amrspark.session import cut
 
 #: Names that a model may have a weight for.
@@ -143,23 +139,11 @@ def vocabulary(calls: DataFrame) -> DataFrame:
 
 
 def vocabulary_digest(vocab: DataFrame) -> DataFrame:
-    """One row: n_features, SHA-256 of the names in order joined by line breaks, and the versions.
-
-    The digest depends on the order, so one task reads the names as a stream, sorted outside its
-    memory if need be, and holds only the state of the hash.
-    """
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, n = hashlib.sha256(), 0
-        for batch in batches:
-            for name in batch.column("feature").to_pylist():
-                state.update(b"\n" * (n > 0) + name.encode())
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n_features": pa.array([n], pa.int64()), "sha256": [state.hexdigest()]})
-
-    ordered = vocab.select("idx", "feature").repartition(1).sortWithinPartitions("idx")
-    return ordered.mapInArrow(digest, "n_features long, sha256 string").withColumns(
-        {"schema_version": F.lit(fixed.SCHEMA_VERSION), "engineered_version": F.lit(fixed.ENGINEERED_VERSION)}
+    """One row: n_features, SHA-256 of the names in order joined by line breaks, and the versions."""
+    found = streamed_digest(vocab, "feature", ["idx"])
+    return found.select(
+        F.col("n").alias("n_features"), "sha256",
+        F.lit(fixed.SCHEMA_VERSION).alias("schema_version"), F.lit(fixed.ENGINEERED_VERSION).alias("engineered_version"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amrspark import fixed
-from amrspark.operators.ranking import cumulative
+from amrspark.operators.ranking import cumulative, streamed_digest
 
 METRICS = (
     "balanced_accuracy", "resistant_recall", "susceptible_recall", "f1", "auroc", "pr_auc",
@@ -171,12 +171,20 @@ def set_mismatch(expected: DataFrame, got: DataFrame, keys: list[str]) -> DataFr
     return both.select(*keys, side.alias("side")).where(F.col("side").isNotNull())
 
 
-def fingerprint(genomes: DataFrame) -> DataFrame:
-    """Identity of a genome set: count, and an order-free sum of hashes that needs no sorting."""
+def fingerprint(genomes: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """Identity of a data set: n_genomes, n_features (of the feature table `vocab`, if given), the
+    SHA-256 of the sorted ids by line breaks, and an order-free sum of hashes that needs no sorting.
+    """
     ids = genomes.select("genome_id").distinct()
-    return ids.agg(
+    sums = ids.agg(
         F.count("*").alias("n_genomes"),
         F.sum(F.conv(F.substring(F.sha2("genome_id", 256), 1, 12), 16, 10).cast("decimal(38,0)"))
         .cast("string")
         .alias("hash_sum"),
     )
+    size = F.lit(None if vocab is None else vocab.count()).cast("long")
+    ordered = streamed_digest(ids, "genome_id", ["genome_id"]).select(F.col("sha256").alias("genome_ids_sha256"))
+    both = sums.withColumn("_one", F.lit(1)).join(ordered.withColumn("_one", F.lit(1)), "_one", "left")
+    # Spark may plan nothing at all for an empty table.
+    digest = F.coalesce("genome_ids_sha256", F.sha2(F.lit(""), 256)).alias("genome_ids_sha256")
+    return both.select("n_genomes", size.alias("n_features"), digest, "hash_sum")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -187,6 +188,10 @@ def train_drug(
         scored.where(F.col("split") == "test"),
         ["antibiotic"],
     )
+    balance = groups.split_balance(split, ["antibiotic"], y="side")
+    degraded = bool(balance.agg(F.max("degraded")).first()[0])
+    gap = F.col("p") - F.col("y")
+    brier = scored.where(F.col("split") == "calibration").agg(F.avg(gap * gap)).first()[0]
     weights = spark.createDataFrame(
         [(drug, n, float(w)) for n, w in zip(names, model.coefficients, strict=True)],
         "antibiotic string, feature string, coefficient double",
@@ -195,11 +200,12 @@ def train_drug(
         [
             (
                 drug, best_c, model.intercept, slope, offset, line["n_resistant"],
-                line["n_susceptible"], line["n_groups"], model.gradient,
+                line["n_susceptible"], line["n_groups"], model.gradient, seed, degraded, brier,
             )
         ],
         "antibiotic string, best_c double, intercept double, platt_a double, platt_b double, "
-        "n_resistant long, n_susceptible long, n_groups long, largest_gradient double",
+        "n_resistant long, n_susceptible long, n_groups long, largest_gradient double, "
+        "seed int, degraded boolean, calibration_brier double",
     )
     return Trained(
         _status(spark, drug, "trained", None), header, weights, scored, measured, fitted,
@@ -231,3 +237,41 @@ def train_panel(
     )
     rows = cut(rows)
     return {d: train_drug(rows.where(F.col("antibiotic") == d), d, names, **options) for d in drugs}
+
+
+def headline(measured: DataFrame) -> DataFrame:
+    """One row of metrics per drug: of the test part, the rows that the model serves (where the gate
+    is quiet), or all rows where there are none of these."""
+    rows = measured.where((F.col("split") == "test") & (F.col("n") > 0))
+    served = F.when(F.col("population") == "gate_negative", 0).otherwise(1)
+    row = F.min_by(F.struct(*[c for c in measured.columns if c != "antibiotic"]), served).alias("m")
+    return rows.groupBy("antibiotic").agg(row).select("antibiotic", "m.*")
+
+
+def summary(trained: dict[str, Trained]) -> DataFrame:
+    """The training summary: one row per drug, also for those without a model.
+
+    antibiotic, status, reason, best_c, calibration_brier, the headline metrics, coverage and
+    no-call rate on the test part, whether the guarantee holds, and `alpha_sensitivity`, an array of
+    (alpha, coverage, no_call_rate) by alpha.
+    """
+    built = [t for t in trained.values() if t.model is not None]
+    status = reduce(DataFrame.unionByName, [t.status for t in trained.values()])
+    if not built:
+        return status
+
+    def table(name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [getattr(t, name) for t in built])
+
+    by_alpha = F.array_sort(F.collect_list(F.struct("alpha", "coverage", "no_call_rate")))
+    sensitivity = table("evaluation").groupBy("antibiotic").agg(by_alpha.alias("alpha_sensitivity"))
+    test = table("scores").where(F.col("split") == "test")
+    own = conformal.evaluate(test, table("conformal"), ["antibiotic"]).select("antibiotic", "coverage", "no_call_rate")
+    best = headline(table("metrics")).select(
+        "antibiotic", "population", "n", "resistant_recall", "susceptible_recall", "balanced_accuracy", "auroc", "pr_auc"
+    )
+    parts = [
+        table("model").select("antibiotic", "best_c", "calibration_brier"), best, own,
+        table("conformal").select("antibiotic", "guarantee"), sensitivity,
+    ]
+    return reduce(lambda a, b: a.join(b, "antibiotic", "left"), parts, status)

@@ -8,6 +8,10 @@ per range (a small table) give each range its offset, and the ordered window run
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +96,23 @@ def weighted_quantile_rows(
             for name, rank in ranks.items()
         ],
     )
+
+
+def streamed_digest(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """One row (n, sha256): the number of texts in `column` and the SHA-256 of them all in `order`,
+    joined by line breaks.
+
+    The digest depends on the order, so one task reads the texts as a stream, sorted outside its
+    memory if need be, and holds only the state of the hash.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text in batch.column(column).to_pylist():
+                state.update(b"\n" * (n > 0) + text.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sha256": [state.hexdigest()]})
+
+    ordered = df.select(*dict.fromkeys([column, *order])).repartition(1).sortWithinPartitions(*order)
+    return ordered.mapInArrow(digest, "n long, sha256 string")

@@ -127,7 +127,8 @@ def conformal_verdicts(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return M.fingerprint(scored(spark, sf_dir)).select("n_genomes", "hash_sum")
+    rows = scored(spark, sf_dir)
+    return M.fingerprint(rows, rows.select("drug").distinct())
 
 
 QUERIES = {
@@ -248,6 +249,7 @@ SQL = {
         WHEN 1 - p <= tau_r AND NOT p <= tau_s THEN 'likely_to_fail' ELSE 'no_call' END AS verdict,
         count(*) AS n FROM scored JOIN fit USING (drug) WHERE split = 'test' GROUP BY ALL""",
     "fingerprint": f"""WITH {SCORED}, i AS (SELECT DISTINCT genome_id FROM scored)
-      SELECT count(*) AS n_genomes, cast(sum(cast('0x' || substr(sha256(genome_id), 1, 12)
+      SELECT count(*) AS n_genomes, (SELECT count(DISTINCT drug) FROM scored) AS n_features,
+        sha256(string_agg(cast(genome_id AS varchar), chr(10) ORDER BY genome_id)) AS genome_ids_sha256, cast(sum(cast('0x' || substr(sha256(genome_id), 1, 12)
         AS hugeint)) AS string) AS hash_sum FROM i""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from amrspark import fixed
@@ -12,6 +13,7 @@ from amrspark.operators import models as MO
 from amrspark.operators import subset as S
 from amrspark.plans import bindings as B
 from amrspark.plans import label_queries
+from amrspark.sources import store
 from amrspark.plans.bindings import CANON_SQL, GROUPS_SQL
 from amrspark.plans.group_queries import SPLIT_BASE, cohort, split_sql
 
@@ -43,6 +45,22 @@ def model_metrics(spark, sf_dir):
     return _trained(spark, sf_dir).metrics
 
 
+def train_summary(spark, sf_dir):
+    """The summary of a run over two drugs: one trained, one without enough rows."""
+    trained = _trained(spark, sf_dir)
+    names = [f"d{i:02d}" for i in range(_DIM)]
+    few = MO.train_drug(_rows(spark, sf_dir).where("side = 'S'"), "one side", names)
+    return MO.summary({"vectors": trained, "one side": few})
+
+
+def model_cards(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    head = trained.model.join(trained.conformal, "antibiotic").withColumn("version", F.lit("v1"))
+    order = Window.partitionBy("antibiotic").orderBy(F.abs("coefficient").desc(), "feature")
+    ranked = trained.coefficients.withColumn("rank", F.row_number().over(order))
+    return store.model_cards(head, MO.headline(trained.metrics), ranked)
+
+
 def capped_subset(spark, sf_dir):
     labels, _ = L.majority_vote(label_queries.working(spark, sf_dir))
     meta = G.with_mlst(B.metadata(spark, sf_dir))
@@ -80,7 +98,7 @@ def split_reproduction(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (model_scores, model_metrics, capped_subset, subset_candidates, split_reproduction)
+    for f in (model_scores, model_metrics, train_summary, model_cards, capped_subset, subset_candidates, split_reproduction)
 }
 
 # One genome a step: the one closing most cells below 8, then the lowest id, no group beyond 9 of 60.

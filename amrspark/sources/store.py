@@ -108,8 +108,9 @@ def _fmt(c: str | Column) -> Column:
 def model_cards(models: DataFrame, metrics: DataFrame, coefficients: DataFrame, top: int = 10) -> DataFrame:
     """One text card per trained drug from its tables.
 
-    `models`: antibiotic, version, best_c, n_resistant, n_susceptible, n_groups, alpha, tau_s,
-    tau_r, n_cal_susceptible, n_cal_resistant, guarantee. `metrics`: per drug, headline row.
+    `models`: antibiotic, version, best_c, n_resistant, n_susceptible, n_groups, seed, degraded,
+    calibration_brier, alpha, tau_s, tau_r, n_cal_susceptible, n_cal_resistant, guarantee.
+    `metrics`: per drug, headline row (n, n_resistant, n_susceptible and the rates).
     `coefficients`: antibiotic, feature, coefficient, rank.
     """
     line = F.format_string("- `%s`: %+.3f", "feature", "coefficient")
@@ -119,29 +120,48 @@ def model_cards(models: DataFrame, metrics: DataFrame, coefficients: DataFrame,
         .agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("_c"))
     )
     measured = metrics.select(
-        "antibiotic", "resistant_recall", "susceptible_recall", "balanced_accuracy", "auroc",
-        "pr_auc", "brier",
+        "antibiotic", F.col("n").alias("_n"), F.col("n_resistant").alias("_r"), F.col("n_susceptible").alias("_s"),
+        "resistant_recall", "susceptible_recall", "balanced_accuracy", "auroc", "pr_auc",
     )
     rows = models.join(measured, "antibiotic", "left").join(heads, "antibiotic", "left")
-    lines = F.array(
+
+    def section(title: str, *lines: Column) -> Column:
+        return F.array(F.lit(""), F.lit(f"## {title}"), *lines)
+
+    none = F.array().cast("array<string>")
+    head = F.array(
         F.concat(F.lit("# Model card -- "), F.col("antibiotic"), F.lit(" ("), F.col("version"), F.lit(")")),
+        F.lit(""),
         F.lit(fixed.DISCLAIMER),
+    )
+    provenance = section(
+        "Provenance",
         F.format_string("- best C: %s", F.col("best_c").cast("string")),
         F.format_string("- labels: %d R / %d S", "n_resistant", "n_susceptible"),
-        F.format_string("- homology groups: %d", "n_groups"),
+        F.format_string("- homology groups: %d (seed %d)", "n_groups", "seed"),
+        F.concat(F.lit("- split degraded: "), F.col("degraded").cast("string")),
+    )
+    told = section(
+        "Headline metrics (test part, where the model serves)",
+        F.format_string("- n: %d (%d R / %d S)", "_n", "_r", "_s"),
         F.concat(F.lit("- resistant recall: "), _fmt("resistant_recall")),
         F.concat(F.lit("- susceptible recall: "), _fmt("susceptible_recall")),
         F.concat(F.lit("- balanced accuracy: "), _fmt("balanced_accuracy")),
         F.concat(F.lit("- AUROC: "), _fmt("auroc"), F.lit(" | PR-AUC: "), _fmt("pr_auc")),
-        F.concat(F.lit("- Brier score: "), _fmt("brier")),
+    )
+    calibrated = section("Calibration", F.concat(F.lit("- Brier score: "), _fmt("calibration_brier")))
+    behaviour = section(
+        "No-call behaviour",
         F.concat(F.lit("- alpha: "), F.col("alpha").cast("string")),
         F.concat(F.lit("- tau_s: "), _fmt("tau_s"), F.lit(" | tau_r: "), _fmt("tau_r")),
         F.format_string("- calibration counts: %d S / %d R", "n_cal_susceptible", "n_cal_resistant"),
         F.concat(F.lit("- finite-sample guarantee available: "), F.col("guarantee").cast("string")),
     )
-    tail = F.coalesce(F.transform("_c", lambda x: x["t"]), F.array().cast("array<string>"))
+    weights = F.concat(section("Largest coefficients"), F.transform("_c", lambda x: x["t"]))
+    lines = F.concat(
+        head, provenance, F.when(F.col("_n").isNotNull(), told).otherwise(none), calibrated, behaviour,
+        F.coalesce(weights, none), F.array(F.lit("")),
+    )
     return rows.select(
-        "antibiotic",
-        text.slug("antibiotic").alias("slug"),
-        F.array_join(F.concat(lines, tail), "\n").alias("card"),
+        "antibiotic", text.slug("antibiotic").alias("slug"), F.array_join(lines, "\n").alias("card")
     )

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -123,4 +124,10 @@ def test_coverage_on_separated_points(spark):
 def test_fingerprints(spark):
     ids = spark.createDataFrame([("b",), ("a",), ("a",)], "genome_id string")
     turned = ids.orderBy("genome_id")
-    assert M.fingerprint(ids).first() == M.fingerprint(turned).first()
+    one = M.fingerprint(ids, ids).first()
+    assert one == M.fingerprint(turned, ids).first()
+    assert (one["n_genomes"], one["n_features"]) == (2, 3)
+    assert one["genome_ids_sha256"] == hashlib.sha256(b"a\nb").hexdigest()
+    empty = M.fingerprint(ids.limit(0)).first()
+    assert (empty["n_genomes"], empty["n_features"]) == (0, None)
+    assert empty["genome_ids_sha256"] == hashlib.sha256(b"").hexdigest()

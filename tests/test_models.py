@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from amrspark import fixed
 from amrspark.operators import features as FE
 from amrspark.operators import groups as G
 from amrspark.operators import models as MO
@@ -190,7 +191,24 @@ def test_train_store_analyse_evaluate(spark, cohort, tmp_path):
     head = trained["gentamicin"].model.join(trained["gentamicin"].conformal, "antibiotic").withColumn("version", F.lit("v1"))
     ranking = gent.coefficients.withColumn("rank", F.row_number().over(
         __import__("pyspark").sql.Window.partitionBy("antibiotic").orderBy(F.abs("coefficient").desc(), "feature")))
-    card = store.model_cards(head, gent.metrics.where("split = 'test' and population = 'marginal'").drop("split", "population"), ranking).first()
+    card = store.model_cards(head, MO.headline(gent.metrics), ranking).first()
     assert card["slug"] == "gentamicin" and card["card"].startswith("# Model card -- gentamicin (v1)")
     assert card["card"].count("\n- `") == 10
+    parts = [x for x in card["card"].split("\n") if x.startswith("## ")]
+    assert parts == [
+        "## Provenance", "## Headline metrics (test part, where the model serves)", "## Calibration",
+        "## No-call behaviour", "## Largest coefficients",
+    ]
+    assert "(seed 0)" in card["card"] and "split degraded: " in card["card"] and "\n- n: " in card["card"]
+    lines = {r["antibiotic"]: r for r in MO.summary(trained).collect()}
+    assert set(lines) == {"gentamicin", "meropenem", "ciprofloxacin"}
+    assert lines["ciprofloxacin"]["best_c"] is None and lines["ciprofloxacin"]["status"] == "insufficient_data"
+    line = lines["gentamicin"]
+    alphas = [x["alpha"] for x in line["alpha_sensitivity"]]
+    assert alphas == sorted(alphas) and len(alphas) == len(fixed.ALPHA_GRID)
+    own = [x for x in line["alpha_sensitivity"] if x["alpha"] == fixed.ALPHA][0]
+    assert (line["coverage"], line["no_call_rate"]) == (own["coverage"], own["no_call_rate"])
+    calibration = gent.scores.where("split = 'calibration'").toPandas()
+    assert line["calibration_brier"] == pytest.approx(((calibration.p - calibration.y) ** 2).mean())
+    assert line["population"] == "gate_negative" and lines["meropenem"]["n"] < 120
     assert scored.count() == 120
