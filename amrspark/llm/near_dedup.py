@@ -18,7 +18,7 @@ HASHES, BITS, ROWS_PER_BAND, STAR_ROUNDS = 128, 4, 4, 2
 FINE_HASHES, FINE_BITS = 1024, 2
 # Over five standard deviations of the estimates by 128 4-bit and by 1,024 2-bit minima.
 SLACK, FINE_SLACK = 0.2, 0.08
-_BLOCK = 2048
+_BLOCK = 8192
 _CHUNK = 4096
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, FINE_HASHES, np.uint64) | np.uint64(1)
 
@@ -155,8 +155,8 @@ def _apart(slots: DataFrame, label: DataFrame) -> DataFrame:
 def _blocks(live, classes, texts, kind: str, words: int, limit: float, percent: int) -> DataFrame:
     """Pairs of different groups of a bucket that pass both estimates, block by block.
 
-    A bucket of n classes is cut into n/2048 blocks by a hash; each pair of blocks is one group
-    of at most about 4,096 rows, so no task holds a bucket.
+    A bucket of n classes is cut into n/8192 blocks by a hash; each pair of blocks is one group
+    of at most about 16,384 rows, so no task holds a bucket.
     """
     wanted = live.select(F.col("a").alias("chunk_id")).distinct()
     fine = store(
