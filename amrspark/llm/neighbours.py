@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PROJECTIONS, COLLISIONS, SHARE, GROWTH, WIDE = 64, 0.65, 0.2, 1.1, 1.5
+PROJECTIONS, COLLISIONS, SHARE, GROWTH, WIDE = 64, 0.65, 0.3, 1.1, 1.5
 BLOCK_ROWS, QUERY_ROWS, _LEAST = 16_384, 512, 10
 
 
